@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, pii
 
-QUERIES = {"op4_exact_dedup": exact_dedup.op4_exact_dedup}
-ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+QUERIES = {
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_pii_spans": pii.op6_pii_spans,
+}
+ORACLES = {
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op6_pii_spans": pii.OP6_SQL,
+}
