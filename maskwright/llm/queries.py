@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii
+from . import exact_dedup, pii, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_pii_spans": pii.op6_pii_spans,
 }
