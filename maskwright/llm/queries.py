@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, token_counts
+from . import bpe_codec, exact_dedup, packing, pii, token_counts
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op10_bpe_codec": bpe_codec.op10_bpe_codec,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_pii_spans": pii.op6_pii_spans,
