@@ -244,6 +244,10 @@ def _pack_group(pdf, capacity: int, nodes: int, keep_all: bool, stride: int, fir
     return pdf.drop(columns="grp").assign(sequence_id=sequence, offset=offset, final=final)
 
 
+def _group_packer(*settings):
+    return lambda pdf: _pack_group(pdf, *settings)
+
+
 def pack(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, nodes: int = NODES) -> DataFrame:
     """found: pieces(); adds sequence_id (long) and offset (long)."""
     base = found.columns
@@ -256,11 +260,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
         last = groups == 1 or (before is not None and n > 0.7 * before)
         before = n
         key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).alias("grp")
-        first = turn << 56
-
-        def run(pdf, last=last, first=first):
-            return _pack_group(pdf, capacity, nodes, last, stride, first)
-
+        run = _group_packer(capacity, nodes, last, stride, turn << 56)
         out = save(rest.select(*base, key).groupBy("grp").applyInPandas(run, schema), f"packed{turn}")
         done.append(out.where("final").select(*base, "sequence_id", "offset"))
         if last:
