@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, packing, pii, substring_dedup, token_counts
+from . import bpe_codec, exact_dedup, jaccard, packing, pii, substring_dedup, token_counts
 
 QUERIES = {
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_pii_spans": pii.op6_pii_spans,
 }
 ORACLES = {
+    "op7_ngram_jaccard": jaccard.OP7_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_pii_spans": pii.OP6_SQL,
