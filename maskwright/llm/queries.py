@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, jaccard, packing, pii, substring_dedup, token_counts
+from . import bpe_codec, exact_dedup, jaccard, media, packing, pii, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op8_media_columns": media.op8_media_columns,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
@@ -14,6 +16,7 @@ QUERIES = {
     "op6_pii_spans": pii.op6_pii_spans,
 }
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op7_ngram_jaccard": jaccard.OP7_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
