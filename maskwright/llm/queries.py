@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, jaccard, media, packing, pii, substring_dedup, token_counts, warc
+from . import bpe_codec, exact_dedup, jaccard, media, packing, pii, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op1_warc": warc.op1_warc,
     "op8_media_columns": media.op8_media_columns,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
