@@ -2,7 +2,7 @@
 
 1. Tokens: every text becomes ids by the tokenizers library. The library's split drops white space and no match
    spans it, so ids of whitespace-separated parts are looked up (bytes -> packed ids) and only unknown parts
-   are encoded, in one call a batch.
+   are encoded.
 2. Pieces of at most `capacity` tokens; only longer documents are cut.
 3. Groups of about `group_rows` pieces, dealt evenly by a hash of the piece's key, so no key can grow a group.
    In a group, bin completion: around the largest piece left, undominated fillings are enumerated (single
@@ -18,6 +18,9 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, save, table
+from .token_counts import byte_alphabet
 
 CAPACITY, GROUP_ROWS, NODES, WELL_FILLED = 4096, 8192, 2000, 0.98
 
@@ -168,22 +172,48 @@ def pack_lengths(lengths, capacity: int = CAPACITY, nodes: int = NODES, width: i
 
 
 class Packed:
-    """Text -> little-endian 32-bit ids, by a table of whitespace-separated parts."""
+    """Text -> little-endian 32-bit ids, by tables of whitespace-separated parts and of the split's matches.
 
-    def __init__(self, path: str, most: int = 400_000):
+    Matches of plain parts go straight to the library's BPE model, in the form that its normaliser, split and byte
+    alphabet would give them; all other parts go through the whole library. Plain: no apostrophe (contractions),
+    no "<|" (special strings), and ASCII or composed Latin letters, whose lower case is a character for a character.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.library, self.known, self.matches, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.ascii = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+        self.latin = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+
+    def of_match(self, match: bytes) -> bytes:
+        found = self.matches.get(match)
+        if found is None:
+            ids = [t.id for t in self.library.model.tokenize(match.decode("latin-1").translate(self.alphabet))]
+            found = self.matches[match] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def of_part(self, part: bytes) -> bytes:
+        if b"'" not in part and b"<|" not in part:
+            if part.isascii():
+                return b"".join(map(self.of_match, self.ascii.findall(part.lower())))
+            text = part.decode()
+            if max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+                return b"".join(self.of_match(m.encode()) for m in self.latin.findall(text.lower()))
+        ids = self.library.encode(part.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts]
-        new = list({p for ps in parts for p in ps} - self.known.keys())
+        new = {p for ps in parts for p in ps} - self.known.keys()
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list({p for ps in parts for p in ps})
-        if new:
-            found = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
+            new = {p for ps in parts for p in ps}
+        if len(self.matches) > self.most:
+            self.matches.clear()
+        self.known.update((p, self.of_part(p)) for p in new)
         get = self.known.__getitem__
         return [b"".join(map(get, ps)) for ps in parts]
 
