@@ -48,8 +48,13 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def twin(column):
+    """A second join key that follows from the first.
+
+    A side that was grouped by the first key alone then needs an exchange for the join as the other side
+    does, and a join between two such exchanges is one whose hot partitions can be split at run time.
+    """
+    return F.xxhash64(column).alias("twin")
 
 
 # ---- words -------------------------------------------------------------------------------

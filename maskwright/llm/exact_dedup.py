@@ -67,7 +67,7 @@ class DigestIndex:
         decided = save(groups.join(self.read().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "decided")
         # Both sides come from files, so both get an exchange and a hot digest can be split at run time.
         return prints.join(decided, "digest").select(
-            "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
+            "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
         )
 
 
@@ -79,10 +79,25 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     return index.add(prints)
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is in kept (doc_id, text_sha256): one row for each id and text.
+
+    Ids decide; rows without an id are told apart by their text. Rows that repeat an id and text are reduced
+    to one, which takes an aggregate only if there are such rows.
+    """
+    folded = fold_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    nameless = F.when(F.col(id_col).isNull(), F.sha2(folded.cast("binary"), 256)).otherwise("")
+    left = docs.withColumn("_nameless", nameless)
+    right = kept.select(F.col("doc_id").alias("_kept_id"), F.when(F.col("doc_id").isNull(), F.col("text_sha256")).otherwise("").alias("_kept_text"))
+    same = left[id_col].eqNullSafe(right["_kept_id"]) & (left["_nameless"] == right["_kept_text"])
+    out = left.join(right, same, "left_semi").drop("_nameless")
+    repeated = kept.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates([id_col, text_col]) if repeated else out
+
+
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """docs without the copies: all columns, and the one row of each text that stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    return keep_rows(docs, save(exact_dedup(docs).where("kept"), "kept"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, blocks, mix, save, shingle_hashes, table, word_hashes, words
+from .common import arrow_bytes, blocks, mix, save, shingle_hashes, table, twin, word_hashes, words
 
 SKETCH = 22
 BLOCK = 2 << 20
@@ -203,13 +203,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.lit(1).alias("one"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), twin("u"))
         # The extra key gives both sides an exchange of their own, so a large star can be split at run time.
-        tagged = both.withColumn("one", F.lit(1))
-        large = tagged.join(least, ["u", "one"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        tagged = both.withColumn("twin", twin("u"))
+        large = tagged.join(least, ["u", "twin"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = save(large.where("u <> v").distinct(), "large")
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("one", F.lit(1))
-        tagged = edges.withColumn("one", F.lit(1)).join(least, ["u", "one"])
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("twin", twin("u"))
+        tagged = edges.withColumn("twin", twin("u")).join(least, ["u", "twin"])
         small = tagged.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = save(small.where("u <> v").distinct(), "small")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shared = grams.groupBy("gram").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("gram")
     members = nodes.select("node").join(full, F.col("node") == F.col("doc_id")).select("node", "n", "prefix").dropDuplicates(["node"])
     posted = members.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = shared.withColumn("one", F.lit(1))
-    postings = save(posted.withColumn("one", F.lit(1)).join(shared, ["gram", "one"], "left_semi").select("gram", "node", "n", "pos"), "postings")
+    shared = shared.withColumn("twin", twin("gram"))
+    postings = save(posted.withColumn("twin", twin("gram")).join(shared, ["gram", "twin"], "left_semi").select("gram", "node", "n", "pos"), "postings")
 
     sets = save(node_sets(docs, postings.select("node").distinct(), width), "sets")
     links = None
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             break
         placed = postings.join(belongs, "node")
         if turn:
-            spread = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", F.lit(1).alias("one"))
-            placed = placed.withColumn("one", F.lit(1)).join(spread, ["gram", "one"], "left_semi").drop("one")
+            spread = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", twin("gram"))
+            placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "twin"], "left_semi").drop("twin")
         placed = save(placed, "placed")
         postings = placed.select("gram", "node", "n", "pos")
         size = placed.count()
@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             left = 0
             break
         hubs = placed.groupBy("gram").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "gram", F.lit(turn))).alias("hub"))
-        hubs = hubs.select("gram", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), F.lit(1).alias("one"))
-        pairs = placed.withColumn("one", F.lit(1)).join(hubs, ["gram", "one"]).where((F.col("component") != F.col("hub_component")) & fits)
+        hubs = hubs.select("gram", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), twin("gram"))
+        pairs = placed.withColumn("twin", twin("gram")).join(hubs, ["gram", "twin"]).where((F.col("component") != F.col("hub_component")) & fits)
         pairs = pairs.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
@@ -278,8 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if left:
         # Pairs of different components that no hub has settled, each at its first common prefix n-gram.
         placed = postings.join(belongs, "node")
-        spread = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", F.lit(1).alias("one"))
-        placed = placed.withColumn("one", F.lit(1)).join(spread, ["gram", "one"], "left_semi").drop("one")
+        spread = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", twin("gram"))
+        placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "twin"], "left_semi").drop("twin")
         order = postings.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda p: p["gram"]).alias("own"))
         placed = save(placed.join(order, "node"), "rest")
         one = placed.select(F.col("gram").alias("x_gram"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component", "own")])
@@ -305,6 +305,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id; all columns."""
+    from .exact_dedup import keep_rows
+
+    classes = near_duplicates(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_rows(docs, save(classes.select("doc_id", F.lit("").alias("text_sha256")), "kept"))
+
+
 def _merge(belongs: DataFrame, found: DataFrame) -> DataFrame:
     """belongs with the components that the new links join."""
     at = belongs.select(F.col("node").alias("x"), F.col("component").alias("cx"))

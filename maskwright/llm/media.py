@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, save, table
+from .common import blocks, save, table, twin
 
 ROW, PAD, TAIL = 576, b"\xff", 32
 ITEM = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
@@ -124,7 +124,7 @@ def references(sequences: DataFrame) -> DataFrame:
 
 def resolve(found: DataFrame, held: DataFrame) -> DataFrame:
     """references() with the columns that held (one row for each digest) has for their payload."""
-    return found.withColumn("one", F.lit(1)).join(held.withColumn("one", F.lit(1)), ["digest", "one"], "left").drop("one")
+    return found.withColumn("twin", twin("digest")).join(held.withColumn("twin", twin("digest")), ["digest", "twin"], "left").drop("twin")
 
 
 def interleaved(pages: DataFrame, held: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
