@@ -1,8 +1,7 @@
 """Best-fit packing of token sequences by bin completion.
 
-1. Tokens: every text becomes ids by the tokenizers library. The library's split drops white space and no match
-   spans it, so ids of whitespace-separated parts are looked up (bytes -> packed ids) and only unknown parts
-   are encoded.
+1. Tokens: every text becomes ids by the tokenizers library; each match of its split is encoded once and looked up
+   from then on.
 2. Pieces of at most `capacity` tokens; only longer documents are cut.
 3. Groups of about `group_rows` pieces, dealt evenly by a hash of the piece's key, so no key can grow a group.
    In a group, bin completion: around the largest piece left, undominated fillings are enumerated (single
@@ -171,51 +170,66 @@ def pack_lengths(lengths, capacity: int = CAPACITY, nodes: int = NODES, width: i
 # ---- tokens and pieces -------------------------------------------------------------------
 
 
+class Recent(dict):
+    """A table of what make gave for a key, bounded: the two youngest generations of `most` keys stay."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Packed:
-    """Text -> little-endian 32-bit ids, by tables of whitespace-separated parts and of the split's matches.
+    """Text -> little-endian 32-bit ids, by a table of the split's matches.
 
-    Matches of plain parts go straight to the library's BPE model, in the form that its normaliser, split and byte
-    alphabet would give them; all other parts go through the whole library. Plain: no apostrophe (contractions),
-    no "<|" (special strings), and ASCII or composed Latin letters, whose lower case is a character for a character.
+    Texts in composed Latin letters without special strings are split here, as the library's normaliser and split would,
+    and each match goes to the library's BPE model once. All others go through the whole library, by parts between
+    white space, which no match spans.
     """
 
     def __init__(self, path: str, most: int = 600_000):
-        import regex
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.matches, self.most = Tokenizer.from_file(path), {}, {}, most
-        self.ascii = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-        self.latin = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.library = Tokenizer.from_file(path)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        kinds = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        space = "".join(re.escape(chr(c)) for c in (*range(9, 14), 32, 0x85, 0xA0))
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{space}{kinds['L']}{kinds['N']}]+")
+        self.foreign = re.compile("[\u0130\u0250-\U0010ffff]")
+        self.matches, self.parts = Recent(self.of_match, most), Recent(self.of_part, most // 4)
+
+    @staticmethod
+    def packed(ids) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def of_match(self, match: bytes) -> bytes:
-        found = self.matches.get(match)
-        if found is None:
-            ids = [t.id for t in self.library.model.tokenize(match.decode("latin-1").translate(self.alphabet))]
-            found = self.matches[match] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+    def of_match(self, match: str) -> bytes:
+        return self.packed([t.id for t in self.library.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))])
 
     def of_part(self, part: bytes) -> bytes:
-        if b"'" not in part and b"<|" not in part:
-            if part.isascii():
-                return b"".join(map(self.of_match, self.ascii.findall(part.lower())))
-            text = part.decode()
-            if max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
-                return b"".join(self.of_match(m.encode()) for m in self.latin.findall(text.lower()))
-        ids = self.library.encode(part.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.packed(self.library.encode(part.decode(), add_special_tokens=False).ids)
+
+    def of_text(self, text: str) -> bytes:
+        plain = text.isascii() or not self.foreign.search(text) and unicodedata.is_normalized("NFC", text)
+        if plain and not self.special.search(text):
+            return b"".join(map(self.matches.__getitem__, self.split.findall(text.lower())))
+        return b"".join(map(self.parts.__getitem__, text.encode().split()))
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        new = {p for ps in parts for p in ps} - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = {p for ps in parts for p in ps}
-        if len(self.matches) > self.most:
-            self.matches.clear()
-        self.known.update((p, self.of_part(p)) for p in new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ps)) for ps in parts]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.matches.age()
+        self.parts.age()
+        return [self.of_text(t) for t in texts]
 
 
 _packed: dict[str, Packed] = {}
@@ -233,8 +247,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
         end = np.array([end_id], "<u4").tobytes()
         for part in blocks(batches, "text", 1 << 20):
             rows = []
-            texts = [t.encode() for t in part.column("text").to_pylist()]
-            for i, ids in enumerate(pack(texts)):
+            for i, ids in enumerate(pack(part.column("text").to_pylist())):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     cut = ids[k : k + 4 * capacity]

@@ -92,7 +92,7 @@ def mod97(raw: Column) -> Column:
         code = F.ascii(ch)
         return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step)
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
 def _valid(span: Column, kind: str) -> Column:
