@@ -1 +1,118 @@
-"""Queries to come."""
+"""Rule ETL queries over a rule list that is made from the part table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalar import slugify
+from ..operators import rule_etl
+from ..session import table
+from . import sql
+from .registry import query
+
+NAMES = ["AWS API Key", "aws  api-key", "Stripe (live)", "GitHub Token", "Visa Credit Card", "E-mail", "Émile's Key", "--x--", "IBAN number", "ssn_number - 3", "Slack Webhook", "aws-api-key", "Telegram Bot"]
+VALUES = ", ".join(f"({i}, {sql.quoted(n)}, {sql.quoted('pii' if i in (4, 5, 8, 9) else 'secret')})" for i, n in enumerate(NAMES))
+SLUG = "regexp_replace(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+def names(spark):
+    return spark.createDataFrame([(i, n, "pii" if i in (4, 5, 8, 9) else "secret") for i, n in enumerate(NAMES)], "pos int, name string, category string")
+
+
+@query(f"SELECT pos, {SLUG} AS slug FROM (VALUES {VALUES}) v(pos, name, category)", "slugify")
+def slugs(spark, sf):
+    return names(spark).select("pos", slugify("name").alias("slug"))
+
+
+@query(f"SELECT pos, 'spdb.' || slug || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END AS id FROM (SELECT pos, slug, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM (SELECT pos, {SLUG} AS slug FROM (VALUES {VALUES}) v(pos, name, category)))")
+def list_rule_ids(spark, sf):
+    return rule_etl.list_ids(names(spark)).select("pos", "id")
+
+
+CASES = " ".join(
+    f"WHEN category {'=' if kind == 'pii' else '<>'} 'pii' AND ({' OR '.join(f'contains(lower(name), {sql.quoted(w)})' for w in ws)}) THEN {sql.quoted(sub)}" for kind, t in rule_etl.NAME_WORDS.items() for sub, ws in t
+)
+
+
+@query(f"SELECT pos, CASE {CASES} ELSE 'generic' END AS subcategory FROM (VALUES {VALUES}) v(pos, name, category)")
+def name_subcategory(spark, sf):
+    return names(spark).select("pos", rule_etl.subcategory_of_name(F.col("name"), F.col("category")).alias("subcategory"))
+
+
+PAIRS = sorted(rule_etl.REPLACEMENTS) + [("secret", "unknown"), ("pii", "aws")]
+
+
+@query("SELECT category, subcategory, coalesce(r, 'generic_random') AS replacement_type FROM (VALUES " + ", ".join(f"('{c}', '{s}', " + (f"'{r}'" if (r := rule_etl.REPLACEMENTS.get((c, s))) else "NULL") + ")" for c, s in PAIRS) + ") v(category, subcategory, r)")
+def derive_replacement_type(spark, sf):
+    df = spark.createDataFrame(PAIRS, "category string, subcategory string")
+    return df.select("category", "subcategory", rule_etl.replacement_type(F.col("category"), F.col("subcategory")).alias("replacement_type"))
+
+
+IDS = ["aws-amazon-bedrock-api-key-long-lived", "gitlab-ptt", "np.github.7", "np.http.1", "kubernetes-secret-yaml", "heroku-api-key", "slack-user-token", "sidekiq-sensitive-url", "np.zzz.1"]
+
+
+@query("SELECT id, CASE " + " ".join(f"WHEN starts_with(id, '{p}') THEN '{c}'" for p, c, _ in rule_etl.ID_PREFIXES) + " ELSE 'secret' END AS category, CASE " + " ".join(f"WHEN starts_with(id, '{p}') THEN '{s}'" for p, _, s in rule_etl.ID_PREFIXES) + " ELSE 'generic' END AS subcategory FROM (VALUES " + ", ".join(f"('{i}')" for i in IDS) + ") v(id)")
+def rule_id_lookup(spark, sf):
+    df = spark.createDataFrame([(i,) for i in IDS], "id string")
+    return df.select("id", rule_etl.category_of_id(F.col("id")).alias("c")).select("id", "c.category", "c.subcategory")
+
+
+PATTERNS = ["AKIA[0-9]{16}", "(?i)password=.+", "[0-9]{9}", "xoxb-[0-9]+", "key: .*"]
+
+
+@query("SELECT regex, CASE WHEN " + " OR ".join(f"contains(regex, {sql.quoted(w)})" for w in rule_etl.VENDOR_LITERALS) + " THEN 'high' ELSE 'medium' END AS confidence FROM (VALUES " + ", ".join(f"({sql.quoted(p)})" for p in PATTERNS) + ") v(regex)")
+def infer_confidence(spark, sf):
+    df = spark.createDataFrame([(p,) for p in PATTERNS], "regex string")
+    return df.select("regex", rule_etl.confidence(F.col("regex")).alias("confidence"))
+
+
+#: A rule list of every part: id, source, subcategory, position.
+RULES = """SELECT 'r' || (p_partkey % 900) AS id, ['alpha', 'beta', 'gamma', 'hand-authored'][p_partkey % 17 % 4 + 1] AS source, CASE WHEN p_partkey % 5 = 0 THEN 'aws' ELSE 'generic' END AS subcategory, p_partkey AS pos, ['stripe', 'okta', 'x', 'heroku'][p_partkey % 4 + 1] || p_partkey AS vendor FROM part"""
+
+
+def rules(spark, sf):
+    k = F.col("p_partkey")
+    pick = lambda options, i: F.element_at(F.array(*[F.lit(o) for o in options]), (i + 1).cast("int"))
+    return table(spark, sf, "part").select(
+        F.concat(F.lit("r"), (k % 900).cast("string")).alias("id"), pick(("alpha", "beta", "gamma", "hand-authored"), k % 17 % 4).alias("source"),
+        F.when(k % 5 == 0, "aws").otherwise("generic").alias("subcategory"), k.alias("pos"), F.concat(pick(("stripe", "okta", "x", "heroku"), k % 4), k.cast("string")).alias("vendor"),
+    )
+
+
+@query(f"SELECT id, source, pos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE source WHEN 'alpha' THEN 0 WHEN 'beta' THEN 1 WHEN 'gamma' THEN 2 ELSE 3 END DESC, pos DESC) AS rn FROM ({RULES})) WHERE rn = 1")
+def rule_merge_priority(spark, sf):
+    every = rules(spark, sf)
+    return rule_etl.merge([every.where(F.col("source") == s) for s in ("alpha", "beta", "gamma", "hand-authored")]).select("id", "source", "pos")
+
+
+@query(f"WITH u AS (SELECT id, min(source) AS source FROM ({RULES}) GROUP BY 1) SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS t FROM u) ORDER BY t, source LIMIT 50")
+def rule_round_robin(spark, sf):
+    return rule_etl.round_robin(rules(spark, sf).groupBy("id").agg(F.min("source").alias("source")), 50)
+
+
+@query(f"SELECT id, count(*) AS n FROM ({RULES}) WHERE id NOT IN (SELECT 'r' || (s_suppkey * 3) FROM supplier) GROUP BY 1")
+def rule_exclusions(spark, sf):
+    excluded = table(spark, sf, "supplier").select(F.concat(F.lit("r"), (F.col("s_suppkey") * 3).cast("string")).alias("id"))
+    return rule_etl.exclude(rules(spark, sf), excluded).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+VENDORS = ["stripe", "heroku", "okta"]
+
+
+@query(f"""WITH r AS (SELECT vendor AS id, source, subcategory, CASE WHEN contains(vendor, 'stripe') THEN 0 WHEN contains(vendor, 'heroku') THEN 1 WHEN contains(vendor, 'okta') THEN 2 END AS score FROM ({RULES})),
+f AS (SELECT id FROM r WHERE source = 'hand-authored' OR subcategory <> 'generic')
+SELECT id FROM f UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY score, id) AS rn FROM r WHERE source <> 'hand-authored' AND subcategory = 'generic' AND score IS NOT NULL) WHERE rn <= 900 - (SELECT count(*) FROM f)""")
+def rule_curation(spark, sf):
+    listed = rules(spark, sf).drop("id").withColumnRenamed("vendor", "id")
+    return rule_etl.curate(listed, 900, VENDORS).select("id")
+
+
+@query(f"SELECT source, count(*) AS count, count(*) FILTER (pos % 3 = 0) AS with_keywords FROM ({RULES}) GROUP BY 1")
+def rule_counts(spark, sf):
+    keywords = F.when(F.col("pos") % 3 == 0, F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))
+    return rule_etl.counts_by_source(rules(spark, sf).withColumn("keywords", keywords))
+
+
+@query(f"SELECT id, count(*) AS count FROM ({RULES}) GROUP BY 1 HAVING count(*) > 1")
+def rule_repeated_ids(spark, sf):
+    return rule_etl.repeated_ids(rules(spark, sf))
