@@ -5,8 +5,9 @@ n-grams of either, in any global order. The order is by estimated document frequ
 fixed size over all texts), rare first, then by hash; an estimate may be too high, never inconsistent.
 
 1. prefixes: per text the set's fingerprint, size and prefix n-grams, written once. Equal sets become one node.
-2. postings: prefix n-grams that occur in at least two different sets, with positions.
-3. hub rounds: in every bucket (n-gram) a random member, another one each round, is compared with the
+2. postings: prefix n-grams that occur in at least two different sets, with positions. What occurs once is sifted out
+   by packed counts before postings travel. The length filter is part of the key: n-gram and class of sizes.
+3. hub rounds: in every bucket (n-gram and class) a random member, another one each round, is compared with the
    members of other components: as many comparisons as postings, however large the bucket. Links merge components,
    and buckets inside one component are done. The rounds go on while they connect much.
 4. last round: the pairs of different components that are left in a bucket, by their first common prefix
@@ -21,6 +22,8 @@ one node. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,20 +70,20 @@ def document_frequency(docs: DataFrame, width: int, bits: int = SKETCH) -> np.nd
                 found, n = np.unique(cell, return_counts=True)
                 sketch[row][found] += n.astype(np.uint32)
         for k, piece in enumerate(sketch.reshape(2 * per_row, size)):
-            at = np.flatnonzero(piece).astype("<u4")
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([piece[at].astype("<u4").tobytes()], pa.binary())], names=["slice", "at", "n"])
+            if piece.any():
+                packed = zlib.compress(np.minimum(piece, 65535).astype("<u2").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "counts"])
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, at, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "at", "n"))):
-                held.setdefault(k, np.zeros(size, np.uint64))[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u4")
+            for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                held.setdefault(k, np.zeros(size, np.uint64))[:] += np.frombuffer(zlib.decompress(packed), "<u2")
         for k, piece in held.items():
             logs = np.minimum(255, np.round(8 * np.log2(piece.astype(float) + 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([logs.tobytes()], pa.binary())], names=["slice", "logs"])
 
-    partial = docs.select("text").mapInArrow(count, "slice int, at binary, n binary")
+    partial = docs.select("text").mapInArrow(count, "slice int, counts binary")
     out = np.zeros((2 * per_row, size), np.uint8)
     for k, logs in partial.repartition(min(16, 2 * per_row), "slice").mapInArrow(merge, "slice int, logs binary").collect():
         out[k] = np.frombuffer(logs, np.uint8)
@@ -124,6 +127,104 @@ def prefixes(docs: DataFrame, width: int, percent: int, bits: int = SKETCH) -> D
     return docs.mapInArrow(run, f"doc_id {kind}, n long, a long, b long, prefix array<long>")
 
 
+def repeated_grams(every: DataFrame, total: int) -> DataFrame:
+    """bucket and grams (packed): prefix n-grams that occur more than once, by 40 bits inside a bucket of leading bits.
+
+    Each task sends an n-gram at most once in a few hundred thousand, five bytes each, so a frequent one costs no
+    more than a rare one. Truncation can only add n-grams; the exact test comes after.
+    """
+    import pyarrow as pa
+
+    bits = min(20, max(6, (total // 500_000).bit_length()))
+
+    def pack(grams):
+        return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+    def unpack(data):
+        out = np.zeros((len(data) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+        return out.view(np.uint64).ravel()
+
+    def send(batches):
+        def flush(grams):
+            grams, n = np.unique(np.concatenate(grams), return_counts=True)
+            cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            for k in np.flatnonzero(np.diff(cuts)):
+                part, again = grams[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]] > 1
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(part[~again])], pa.binary()), pa.array([pack(part[again])], pa.binary())], names=["bucket", "once", "more"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column("prefix").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            size += len(held[-1])
+            if size > 1 << 20:
+                yield from flush(held)
+                held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    def merge(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for k, once, more in zip(*(batch.column(c).to_pylist() for c in ("bucket", "once", "more"))):
+                held.setdefault(k, []).extend((unpack(once), unpack(more), unpack(more)))
+        for k, parts in held.items():
+            grams, n = np.unique(np.concatenate(parts), return_counts=True)
+            if (n > 1).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int((n > 1).sum())], pa.int64()), pa.array([pack(grams[n > 1])], pa.binary())], names=["bucket", "n", "grams"])
+
+    sent = every.select("prefix").mapInArrow(send, "bucket int, once binary, more binary")
+    found = sent.repartition("bucket").mapInArrow(merge, "bucket int, n long, grams binary")
+    return save(found.withColumn("bits", F.lit(bits)), "repeated")
+
+
+def postings_of(every: DataFrame, most: int = 8_000_000) -> DataFrame:
+    """doc_id, n, a, pos and gram of prefix n-grams that may occur in two sets.
+
+    Up to `most` repeated n-grams become a bitmap that is broadcast (16 MiB at most) and sifts the rest out before
+    anything travels; with more of them all prefixes travel. Either way the exact test follows.
+    """
+    import pyarrow as pa
+
+    total = every.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    repeated = repeated_grams(every, total)
+    count, bits = repeated.agg(F.sum("n"), F.max("bits")).first()
+    if not count:
+        return every.select("doc_id", "n", "a", F.posexplode("prefix").alias("pos", "gram")).where("false")
+    if count > most:
+        return every.select("doc_id", "n", "a", F.posexplode("prefix").alias("pos", "gram"))
+    log = min(27, int(count).bit_length() + 4)
+
+    def cells(grams):
+        kept = (grams & np.uint64((1 << 40) - 1)) | (grams >> np.uint64(64 - bits) << np.uint64(40))
+        return (mix(kept) & np.uint64((1 << log) - 1)).astype(np.int64)
+
+    bitmap = np.zeros(1 << (log - 3), np.uint8)
+    for row in repeated.select("bucket", "grams").toLocalIterator():
+        wide = np.zeros((len(row["grams"]) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(bytes(row["grams"]), np.uint8).reshape(-1, 5)
+        at = cells(wide.view(np.uint64).ravel() | np.uint64(row["bucket"]) << np.uint64(64 - bits))
+        np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    shared = every.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        seen = shared.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = lists.value_parent_indices().to_numpy() if hasattr(lists, "value_parent_indices") else np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+            at = cells(grams.view(np.uint64))
+            keep = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            who = pa.array(owner[keep], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(who) for c in ("doc_id", "n", "a")), pa.array((keep - first[owner[keep]]).astype(np.int32)), pa.array(grams[keep])], names=["doc_id", "n", "a", "pos", "gram"]
+            )
+
+    kind = dict(every.dtypes)["doc_id"]
+    return every.select("doc_id", "n", "a", "prefix").mapInArrow(run, f"doc_id {kind}, n long, a long, pos int, gram long")
+
+
 def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node and grams (sorted 64-bit hashes as bytes) of the nodes that have postings."""
     import pyarrow as pa
@@ -229,13 +330,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # Equal sets are one node: that of the smallest id.
     nodes = save(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("node")), "nodes")
 
-    # An n-gram counts if two different sets have it in their prefixes.
-    grams = full.select(F.explode("prefix").alias("gram"), "a")
-    shared = grams.groupBy("gram").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("gram")
-    members = nodes.select("node").join(full, F.col("node") == F.col("doc_id")).select("node", "n", "prefix").dropDuplicates(["node"])
-    posted = members.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = shared.withColumn("twin", twin("gram"))
-    postings = save(posted.withColumn("twin", twin("gram")).join(shared, ["gram", "twin"], "left_semi").select("gram", "node", "n", "pos"), "postings")
+    # A bucket is an n-gram and a class of sizes: each set is in its class and the next one, so that two sets whose
+    # sizes allow a link share a bucket. It counts if two different sets are in it.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) * (1 + 1e-6))).cast("int")
+    posted = save(postings_of(full), "posted").withColumn("own_class", size_class).withColumn("k", F.explode(F.array("own_class", F.col("own_class") + 1)))
+    shared = posted.groupBy("gram", "k").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
+    kept = posted.withColumn("twin", twin("gram")).join(shared, ["gram", "k", "twin"], "left_semi")
+    firsts = nodes.select("node")
+    postings = save(kept.join(firsts, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "gram", "pos", "k", "own_class").dropDuplicates(["gram", "k", "node"]), "postings")
 
     sets = save(node_sets(docs, postings.select("node").distinct(), width), "sets")
     links = None
@@ -249,17 +351,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             break
         placed = postings.join(belongs, "node")
         if turn:
-            spread = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", twin("gram"))
-            placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "twin"], "left_semi").drop("twin")
+            spread = placed.groupBy("gram", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
+            placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "k", "twin"], "left_semi").drop("twin")
         placed = save(placed, "placed")
-        postings = placed.select("gram", "node", "n", "pos")
+        postings = placed.select("gram", "k", "own_class", "node", "n", "pos")
         size = placed.count()
         if not size:
             left = 0
             break
-        hubs = placed.groupBy("gram").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "gram", F.lit(turn))).alias("hub"))
-        hubs = hubs.select("gram", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), twin("gram"))
-        pairs = placed.withColumn("twin", twin("gram")).join(hubs, ["gram", "twin"]).where((F.col("component") != F.col("hub_component")) & fits)
+        hubs = placed.groupBy("gram", "k").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "gram", F.lit(turn))).alias("hub"))
+        hubs = hubs.select("gram", "k", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), twin("gram"))
+        pairs = placed.withColumn("twin", twin("gram")).join(hubs, ["gram", "k", "twin"]).where((F.col("component") != F.col("hub_component")) & fits)
         pairs = pairs.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
@@ -278,22 +380,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if left:
         # Pairs of different components that no hub has settled, each at its first common prefix n-gram.
         placed = postings.join(belongs, "node")
-        spread = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", twin("gram"))
-        placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "twin"], "left_semi").drop("twin")
-        order = postings.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda p: p["gram"]).alias("own"))
+        spread = placed.groupBy("gram", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
+        placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "k", "twin"], "left_semi").drop("twin")
+        order = postings.groupBy("node").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "gram"))), lambda p: p["gram"]).alias("own"))
         placed = save(placed.join(order, "node"), "rest")
-        one = placed.select(F.col("gram").alias("x_gram"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component", "own")])
-        two = placed.select(F.col("gram").alias("y_gram"), *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component", "own")])
+        one = placed.select(*[F.col(c).alias(f"x_{c}") for c in ("gram", "k", "own_class", "node", "n", "pos", "component", "own")])
+        two = placed.select(*[F.col(c).alias(f"y_{c}") for c in ("gram", "k", "own_class", "node", "n", "pos", "component", "own")])
         need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100.0 + percent) - 1e-9)
         rest_of = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
         ready = (
             (F.col("x_node") < F.col("y_node"))
+            & (F.col("x_k") == F.greatest("x_own_class", "y_own_class"))
             & (F.col("x_component") != F.col("y_component"))
             & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
             & (rest_of >= need)
             & (F.element_at(F.array_intersect("x_own", "y_own"), 1) == F.col("x_gram"))
         )
-        pairs = one.join(two, (F.col("x_gram") == F.col("y_gram")) & ready).select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+        pairs = one.join(two, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_k") == F.col("y_k")) & ready).select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         found = save(verify(pairs, sets, percent), "links")
