@@ -167,7 +167,7 @@ def json_rebuilt(bodies: DataFrame, changes: DataFrame) -> DataFrame:
     import pandas as pd
 
     @F.pandas_udf("string")
-    def run(body: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series:
+    def run(body, paths, texts):
         def one(b, p, t):
             if p is None or len(p) == 0:
                 return b
@@ -210,7 +210,7 @@ def map_multipart(body: Column, content_type: Column, pattern: str, new: str) ->
     import pandas as pd
 
     @F.pandas_udf("string")
-    def run(bodies: pd.Series, boundaries: pd.Series) -> pd.Series:
+    def run(bodies, boundaries):
         found = re.compile(pattern)
 
         def one(b, mark):
@@ -248,7 +248,7 @@ def decompress(body: Column, encoding: Column) -> Column:
     import pandas as pd
 
     @F.pandas_udf("binary")
-    def run(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
+    def run(bodies, encodings):
         return pd.Series([unpack(b, e) for b, e in zip(bodies, encodings)])
 
     return run(body, encoding)
@@ -258,7 +258,7 @@ def compress(body: Column, encoding: Column) -> Column:
     import pandas as pd
 
     @F.pandas_udf("binary")
-    def run(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
+    def run(bodies, encodings):
         return pd.Series([pack(b, e) for b, e in zip(bodies, encodings)])
 
     return run(body, encoding)

@@ -1 +1,129 @@
-"""Queries to come."""
+"""Format routing queries; bodies are made from the conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import detect, route
+from ..session import table
+from ..sources.rules import CORE
+from . import sql
+from .registry import query
+
+#: A pattern and its stand-in: what a body's values change to here.
+WORD, NEW = "[a-z]*th[a-z]*", "<th>"
+HEADERS = ["Authorization", "X-Api-Key", "Host", "content-type", "X-Secret", "My-Token-Id", "Accept", "X-Other", "PASSWORD-HINT", "Connection", "x-auth-token"]
+TYPES = ["application/json; charset=utf-8", "application/x-www-form-urlencoded", 'multipart/form-data; boundary="aB1"', "multipart/form-data", "text/event-stream", "image/png", "application/octet-stream", "text/plain", "Application/JSON", ""]
+
+
+def change(c):
+    return F.regexp_replace(c, WORD, NEW)
+
+
+def talk(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def sql_change(x: str) -> str:
+    return f"regexp_replace({x}, '{WORD}', '{NEW}', 'g')"
+
+
+@query("SELECT name, lower(name) NOT IN (" + ", ".join(f"'{h}'" for h in route.NEVER) + ") AND (lower(name) IN (" + ", ".join(f"'{h}'" for h in route.ALWAYS) + f") OR regexp_matches(lower(name), '{route.PARTS}')) AS searched FROM (VALUES " + ", ".join(f"('{h}')" for h in HEADERS) + ") v(name)")
+def header_predicate(spark, sf):
+    return spark.createDataFrame([(h,) for h in HEADERS], "name string").select("name", route.header_searched(F.col("name")).alias("searched"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(t)}, '{r}')" for t, r in zip(TYPES, ("json", "form", "multipart", "plain", "sse", "binary", "binary", "plain", "json", "plain"))) + ") v(content_type, route)")
+def content_routes(spark, sf):
+    return spark.createDataFrame([(t,) for t in TYPES], "content_type string").select("content_type", route.route_of(F.col("content_type")).alias("route"))
+
+
+@query("""SELECT * FROM (VALUES ('api.example.com', true), ('example.com', true), ('badexample.com', false), ('x.org', true), ('y.x.org', true), ('org', false)) v(host, taken)""")
+def host_predicate(spark, sf):
+    df = spark.createDataFrame([(h,) for h in ("api.example.com", "example.com", "badexample.com", "x.org", "y.x.org", "org")], "host string")
+    return df.select("host", route.host_matches(F.col("host"), ("example.com", "x.org")).alias("taken"))
+
+
+@query("""SELECT * FROM (VALUES ('AWS4-HMAC-SHA256 Credential=A', true), ('Bearer AWS4-HMAC-SHA256 Credential=', false), (NULL, false)) v(header, signed)""")
+def signed_bypass(spark, sf):
+    df = spark.createDataFrame([("AWS4-HMAC-SHA256 Credential=A",), ("Bearer AWS4-HMAC-SHA256 Credential=",), (None,)], "header string")
+    return df.select("header", route.signed_request(F.col("header")).alias("signed"))
+
+
+@query(f"SELECT conv_id, turn, 'q=' || {sql_change('w')} || '&role=' || role AS body FROM (SELECT *, regexp_replace(lower(left(text, 60)), '[^a-z]', '', 'g') AS w FROM conversations)".replace("'<th>'", "'%3Cth%3E'"))
+def form_redact(spark, sf):
+    word = F.regexp_replace(F.lower(F.left("text", F.lit(60))), "[^a-z]", "")
+    body = F.concat(F.lit("q="), F.url_encode(word), F.lit("&role="), F.col("role"))
+    return talk(spark, sf).select("conv_id", "turn", route.map_form(body, change).alias("body"))
+
+
+SSE = "'event: ' || role || chr(10) || 'data: ' || replace(replace(text, chr(13), ''), chr(10), chr(10) || 'data: ') || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)"
+
+
+def sse_body():
+    lines = F.replace(F.replace(F.col("text"), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\ndata: "))
+    return F.concat(F.lit("event: "), F.col("role"), F.lit("\ndata: "), lines, F.lit("\n\ndata: [DONE]\n\n"))
+
+
+@query("SELECT conv_id, turn, 2 AS frames, role AS event, replace(text, chr(13), '') AS data FROM conversations")
+def sse_frames(spark, sf):
+    frames = route.sse_frames(sse_body())
+    return talk(spark, sf).select("conv_id", "turn", frames.alias("f")).select("conv_id", "turn", F.size("f").alias("frames"), F.col("f")[0]["event"].alias("event"), F.col("f")[0]["data"].alias("data"))
+
+
+@query(f"SELECT conv_id, turn, 'event: ' || role || chr(10) || 'data: ' || replace({sql_change('t')}, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) AS body FROM (SELECT *, replace(text, chr(13), '') AS t FROM conversations)")
+def sse_redact(spark, sf):
+    return talk(spark, sf).select("conv_id", "turn", route.map_sse(sse_body(), change).alias("body"))
+
+
+@query(f"SELECT conv_id, turn, {sql_change('text')} AS value, role FROM conversations")
+def json_redact(spark, sf):
+    """Values of any JSON tree: leaves out, changed, and put back; keys and numbers stay."""
+    body = F.to_json(F.struct("role", F.struct(F.col("text").alias("value"), F.col("turn").alias("n")).alias("inner")))
+    bodies = talk(spark, sf).select(F.struct("conv_id", "turn").alias("id"), body.alias("body"))
+    leaves = route.json_leaves(bodies)
+    changed = leaves.where(F.col("path") == "$.inner.value").withColumn("text", change(F.col("text")))
+    new = route.json_rebuilt(bodies, changed).withColumn("v", F.from_json("body", "role string, inner struct<value:string,n:long>"))
+    return new.select("id.conv_id", "id.turn", F.col("v.inner.value").alias("value"), F.col("v.role").alias("role"))
+
+
+@query(f"SELECT conv_id, turn, {sql_change('t')} AS text_part, t AS file_part FROM (SELECT conv_id, turn, replace(text, chr(13), '') AS t FROM conversations)")
+def multipart_redact(spark, sf):
+    t = F.replace(F.col("text"), F.lit("\r"), F.lit(""))
+    head = "--bX\r\nContent-Disposition: form-data; name=\"{}\"\r\n{}\r\n"
+    body = F.concat(F.lit(head.format("a", "")), t, F.lit("\r\n" + head.format("f", "Content-Type: image/png\r\n")), t, F.lit("\r\n--bX--\r\n"))
+    new = route.map_multipart(body, F.lit("multipart/form-data; boundary=bX"), WORD, NEW)
+    parts = F.split(new, "--bX(?:--)?\r\n")
+    content = lambda i: F.regexp_replace(F.regexp_replace(parts[i], "(?s)^.*?\r\n\r\n", ""), "\r\n$", "")
+    return talk(spark, sf).select("conv_id", "turn", content(1).alias("text_part"), content(2).alias("file_part"))
+
+
+@query("SELECT conv_id, turn, text AS back FROM conversations")
+def gzip_roundtrip(spark, sf):
+    encoding = F.element_at(F.array(F.lit("gzip"), F.lit("deflate"), F.lit("br")), (F.col("turn") % 3 + 1).cast("int"))
+    packed = talk(spark, sf).select("conv_id", "turn", route.compress(F.col("text").cast("binary"), encoding).alias("body"), encoding.alias("encoding"))
+    return packed.select("conv_id", "turn", route.loggable(route.decompress(F.col("body"), F.col("encoding"))).alias("back"))
+
+
+@query("SELECT conv_id, turn, 'Bearer ' || '<' || role || '>' AS bearer, 'Basic ' || base64(encode('<' || 'u:' || role || '>')) AS basic FROM conversations")
+def header_redact(spark, sf):
+    wrap = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    basic = F.concat(F.lit("Basic "), F.base64(F.concat(F.lit("u:"), F.col("role")).cast("binary")))
+    return talk(spark, sf).select("conv_id", "turn", route.authorization(F.concat(F.lit("Bearer "), F.col("role")), wrap).alias("bearer"), route.authorization(basic, wrap).alias("basic"))
+
+
+@query(f"WITH h AS ({sql.hits(source='(SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 2)')}) SELECT doc_id % 3 = 0 AS binary_type, count(*) AS n FROM h WHERE doc_id % 3 <> 0 GROUP BY 1")
+def routed_scan(spark, sf):
+    """Bodies by content type: binary ones and signed requests pass unsearched."""
+    docs = table(spark, sf, "documents").withColumn("content_type", F.when(F.col("doc_id") % 3 == 0, "image/png").otherwise("text/plain"))
+    signed = F.when(F.col("doc_id") % 3 == 2, F.lit("AWS4-HMAC-SHA256 Credential=x"))
+    searched = docs.where((route.route_of(F.col("content_type")) != "binary") & ~route.signed_request(signed))
+    found = detect.scan(searched, CORE)
+    return found.groupBy((F.col("doc_id") % 3 == 0).alias("binary_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN strlen(text)::VARCHAR ELSE '0' END AS content_length FROM conversations")
+def content_length(spark, sf):
+    headers = F.create_map(F.lit("content-length"), F.lit("0"))
+    new = route.content_length(headers, F.col("text"), F.col("turn") % 2 == 0)
+    return talk(spark, sf).select("conv_id", "turn", F.try_element_at(new, F.lit("content-length")).alias("content_length"))

@@ -1 +1,85 @@
-"""Queries to come."""
+"""Streaming queries: each drains what is there now and returns the sink's rows."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..session import table
+from ..streaming import stateful
+from .registry import query
+
+
+def folder(spark, name: str) -> str:
+    """A fresh folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/maskwright-{name}-{uuid.uuid4().hex}"
+
+
+def drained(df, spark, name: str, mode: str = "append"):
+    """The stream's result as a table in the shared folder; complete mode keeps the last state."""
+    out = folder(spark, name)
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+def events(spark, sf):
+    path = f"{sf}/events*.parquet"
+    return stateful.tail(spark, path, table(spark, sf, "events").schema, "parquet")
+
+
+@query("SELECT event_type, count(*) AS count FROM events GROUP BY 1")
+def stream_counters(spark, sf):
+    return drained(stateful.counters(events(spark, sf), "event_type"), spark, "counters", "complete")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2")
+def stream_daily_counts(spark, sf):
+    """Extension: tumbling windows. Complete mode keeps every window."""
+    counted = stateful.windowed_counts(events(spark, sf), "ts", "event_type")
+    return drained(counted, spark, "daily", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE value > 50")
+def stream_tail(spark, sf):
+    return drained(events(spark, sf).where("value > 50").select("event_id", "event_type"), spark, "tail")
+
+
+def chunks(spark, sf, text):
+    """Conversations cut into chunks of 7 characters, written as a source of two files."""
+    body = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))), lambda x: x["t"]), "").alias("body"))
+    n = F.greatest(F.ceil(F.char_length("body") / 7).cast("int"), F.lit(1))
+    cut = body.select(F.col("conv_id").alias("stream_id"), "body", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    rows = cut.select("stream_id", "seq", F.substr("body", F.col("seq") * 7 + 1, F.lit(7)).alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("is_last"))
+    path = folder(spark, "chunks")
+    rows.where("NOT is_last").coalesce(1).write.parquet(f"{path}/a")
+    rows.where("is_last").coalesce(1).write.parquet(f"{path}/b")
+    schema = spark.read.parquet(f"{path}/a").schema
+    first = stateful.tail(spark, f"{path}/*", schema, "parquet")
+    return first
+
+
+
+def _sse():
+    return F.concat(F.lit("event: "), F.col("role"), F.lit("\ndata: "), F.regexp_replace("text", "[\r\n]", " "), F.lit("\n\n"))
+
+
+@query("SELECT conv_id AS stream_id, role AS event, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS data FROM conversations")
+def stream_sse_parser(spark, sf):
+    return drained(stateful.sse_frames(chunks(spark, sf, _sse())), spark, "frames").select("stream_id", "event", "data")
+
+
+PAIRS = {"that": "THAT!", "the ": "<the>", "and": "&"}
+
+
+@query("SELECT conv_id AS stream_id, replace(replace(replace(string_agg(text, '' ORDER BY turn), 'that', 'THAT!'), 'the ', '<the>'), 'and', '&') AS text FROM conversations GROUP BY 1")
+def stream_rolling_restore(spark, sf):
+    out = drained(stateful.rolling_restore(chunks(spark, sf, F.col("text")), PAIRS), spark, "restored")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy("stream_id").agg(whole.alias("text"))

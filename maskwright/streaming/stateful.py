@@ -28,6 +28,7 @@ def counters(events: DataFrame, key: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Extension: counts by tumbling window; rows later than the watermark are left out."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("count")).select(F.col("w.start").alias("start"), key, "count")
 
 
