@@ -9,9 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import table  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,14 +36,39 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the table back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+def begin_scratch() -> None:
+    """From here to finish_scratch() save() takes note of what it writes."""
+    _scopes.append([])
+
+
+def finish_scratch(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete what was written since begin_scratch(), but for the tables that keep reads."""
+    kept = {df._scratch_path for df in keep}
+    for path in _scopes.pop():
+        if path not in kept:
+            delete(spark, path)
+        elif _scopes:
+            _scopes[-1].append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete what save() wrote in this application; results that still read it must be written first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
 
 
 def twin(column):
@@ -57,6 +80,16 @@ def twin(column):
     return F.xxhash64(column).alias("twin")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch of this session.
+
+    Whole texts travel to Python in these batches; the default of 10,000 takes tens of MB in the JVM and again in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 # ---- words -------------------------------------------------------------------------------
 
 #: The bytes that separate words: space and 0x09-0x0D.

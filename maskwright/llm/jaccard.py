@@ -7,12 +7,12 @@ fixed size over all texts), rare first, then by hash; an estimate may be too hig
 1. prefixes: per text the set's fingerprint, size and prefix n-grams, written once. Equal sets become one node.
 2. postings: prefix n-grams that occur in at least two different sets, with positions. What occurs once is sifted out
    by packed counts before postings travel. The length filter is part of the key: n-gram and class of sizes.
-3. hub rounds: in every bucket (n-gram and class) a random member, another one each round, is compared with the
-   members of other components: as many comparisons as postings, however large the bucket. Links merge components,
-   and buckets inside one component are done. The rounds go on while they connect much.
-4. last round: the pairs of different components that are left in a bucket, by their first common prefix
-   n-gram, so that each is verified once. Length and positional filters are join conditions; the suffix
-   filter runs before the full intersection.
+3. pairs of buckets (n-gram and class) of fewer than `crowd` sets, made distinct so that each is verified once. Length and
+   positional filters are join conditions; the suffix filter runs before the full intersection.
+4. hub rounds for crowded buckets: a random member, another one each round, is compared with the members of other
+   components: as many comparisons as postings, however large the bucket. Links merge components, and buckets inside
+   one component are done. The rounds go on while they connect much; then the pairs of different components
+   that are left are made as in step 3.
 
 Components come from the links by hash-to-min rounds; nothing about all documents reaches the driver.
 
@@ -22,16 +22,17 @@ one node. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, blocks, mix, save, shingle_hashes, table, twin, word_hashes, words
+from .common import arrow_bytes, begin_scratch, blocks, bounded_batches, delete, finish_scratch, mix, save, scratch_path, shingle_hashes, table, twin, word_hashes, words
 
 SKETCH = 22
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 def ngram_sets(column, width: int):
@@ -225,12 +226,25 @@ def postings_of(every: DataFrame, most: int = 8_000_000) -> DataFrame:
     return every.select("doc_id", "n", "a", "prefix").mapInArrow(run, f"doc_id {kind}, n long, a long, pos int, gram long")
 
 
+def pack48(grams: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.sort(grams & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack48(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and grams (sorted 64-bit hashes as bytes) of the nodes that have postings."""
+    """A table of node and grams (the set's hashes, 48 bits each) of the nodes, bucketed by node: it travels once.
+
+    The few other texts that a bitmap lets through, and repeated rows, do no harm to joins with pairs.
+    """
     import pyarrow as pa
 
     bits = 26
-    # A bitmap of fixed size sifts the texts before they travel; the join after it is exact.
+    # A bitmap of fixed size sifts the texts before they travel.
     def mark(batches):
         seen = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
@@ -251,12 +265,19 @@ def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             h = mix(ids.view(np.uint64)) & np.uint64((1 << bits) - 1)
             keep = np.flatnonzero((seen[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
             part = part.take(pa.array(keep))
-            grams = [s.tobytes() for s in ngram_sets(part.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], names=["id", "grams"])
+            grams = [pack48(s) for s in ngram_sets(part.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], names=["node", "grams"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = docs.mapInArrow(run, f"id {kind}, grams binary")
-    return found.join(nodes, found["id"] == nodes["node"], "left_semi").groupBy(F.col("id").alias("node")).agg(F.first("grams").alias("grams"))
+    spark = docs.sparkSession
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"ngram_sets_{uuid.uuid4().hex}"
+    out = docs.mapInArrow(run, f"node {kind}, grams binary").repartition(buckets, "node").write.bucketBy(buckets, "node").format("parquet")
+    path = scratch_path(spark, "sets")
+    out.option("path", path).saveAsTable(name)
+    held = spark.table(name)
+    held._sets = name, path
+    return held
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -277,7 +298,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for i, (gx, gy) in enumerate(zip(batch.column("gx"), batch.column("gy"))):
-                x, y = np.frombuffer(gx.as_buffer(), np.uint64), np.frombuffer(gy.as_buffer(), np.uint64)
+                x, y = unpack48(gx.as_buffer()), unpack48(gy.as_buffer())
                 total = len(x) + len(y)
                 need = -(-percent * total // (100 + percent))
                 if suffix_bound(x, y) < need:
@@ -322,9 +343,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 12, crowd: int = 64) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id that links of at least percent reach)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    begin_scratch()
     every = save(prefixes(docs, width, percent), "prefixes")
     full = every.where("n > 0")
     # Equal sets are one node: that of the smallest id.
@@ -333,77 +357,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # A bucket is an n-gram and a class of sizes: each set is in its class and the next one, so that two sets whose
     # sizes allow a link share a bucket. It counts if two different sets are in it.
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) * (1 + 1e-6))).cast("int")
-    posted = save(postings_of(full), "posted").withColumn("own_class", size_class).withColumn("k", F.explode(F.array("own_class", F.col("own_class") + 1)))
+    posted = save(postings_of(full), "posted").withColumn("k", F.explode(F.array(size_class, size_class + 1)))
     shared = posted.groupBy("gram", "k").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
-    kept = posted.withColumn("twin", twin("gram")).join(shared, ["gram", "k", "twin"], "left_semi")
+    kept = posted.select("doc_id", "n", "pos", "gram", "k", twin("gram")).join(shared, ["gram", "k", "twin"], "left_semi")
     firsts = nodes.select("node")
-    postings = save(kept.join(firsts, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "gram", "pos", "k", "own_class").dropDuplicates(["gram", "k", "node"]), "postings")
-
-    sets = save(node_sets(docs, postings.select("node").distinct(), width), "sets")
-    links = None
-    belongs = save(postings.select("node").distinct().withColumn("component", F.col("node")), "belongs")
-    fits = F.col("n") * 100 >= F.col("hub_n") * percent
-    fits = fits & (F.col("hub_n") * 100 >= F.col("n") * percent)
-    tried = None
-    left = postings.count()
+    postings = save(kept.join(firsts, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "gram", "pos", "k").dropDuplicates(["gram", "k", "node"]), "postings")
+
+    # Buckets of fewer than `crowd` sets: their pairs are at most crowd a posting, and are all made.
+    crowded = postings.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= crowd).select("gram", "k", twin("gram"))
+    crowded = save(crowded, "crowded")
+    keyed = postings.withColumn("twin", twin("gram"))
+    pairs = save(_pairs(keyed.join(crowded, ["gram", "k", "twin"], "left_anti"), percent, size_class), "pairs")
+    active = save(keyed.join(crowded, ["gram", "k", "twin"], "left_semi").drop("twin"), "active")
+    nodes_used = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(active.select("node")).distinct()
+    nodes_used = save(nodes_used.withColumn("component", F.col("node")), "belongs")
+    sets = node_sets(docs, nodes_used.select("node"), width)
+    belongs = _merge(nodes_used, save(verify(pairs, sets, percent), "links"))
+
+    tried = pairs
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     for turn in range(hub_rounds):
-        if not left:
+        active = save(_unsettled(active, belongs), "active")
+        if not active.limit(1).count():
             break
-        placed = postings.join(belongs, "node")
-        if turn:
-            spread = placed.groupBy("gram", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
-            placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "k", "twin"], "left_semi").drop("twin")
-        placed = save(placed, "placed")
-        postings = placed.select("gram", "k", "own_class", "node", "n", "pos")
-        size = placed.count()
-        if not size:
-            left = 0
-            break
-        hubs = placed.groupBy("gram", "k").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "gram", F.lit(turn))).alias("hub"))
+        hubs = active.groupBy("gram", "k").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "gram", F.lit(turn))).alias("hub"))
         hubs = hubs.select("gram", "k", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), twin("gram"))
-        pairs = placed.withColumn("twin", twin("gram")).join(hubs, ["gram", "k", "twin"]).where((F.col("component") != F.col("hub_component")) & fits)
-        pairs = pairs.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = save(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = save(verify(pairs, sets, percent), "links")
-        n_pairs, n_found = pairs.count(), found.count()
+        near = active.withColumn("twin", twin("gram")).join(hubs, ["gram", "k", "twin"]).where((F.col("component") != F.col("hub_component")) & fits)
+        near = near.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
+        near = save(near.join(tried, ["x", "y"], "left_anti"), "pairs")
+        tried = tried.union(near)
+        found = save(verify(near, sets, percent), "links")
+        n_pairs, n_found = near.count(), found.count()
         if n_found:
-            links = found if links is None else links.union(found)
             belongs = _merge(belongs, found)
-        if n_found < 0.02 * n_pairs or n_found == 0 or size < 1000:
-            left = size
+        if n_found < 0.02 * n_pairs or not n_found:
             break
-        left = size
-
-    if left:
-        # Pairs of different components that no hub has settled, each at its first common prefix n-gram.
-        placed = postings.join(belongs, "node")
-        spread = placed.groupBy("gram", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
-        placed = placed.withColumn("twin", twin("gram")).join(spread, ["gram", "k", "twin"], "left_semi").drop("twin")
-        order = postings.groupBy("node").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "gram"))), lambda p: p["gram"]).alias("own"))
-        placed = save(placed.join(order, "node"), "rest")
-        one = placed.select(*[F.col(c).alias(f"x_{c}") for c in ("gram", "k", "own_class", "node", "n", "pos", "component", "own")])
-        two = placed.select(*[F.col(c).alias(f"y_{c}") for c in ("gram", "k", "own_class", "node", "n", "pos", "component", "own")])
-        need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100.0 + percent) - 1e-9)
-        rest_of = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
-        ready = (
-            (F.col("x_node") < F.col("y_node"))
-            & (F.col("x_k") == F.greatest("x_own_class", "y_own_class"))
-            & (F.col("x_component") != F.col("y_component"))
-            & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-            & (rest_of >= need)
-            & (F.element_at(F.array_intersect("x_own", "y_own"), 1) == F.col("x_gram"))
-        )
-        pairs = one.join(two, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_k") == F.col("y_k")) & ready).select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        found = save(verify(pairs, sets, percent), "links")
-        belongs = _merge(belongs, found)
+    # What no hub has settled in the crowded buckets: all pairs of different components that are left.
+    active = save(_unsettled(active.select("gram", "k", "node", "n", "pos"), belongs), "active")
+    if active.limit(1).count():
+        rest = _pairs(active, percent, size_class, apart=True).join(tried, ["x", "y"], "left_anti")
+        belongs = _merge(belongs, save(verify(rest, sets, percent), "links"))
 
     classes = nodes.join(belongs, "node", "left").select("a", "b", "n", F.coalesce("component", "node").alias("component"))
     classes = save(classes, "classes")
+    finish_scratch(spark, every, classes)
+    name, path = sets._sets
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, path)
     out = every.join(classes, ["a", "b", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -416,6 +416,39 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     return keep_rows(docs, save(classes.select("doc_id", F.lit("").alias("text_sha256")), "kept"))
 
 
+def _pairs(postings: DataFrame, percent: int, size_class, apart: bool = False) -> DataFrame:
+    """Distinct pairs (x < y) of nodes in a bucket that the length and positional filters allow.
+
+    apart: of different components, and each at the first n-gram that both have in postings only. That keeps the join
+    from making a pair once for every n-gram of a passage; the lists of n-grams that it needs go with crowded buckets only.
+    """
+    columns = ("gram", "k", "node", "n", "pos", *(("component", "grams") if apart else ()))
+    if apart:
+        ordered = F.transform(F.array_sort(F.collect_set(F.struct("pos", "gram"))), lambda p: p["gram"])
+        postings = postings.join(postings.groupBy("node").agg(ordered.alias("grams")), "node")
+    postings = save(postings.select(*columns, size_class.alias("own")), "buckets") if apart else postings.select(*columns, size_class.alias("own"))
+    one = postings.select(*[F.col(c).alias(f"x_{c}") for c in (*columns, "own")])
+    two = postings.select(*[F.col(c).alias(f"y_{c}") for c in (*columns, "own")])
+    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100.0 + percent) - 1e-9)
+    # At the first n-gram that both prefixes have, what is behind it bounds the intersection; later ones have less behind them.
+    rest_of = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
+    ready = (F.col("x_node") < F.col("y_node")) & (F.col("x_k") == F.greatest("x_own", "y_own"))
+    if apart:
+        ready = ready & (F.col("x_component") != F.col("y_component"))
+    ready = ready & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (rest_of >= need)
+    if apart:
+        ready = ready & (F.element_at(F.array_intersect("x_grams", "y_grams"), 1) == F.col("x_gram"))
+    joined = one.join(two, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_k") == F.col("y_k")) & ready)
+    return joined.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
+
+
+def _unsettled(active: DataFrame, belongs: DataFrame) -> DataFrame:
+    """The postings, with components, of buckets in which more than one component is left."""
+    placed = active.select("gram", "k", "node", "n", "pos").join(belongs, "node")
+    spread = placed.groupBy("gram", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
+    return placed.withColumn("twin", twin("gram")).join(spread, ["gram", "k", "twin"], "left_semi").drop("twin")
+
+
 def _merge(belongs: DataFrame, found: DataFrame) -> DataFrame:
     """belongs with the components that the new links join."""
     at = belongs.select(F.col("node").alias("x"), F.col("component").alias("cx"))
