@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, save, table
+from .common import blocks, delete, save, table
 from .token_counts import byte_alphabet
 
 CAPACITY, GROUP_ROWS, NODES, WELL_FILLED = 4096, 8192, 2000, 0.98
@@ -317,7 +317,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
 
 def best_fit_packing(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(save(pieces(docs, path, end_id, capacity), "pieces"), capacity)
+    found = save(pieces(docs, path, end_id, capacity), "pieces")
+    packed = pack(found, capacity)
+    delete(docs.sparkSession, found._scratch_path)
+    return packed
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, blocks, mix, shingle_hashes, table, word_hashes, words
+from .common import arrow_bytes, blocks, bounded_batches, mix, shingle_hashes, table, word_hashes, words
 
 WIDTH, GRAM, CELLS, SLICE = 35, 8, 25, 1 << 20
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -173,6 +173,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells:
     """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256."""
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = repeated_starts(docs, width, gram, cells).select(F.col("doc_id").alias("mark_id"), F.col("version").alias("mark_version"), "starts", "runs")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
