@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, blocks, bounded_batches, mix, shingle_hashes, table, word_hashes, words
+from .common import arrow_bytes, blocks, mix, shingle_hashes, table, word_hashes, words
 
 WIDTH, GRAM, CELLS, SLICE = 35, 8, 25, 1 << 20
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -115,7 +115,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells
     """
     import pyarrow as pa
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    keyed = docs.select("doc_id", "text", F.hash("text").alias("version"))
     shared = docs.sparkSession.sparkContext.broadcast(repeat_bits(docs, width, gram, cells))
 
     def candidates(batches):
@@ -162,7 +162,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = keyed.mapInArrow(candidates, f"first long, second int, doc_id {kind}, version long, pos int, runs binary")
+    rows = keyed.mapInArrow(candidates, f"first long, second int, doc_id {kind}, version int, pos int, runs binary")
     same = Window.partitionBy("first", "second")
     counted = rows.withColumn("n", F.count(F.when(F.col("runs").isNull(), 1)).over(same))
     marks = counted.where("runs IS NOT NULL OR (n >= 2 AND pos IS NOT NULL)")
@@ -173,10 +173,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells:
     """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256."""
     import pyarrow as pa
 
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = repeated_starts(docs, width, gram, cells).select(F.col("doc_id").alias("mark_id"), F.col("version").alias("mark_version"), "starts", "runs")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    keyed = docs.select("doc_id", "text", F.hash("text").alias("version"))
     joined = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["mark_id"]) & (keyed["version"] == marks["mark_version"]), "left")
 
     def finish(batches):
