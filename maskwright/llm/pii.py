@@ -2,7 +2,8 @@
 
 Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per kind. A candidate that fails
 its validator is dropped and nothing is tried again inside it. Base spans always stay; the added kinds (iban,
-ssn) stay when base score + validator + context reaches the threshold. Offsets count code points.
+ssn) stay when base score + validator + context reaches the threshold: an iban by its checksum, an ssn only with a
+word of its kind nearby. Offsets count code points.
 
 The patterns are written so that Java's matcher needs linear time and a constant stack on any text: runs are
 possessive, and a match can only begin where a run begins (or where the last match ended).
@@ -38,7 +39,7 @@ KINDS = {
     "card": (r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}+", None, 0.5),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.5),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.4),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.4),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.5),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Words that make a kind likelier within CONTEXT characters.
@@ -188,6 +189,12 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pii_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per span with its score. op6_pii_spans has the columns of its SQL, so the scores are a query of their own."""
+    rows = detect(table(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", "s.kind", "s.start", "s.end", "s.score")
+
+
 def _sql_kind(kind: str, pattern: str) -> str:
     """Per document the matches with their starts, by the same gap-and-match form in RE2."""
     return f"""

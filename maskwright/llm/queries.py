@@ -15,6 +15,7 @@ QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_pii_spans": pii.op6_pii_spans,
+    "pii_span_scores": pii.pii_span_scores,
 }
 ORACLES = {
     "op1_warc": warc.OP1_SQL,

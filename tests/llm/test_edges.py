@@ -126,6 +126,16 @@ def test_pii(docs, nothing, spark):
     assert pii.detect(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
 
+def test_ssn_needs_a_word_of_its_kind(spark):
+    texts = ["ssn 123-45-6789", "part 123-45-6789", "Social Security number: 123-45-6789.", "ssn 000-45-6789", "ssn 123-45-67890", "ssn" + " " * 60 + "123-45-6789"]
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    found = {r.doc_id: [(s.kind, s.raw, s.score) for s in r.spans] for r in pii.detect(frame).collect()}
+    one = [("ssn", "123-45-6789", 0.7)]
+    assert found == {0: one, 1: [], 2: one, 3: [], 4: [], 5: []}
+    masked = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert masked == dict(enumerate(texts)) | {0: "ssn [SSN]", 2: "Social Security number: [SSN]."}
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
 
