@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
-Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per kind. A candidate that fails
-its validator is dropped and nothing is tried again inside it. Base spans always stay; the added kinds (iban,
+All kinds but iban (email, ip, card, phone, ssn) are leftmost, non-overlapping matches per kind. A candidate that fails
+its validator is dropped and nothing is tried again inside it. An iban is the longest prefix of a run of capitals and
+digits that ends at a blank or with the run and passes its checksum; each head in a run is tried, from left to right. Base spans always stay; the added kinds (iban,
 ssn) stay when base score + validator + context reaches the threshold: an iban by its checksum, an ssn only with a
 word of its kind nearby. Offsets count code points.
 
@@ -38,7 +39,8 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", 0.4),
     "card": (r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){11,}+", None, 0.5),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.5),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.4),
+    # Group 1 is the head and the longest run behind it; only the head is consumed, so other heads in the run are tried too.
+    "iban": (r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", None, 0.4),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.5),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -61,6 +63,8 @@ def _empty():
 
 def _spans(text: Column, kind: str) -> Column:
     """array<SPAN> of all matches of the kind's pattern: gaps and matches in turn give the offsets."""
+    if kind == "iban":
+        return _ibans(text)
     pattern, needed, _ = KINDS[kind]
     gaps, raws = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(gaps, raws, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
@@ -80,6 +84,32 @@ def _spans(text: Column, kind: str) -> Column:
     return F.when(found_any, found).otherwise(_empty())
 
 
+def _ibans(text: Column) -> Column:
+    """array<SPAN> of account numbers: each head's longest valid prefix, without those inside the last one taken."""
+    pattern = KINDS["iban"][0]
+    rank = F.lit(list(KINDS).index("iban"))
+
+    def longest(run):
+        groups = F.split(run, " ")
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
+        # A run cut off by a small letter or by its greatest length has that character at its end and is no account number.
+        good = F.filter(prefixes, lambda raw: F.length(F.replace(raw, F.lit(" "))).between(15, 34) & ~raw.rlike("[a-z]") & (mod97(raw) == 1))
+        return F.try_element_at(good, F.lit(-1))
+
+    gaps, raws = F.split(text, pattern, -1), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), longest)
+    pairs = F.zip_with(gaps, raws, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), _empty().alias("out"))
+
+    def step(acc, pair):
+        begin = acc["at"] + F.char_length(pair["gap"])
+        end = begin + F.char_length(pair["raw"])
+        taken = pair["raw"].isNotNull() & (begin >= acc["past"])
+        span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), F.lit("iban").alias("kind"), pair["raw"].alias("raw"))
+        return F.struct((begin + 4).alias("at"), F.when(taken, end).otherwise(acc["past"]).alias("past"), F.when(taken, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(_empty())
+
+
 def _digits(raw: Column) -> Column:
     return F.regexp_replace(raw, "[^0-9]", "")
 

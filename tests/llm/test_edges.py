@@ -136,6 +136,33 @@ def test_ssn_needs_a_word_of_its_kind(spark):
     assert masked == dict(enumerate(texts)) | {0: "ssn [SSN]", 2: "Social Security number: [SSN]."}
 
 
+def brute_ibans(text):
+    out, past = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}", text):
+        ends = [e for e in range(m.end() + 1, min(len(text), m.end() + 60) + 1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", text[m.start() : e]) and not re.match("[A-Za-z0-9]", text[e:])]
+        value = lambda e: (t := text[m.start() : e].replace(" ", ""), int("".join(str(int(c, 36)) for c in t[4:] + t[:4])))[1]
+        ends = [e for e in ends if value(e) % 97 == 1]
+        if ends and m.start() >= past:
+            past = max(ends)
+            out.append((m.start(), past))
+    return out
+
+
+def test_iban_in_capitals_and_digits(spark):
+    british, german = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    known = [(f"{british} Please", [british]), (f"{british} BIC X", [british]), (f"{british} {german} END", [british, german]), (f"REF AB12 {british}", [british]), (f"{british}1", []),
+             ("GB82WEST12345698765432 2024 X1", ["GB82WEST12345698765432"]), ("GB82WEST12345698765432x", []), (f"é {british} PLEASE PAY THE WHOLE AMOUNT TO ME", [british]), (f"{british}, {british}.", [british] * 2)]
+    r = random.Random(8)
+    made = ["".join(r.choices([british, german, "GB82WEST12345698765432", " ", " ", " ", "BIC", "AB12", "7", "x", "é", "Please", "AB12CDEF34567890", "GB82"], k=r.randint(1, 14))) for _ in range(2000)]
+    texts = [t for t, _ in known] + made
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    found = {x.doc_id: [s for s in x.spans if s.kind == "iban"] for x in pii.detect(frame).collect()}
+    assert [[s.raw for s in found[i]] for i in range(len(known))] == [want for _, want in known]
+    assert {i: [(s.start, s.end) for s in found[i]] for i in found} == {i: brute_ibans(t) for i, t in enumerate(texts)}
+    masked = {x.doc_id: x.text for x in pii.redact(frame).collect()}
+    assert masked[0] == "[IBAN] Please" and masked[1] == "[IBAN] BIC X" and masked[2] == "[IBAN] [IBAN] END"
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
 
