@@ -17,7 +17,8 @@ fixed size over all texts), rare first, then by hash; an estimate may be too hig
 Components come from the links by hash-to-min rounds; nothing about all documents reaches the driver.
 
 Texts without words have an empty set and link with nothing. Nulls count as empty. Repeated rows are copies of
-one node. An empty table gives an empty result. Other columns are ignored.
+one node. An empty table gives an empty result. Other columns are ignored. near_duplicates links rows by their id: one
+without an id is in a component only if its set equals that of a row with one. keep_one_of_each numbers such rows first.
 """
 
 from __future__ import annotations
@@ -409,11 +410,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id; all columns."""
-    from .exact_dedup import keep_rows
+    """docs with one row of each component: that of the smallest doc_id; all columns.
 
+    Rows without an id come after all that have one: their folded texts get numbers above the largest id.
+    """
+    from .exact_dedup import fold_ascii, keep_rows
+
+    digest = F.when(F.col("doc_id").isNull(), F.sha2(fold_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
+    nameless = docs.where("doc_id IS NULL").withColumn("_nameless", digest)
+    if not nameless.limit(1).count():
+        return keep_rows(docs, save(_firsts(docs, width, percent), "kept"))
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    # Written once, so that a text's number doesn't change between uses.
+    numbers = save(nameless.select("_nameless").distinct().withColumn("_number", F.monotonically_increasing_id() + F.lit(top + 1)), "numbers")
+    numbered = nameless.select("_nameless", "text").join(numbers, "_nameless").select(F.col("_number").alias("doc_id"), "text")
+    named = docs.where("doc_id IS NOT NULL")
+    kept = save(_firsts(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(numbered), width, percent), "kept")
+    texts = numbers.join(kept, F.col("_number") == F.col("doc_id"), "left_semi").select("_nameless")
+    rest = nameless.join(texts, "_nameless", "left_semi").dropDuplicates(["_nameless"])
+    return keep_rows(named, kept).union(rest.select(*docs.columns))
+
+
+def _firsts(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id and text_sha256, as keep_rows asks for them, of the first row of each component."""
     classes = near_duplicates(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keep_rows(docs, save(classes.select("doc_id", F.lit("").alias("text_sha256")), "kept"))
+    return classes.select("doc_id", F.lit("").alias("text_sha256"))
 
 
 def _pairs(postings: DataFrame, percent: int, size_class, apart: bool = False) -> DataFrame:

@@ -335,6 +335,21 @@ def test_jaccard(docs, nothing, spark):
     assert jaccard.keep_one_of_each(nothing).count() == 0
 
 
+def test_rows_without_an_id_stay(spark):
+    words_of = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    long, other = words_of("w", 60), words_of("v", 60)
+    rows = [(7, long), (9, "seven"), (None, "nameless"), (None, "Nameless"), (None, None), (None, long + " more"), (None, other), (None, other + " more"), (None, "SEVEN")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, number string").repartition(3)
+    kept = jaccard.keep_one_of_each(frame)
+    assert kept.columns == frame.columns
+    found = [(r.doc_id, fold(r.text)) for r in kept.collect()]
+    first = next(t for _, t in found if t.startswith("v0"))
+    assert first in (other, other + " more")
+    assert Counter(found) == Counter([(7, long), (9, "seven"), (None, "nameless"), (None, ""), (None, first)])
+    lone = spark.createDataFrame([(None, "nameless")], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard.keep_one_of_each(lone).collect()] == [(None, "nameless")]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 100), (7, 7)], "x long, y long")
     assert {r.node: r.component for r in jaccard.components(chain).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
