@@ -120,6 +120,12 @@ def text_entropy(spark, sf):
     return docs.select("doc_id", F.round(shannon_entropy("head"), 6).alias("entropy"))
 
 
+@query()
+def text_entropy_whole(spark, sf):
+    """Of whole texts; text_entropy follows its SQL, which reads 200 characters."""
+    return table(spark, sf, "documents").select("doc_id", F.round(shannon_entropy("text"), 6).alias("entropy"))
+
+
 @query("""SELECT item_id, len(list_filter(range(1, greatest(length(text) - 18, 1)), lambda i: length(text) >= 20 AND """
        + """-list_sum(list_transform(list_distinct(string_split(substr(text, i, 20), '')), lambda c: len(list_filter(string_split(substr(text, i, 20), ''), lambda y: y = c)) / 20.0 * log2(len(list_filter(string_split(substr(text, i, 20), ''), lambda y: y = c)) / 20.0))) > 3.6)) AS hits """
        + "FROM benchmark WHERE strlen(text) = length(text)")

@@ -19,6 +19,23 @@ def column(spark, values, expr):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(expr(F.col("v"))).collect()]
 
 
+def test_entropy_of_whole_texts(spark, sf):
+    import math
+    from collections import Counter
+
+    from maskwright.plans import registry
+
+    def brute(t):
+        b = (t or "").encode()
+        return -sum(k / len(b) * math.log2(k / len(b)) for k in Counter(b).values()) if b else 0.0
+
+    texts = ["", "é", "日本語🙂 a\x00b", "ab" * 500 + "é" * 300, "[.*$\\]" * 9]
+    assert [round(x, 9) for x in column(spark, texts, shannon_entropy)] == [round(brute(t), 9) for t in texts]
+    found = {r.doc_id: r.entropy for r in registry.QUERIES["text_entropy_whole"](spark, sf).collect()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert len(found) == len(docs) and all(abs(found[i] - brute(t)) < 2e-6 for i, t in docs)
+
+
 def test_entropy_and_luhn(spark):
     assert column(spark, ["", "AAAA", "ABABABAB", "0123456789abcdef", None], shannon_entropy) == [0.0, 0.0, 1.0, 4.0, None]
     cards = ["4532015112830366", "371449635398431", "6011-1111 1111 1117", "4532015112830367", "123", "", "4", "0000000000000000"]
