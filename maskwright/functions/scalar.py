@@ -12,9 +12,17 @@ def _col(c) -> Column:
 
 def shannon_entropy(c) -> Column:
     """Bits per byte of the UTF-8 form; 0 for the empty string, null for null."""
-    # One character a byte: what is left when a byte is taken out gives its count in linear time.
-    h = F.decode(F.encode(_col(c), "utf-8"), "ISO-8859-1")
-    n = F.octet_length(_col(c))
+    return bytes_entropy(byte_chars(c))
+
+
+def byte_chars(c) -> Column:
+    """A string with one character (U+0000 to U+00FF) for each byte of the UTF-8 form."""
+    return F.decode(F.encode(_col(c), "utf-8"), "ISO-8859-1")
+
+
+def bytes_entropy(h) -> Column:
+    """Bits per byte of a string of byte_chars: what is left when a byte is taken out gives its count in linear time."""
+    n = F.char_length(h)
     count = lambda b: (F.octet_length(h) - F.octet_length(F.replace(h, b, F.lit("")))) / F.greatest(F.octet_length(b), F.lit(1))
     shares = F.transform(F.array_distinct(F.split(h, "")), lambda b: count(b) / n)
     total = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))

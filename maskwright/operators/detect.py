@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import luhn_valid, shannon_entropy
+from ..functions.scalar import byte_chars, bytes_entropy, luhn_valid, shannon_entropy
 from ..sources.rules import CORE, Rule, for_java
 
 SPAN = "array<struct<start:int,end:int,raw:string>>"
@@ -189,7 +189,8 @@ def at_least(level: Column, least: str, order=("low", "medium", "high", "critica
 
 
 def sliding_entropy_hits(text: Column, width: int = 20, above: float = 4.5) -> Column:
-    """Number of windows of `width` characters whose entropy is above the bound."""
-    n = F.char_length(text) - width + 1
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, i, F.lit(width)))
-    return F.when(n > 0, F.size(F.filter(windows, lambda w: shannon_entropy(w) > above))).otherwise(0)
+    """Number of windows of `width` bytes whose entropy is above the bound."""
+    held = byte_chars(text)
+    n = F.char_length(held) - width + 1
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(held, i, F.lit(width)))
+    return F.when(n > 0, F.size(F.filter(windows, lambda w: bytes_entropy(w) > above))).otherwise(0)

@@ -134,6 +134,12 @@ def sliding_entropy(spark, sf):
     return items.select("item_id", detect.sliding_entropy_hits(F.col("text"), 20, 3.6).cast("long").alias("hits"))
 
 
+@query()
+def sliding_entropy_bytes(spark, sf):
+    """All items, windows of bytes; sliding_entropy follows its SQL, which reads items of ASCII only."""
+    return table(spark, sf, "benchmark").select("item_id", detect.sliding_entropy_hits(F.col("text"), 20, 3.6).cast("long").alias("hits"))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, 'token|the |[@]')) AS n FROM documents")
 def keyword_hit_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit("token|the |[@]")).cast("long").alias("n"))

@@ -36,6 +36,23 @@ def test_entropy_of_whole_texts(spark, sf):
     assert len(found) == len(docs) and all(abs(found[i] - brute(t)) < 2e-6 for i, t in docs)
 
 
+def test_sliding_entropy_of_bytes(spark, sf):
+    import math
+    from collections import Counter
+
+    from maskwright.plans import registry
+
+    def brute(t):
+        b = t.encode()
+        windows = [Counter(b[i : i + 20]).values() for i in range(len(b) - 19)]
+        return sum(-sum(k / 20 * math.log2(k / 20) for k in w) > 3.6 for w in windows)
+
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    assert any(not r.text.isascii() for r in items)
+    found = {r.item_id: r.hits for r in registry.QUERIES["sliding_entropy_bytes"](spark, sf).collect()}
+    assert found == {r.item_id: brute(r.text) for r in items}
+
+
 def test_entropy_and_luhn(spark):
     assert column(spark, ["", "AAAA", "ABABABAB", "0123456789abcdef", None], shannon_entropy) == [0.0, 0.0, 1.0, 4.0, None]
     cards = ["4532015112830366", "371449635398431", "6011-1111 1111 1117", "4532015112830367", "123", "", "4", "0000000000000000"]
