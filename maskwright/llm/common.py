@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,19 +47,27 @@ def save(df: DataFrame, name: str) -> DataFrame:
 _scopes: list[list[str]] = []
 
 
-def begin_scratch() -> None:
-    """From here to finish_scratch() save() takes note of what it writes."""
-    _scopes.append([])
+@contextmanager
+def scratch(spark: SparkSession):
+    """What save() writes inside is deleted at the end, whether by an error or not, but for the tables given to the function it yields."""
+    kept: set[str] = set()
 
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch_path)
+        return df
 
-def finish_scratch(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete what was written since begin_scratch(), but for the tables that keep reads."""
-    kept = {df._scratch_path for df in keep}
-    for path in _scopes.pop():
-        if path not in kept:
-            delete(spark, path)
-        elif _scopes:
-            _scopes[-1].append(path)
+    _scopes.append([])
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        for path in _scopes.pop():
+            if path not in kept:
+                delete(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -71,6 +80,11 @@ def release_scratch(spark: SparkSession) -> None:
     delete(spark, f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
 
 
+def private(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def twin(column):
     """A second join key that follows from the first.
 

@@ -1,24 +1,28 @@
 """Near-duplicate join on word n-grams: exact Jaccard links, without listing all pairs of a group.
 
 The prefix filter with rare-first order: two sets with Jaccard >= t share one of the first |x| - ceil(t |x|) + 1
-n-grams of either, in any global order. The order is by estimated document frequency (a count-min sketch of
-fixed size over all texts), rare first, then by hash; an estimate may be too high, never inconsistent.
+n-grams of either, in any global order. The order is by estimated document frequency (counters of a fixed number
+over all texts), rare first, then by hash; an estimate may be too high, never inconsistent.
 
 1. prefixes: per text the set's fingerprint, size and prefix n-grams, written once. Equal sets become one node.
-2. postings: prefix n-grams that occur in at least two different sets, with positions. What occurs once is sifted out
-   by packed counts before postings travel. The length filter is part of the key: n-gram and class of sizes.
-3. pairs of buckets (n-gram and class) of fewer than `crowd` sets, made distinct so that each is verified once. Length and
+2. counts: how many nodes have an n-gram in their prefix, by packed partial counts. Two bitmaps of fixed size follow:
+   n-grams that more than one node may have, and crowded ones, that `crowd` nodes or more may have. Both only err on
+   the side of more, and with a bitmap that fills up more postings travel; results don't depend on it.
+3. pairs of n-grams that aren't crowded, at most `crowd` a posting, made distinct so that each is verified once. Length and
    positional filters are join conditions; the suffix filter runs before the full intersection.
-4. hub rounds for crowded buckets: a random member, another one each round, is compared with the members of other
-   components: as many comparisons as postings, however large the bucket. Links merge components, and buckets inside
-   one component are done. The rounds go on while they connect much; then the pairs of different components
-   that are left are made as in step 3.
-
-Components come from the links by hash-to-min rounds; nothing about all documents reaches the driver.
-
-Texts without words have an empty set and link with nothing. Nulls count as empty. Repeated rows are copies of
-one node. An empty table gives an empty result. Other columns are ignored. near_duplicates links rows by their id: one
-without an id is in a component only if its set equals that of a row with one. keep_one_of_each numbers such rows first.
+4. hub rounds for crowded n-grams, in buckets by n-gram and class of sizes (the length filter). Each round deals a bucket
+   anew into parts of about `part` members; of each part two members, its hubs, are compared with those of other
+   components. So no member is in many pairs, and there are about as many as members, however large the bucket. Links
+   merge components, and buckets inside one component are done. The rounds go on while they connect much; then the
+   pairs of different components that are left are made as in step 3.
+
+Components come from the links by star rounds; nothing about all documents reaches the driver.
+
+Texts without words have an empty set and link with nothing. Nulls count as empty. Very long texts are one set like
+others. Repeated rows are copies of one node; rows with one id and different texts are in one component. An empty table
+gives an empty result. Other columns are ignored. Ids may be of any type with an order; those that aren't integers get
+numbers first. near_duplicates links rows by their id: one without an id is in a component only if its set equals that
+of a row with one. keep_one_of_each numbers such rows first.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_bytes, begin_scratch, blocks, bounded_batches, delete, finish_scratch, mix, save, scratch_path, shingle_hashes, table, twin, word_hashes, words
+from .common import arrow_bytes, blocks, bounded_batches, delete, mix, private, save, scratch, scratch_path, shingle_hashes, table, twin, word_hashes, words
 
-SKETCH = 22
+#: Logarithms of the number of frequency counters, of the bits of each of the two bitmaps of n-grams, and of the bitmap of nodes.
+SKETCH, CELLS, MARKS = 25, 27, 26
 BLOCK = 1 << 19
 
 
@@ -51,45 +57,42 @@ def ngram_sets(column, width: int):
             yield np.zeros(0, np.uint64)
 
 
-def sketch_cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << bits) - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+def counter_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def document_frequency(docs: DataFrame, width: int, bits: int = SKETCH) -> np.ndarray:
-    """uint8[2, 2**bits]: logarithms of how many texts have an n-gram of the cell."""
+    """uint8[2**bits]: logarithms of how many texts have an n-gram of the counter."""
     import pyarrow as pa
 
     size = min(1 << 18, 1 << bits)
-    per_row = (1 << bits) // size
+    slices = (1 << bits) // size
 
     def count(batches):
-        sketch = np.zeros((2, 1 << bits), np.uint32)
+        # Within a task 255 stands for all above it, too; only the order of n-grams depends on it.
+        counters = np.zeros(1 << bits, np.uint8)
         for part in blocks(batches, "text", BLOCK):
             sets = list(ngram_sets(part.column("text"), width))
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            for row, cell in enumerate(sketch_cells(every, bits)):
-                found, n = np.unique(cell, return_counts=True)
-                sketch[row][found] += n.astype(np.uint32)
-        for k, piece in enumerate(sketch.reshape(2 * per_row, size)):
+            found, n = np.unique(counter_of(np.concatenate(sets), bits), return_counts=True)
+            counters[found] = np.minimum(counters[found] + n, 255)
+        for k, piece in enumerate(counters.reshape(slices, size)):
             if piece.any():
-                packed = zlib.compress(np.minimum(piece, 65535).astype("<u2").tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                held.setdefault(k, np.zeros(size, np.uint64))[:] += np.frombuffer(zlib.decompress(packed), "<u2")
+                held.setdefault(k, np.zeros(size, np.uint32))[:] += np.frombuffer(zlib.decompress(packed), np.uint8)
         for k, piece in held.items():
             logs = np.minimum(255, np.round(8 * np.log2(piece.astype(float) + 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([logs.tobytes()], pa.binary())], names=["slice", "logs"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(logs.tobytes(), 1)], pa.binary())], names=["slice", "logs"])
 
     partial = docs.select("text").mapInArrow(count, "slice int, counts binary")
-    out = np.zeros((2 * per_row, size), np.uint8)
-    for k, logs in partial.repartition(min(16, 2 * per_row), "slice").mapInArrow(merge, "slice int, logs binary").collect():
-        out[k] = np.frombuffer(logs, np.uint8)
-    return out.reshape(2, -1)
+    out = np.zeros((slices, size), np.uint8)
+    for k, logs in partial.repartition(slices, "slice").mapInArrow(merge, "slice int, logs binary").collect():
+        out[k] = np.frombuffer(zlib.decompress(logs), np.uint8)
+    return out.reshape(-1)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -111,120 +114,123 @@ def prefixes(docs: DataFrame, width: int, percent: int, bits: int = SKETCH) -> D
                 mixed = mix(s ^ np.uint64(0x5851F42D4C957F2D))
                 a.append(int(np.bitwise_xor.reduce(mixed)) if len(s) else 0)
                 b.append(int(np.add.reduce(mix(mixed))) if len(s) else 0)
-                if len(s):
-                    one, two = sketch_cells(s, bits)
-                    size = prefix_size(len(s), percent)
-                    # Rare first, then by hash: the sort is stable and s is sorted.
-                    prefix.append(s[np.argsort(np.minimum(logs[0][one], logs[1][two]), kind="stable")[:size]].view(np.int64))
-                else:
-                    prefix.append(np.zeros(0, np.int64))
+                # Rare first, then by hash: the sort is stable and s is sorted.
+                order = np.argsort(logs[counter_of(s, bits)], kind="stable")
+                prefix.append(s[order[: prefix_size(len(s), percent)]].view(np.int64) if len(s) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))],
                 names=["doc_id", "n", "a", "b", "prefix"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, a long, b long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, prefix array<long>")
+
 
+# ---- which n-grams can link --------------------------------------------------------------
 
-def repeated_grams(every: DataFrame, total: int) -> DataFrame:
-    """bucket and grams (packed): prefix n-grams that occur more than once, by 40 bits inside a bucket of leading bits.
 
-    Each task sends an n-gram at most once in a few hundred thousand, five bytes each, so a frequent one costs no
-    more than a rare one. Truncation can only add n-grams; the exact test comes after.
+def prefix_counts(firsts: DataFrame, crowd: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps (2**cells bits each) by the leading bits of n-grams: in more than one prefix, and in `crowd` or more.
+
+    N-grams are dealt by leading bits into buckets of a few million, and each bucket makes its own piece of the
+    bitmaps, which are all that comes to the driver. A task sends an n-gram once in a few million, five bytes each and one
+    for its count, so a frequent one costs no more than a rare one. Truncation can only raise a count.
     """
     import pyarrow as pa
 
-    bits = min(20, max(6, (total // 500_000).bit_length()))
+    total = firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bits = min(20, max(6, (total // 2_000_000).bit_length()))
+    inside = cells - bits
 
     def pack(grams):
-        return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-    def unpack(data):
-        out = np.zeros((len(data) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-        return out.view(np.uint64).ravel()
+        return np.ascontiguousarray((grams << np.uint64(bits) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
 
     def send(batches):
-        def flush(grams):
-            grams, n = np.unique(np.concatenate(grams), return_counts=True)
+        def flush(held):
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            for k in np.flatnonzero(np.diff(cuts)):
-                part, again = grams[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]] > 1
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(part[~again])], pa.binary()), pa.array([pack(part[again])], pa.binary())], names=["bucket", "once", "more"])
+            packed, n = pack(grams), np.minimum(n, 255).astype(np.uint8)
+            rows = [(k, packed[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+            for i in range(0, len(rows), 64):
+                k, grams, n = zip(*rows[i : i + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["bucket", "grams", "counts"])
 
         held, size = [], 0
         for batch in batches:
             held.append(batch.column("prefix").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             size += len(held[-1])
-            if size > 1 << 20:
+            if size > 2 << 20:
                 yield from flush(held)
                 held, size = [], 0
         if size:
             yield from flush(held)
 
     def merge(batches):
-        held: dict[int, list] = {}
+        def settle(bucket, held):
+            grams, n = np.zeros((sum(len(x) for _, x in held), 8), np.uint8), np.concatenate([x for _, x in held])
+            grams[:, :5] = np.concatenate([x for x, _ in held])
+            grams = grams.view(np.uint64).ravel()
+            order = np.argsort(grams, kind="stable")
+            grams, n = grams[order], n[order].astype(np.int64)
+            head = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            n, at = np.add.reduceat(n, head), (grams[head] >> np.uint64(40 - inside)).astype(np.int64)
+            out = []
+            for least in (2, crowd):
+                seen = np.zeros(1 << inside, np.uint8)
+                seen[at[n >= least]] = 1
+                out.append(pa.array([zlib.compress(np.packbits(seen, bitorder="little").tobytes(), 1)], pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *out], names=["bucket", "again", "often"])
+
+        current, held = None, []
         for batch in batches:
-            for k, once, more in zip(*(batch.column(c).to_pylist() for c in ("bucket", "once", "more"))):
-                held.setdefault(k, []).extend((unpack(once), unpack(more), unpack(more)))
-        for k, parts in held.items():
-            grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            if (n > 1).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int((n > 1).sum())], pa.int64()), pa.array([pack(grams[n > 1])], pa.binary())], names=["bucket", "n", "grams"])
-
-    sent = every.select("prefix").mapInArrow(send, "bucket int, once binary, more binary")
-    found = sent.repartition("bucket").mapInArrow(merge, "bucket int, n long, grams binary")
-    return save(found.withColumn("bits", F.lit(bits)), "repeated")
-
-
-def postings_of(every: DataFrame, most: int = 8_000_000) -> DataFrame:
-    """doc_id, n, a, pos and gram of prefix n-grams that may occur in two sets.
-
-    Up to `most` repeated n-grams become a bitmap that is broadcast (16 MiB at most) and sifts the rest out before
-    anything travels; with more of them all prefixes travel. Either way the exact test follows.
-    """
+            for k, grams, n in zip(*(batch.column(c) for c in ("bucket", "grams", "counts"))):
+                if k.as_py() != current and held:
+                    yield settle(current, held)
+                    held = []
+                current = k.as_py()
+                held.append((np.frombuffer(grams.as_buffer(), np.uint8).reshape(-1, 5), np.frombuffer(n.as_buffer(), np.uint8)))
+        if held:
+            yield settle(current, held)
+
+    sent = firsts.select("prefix").mapInArrow(send, "bucket int, grams binary, counts binary")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, again binary, often binary")
+    bitmaps = np.zeros((2, 1 << bits, (1 << inside) // 8), np.uint8)
+    for k, *pieces in found.collect():
+        for row, piece in enumerate(pieces):
+            bitmaps[row, k] = np.frombuffer(zlib.decompress(piece), np.uint8)
+    return bitmaps[0].reshape(-1), bitmaps[1].reshape(-1)
+
+
+def postings_of(firsts: DataFrame, crowd: int, cells: int = CELLS) -> DataFrame:
+    """node, n, few and many: the node's prefix n-grams (gram, pos) that another node may have, by whether they are crowded."""
     import pyarrow as pa
 
-    total = every.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    repeated = repeated_grams(every, total)
-    count, bits = repeated.agg(F.sum("n"), F.max("bits")).first()
-    if not count:
-        return every.select("doc_id", "n", "a", F.posexplode("prefix").alias("pos", "gram")).where("false")
-    if count > most:
-        return every.select("doc_id", "n", "a", F.posexplode("prefix").alias("pos", "gram"))
-    log = min(27, int(count).bit_length() + 4)
-
-    def cells(grams):
-        kept = (grams & np.uint64((1 << 40) - 1)) | (grams >> np.uint64(64 - bits) << np.uint64(40))
-        return (mix(kept) & np.uint64((1 << log) - 1)).astype(np.int64)
-
-    bitmap = np.zeros(1 << (log - 3), np.uint8)
-    for row in repeated.select("bucket", "grams").toLocalIterator():
-        wide = np.zeros((len(row["grams"]) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(bytes(row["grams"]), np.uint8).reshape(-1, 5)
-        at = cells(wide.view(np.uint64).ravel() | np.uint64(row["bucket"]) << np.uint64(64 - bits))
-        np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    shared = every.sparkSession.sparkContext.broadcast(bitmap)
+    shared = firsts.sparkSession.sparkContext.broadcast(prefix_counts(firsts, crowd, cells))
 
     def run(batches):
-        seen = shared.value
+        again, often = shared.value
         for batch in batches:
             lists = batch.column("prefix")
             grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = lists.value_parent_indices().to_numpy() if hasattr(lists, "value_parent_indices") else np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            at = cells(grams.view(np.uint64))
-            keep = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            who = pa.array(owner[keep], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(who) for c in ("doc_id", "n", "a")), pa.array((keep - first[owner[keep]]).astype(np.int32)), pa.array(grams[keep])], names=["doc_id", "n", "a", "pos", "gram"]
-            )
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            owner, first = np.repeat(np.arange(len(lists)), lengths), np.concatenate(([0], np.cumsum(lengths)))
+            at = (grams.view(np.uint64) >> np.uint64(64 - cells)).astype(np.int64)
+            bit = lambda seen: (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            crowded = bit(often)
+            columns = []
+            for keep in (bit(again) & ~crowded, crowded):
+                keep = np.flatnonzero(keep)
+                ends = np.searchsorted(owner[keep], np.arange(len(lists) + 1)).astype(np.int32)
+                items = pa.StructArray.from_arrays([pa.array(grams[keep]), pa.array((keep - first[owner[keep]]).astype(np.int32))], names=["gram", "pos"])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), items))
+            out = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *columns], names=["node", "n", "few", "many"])
+            yield out.filter(pa.array([len(x) + len(y) > 0 for x, y in zip(*columns)], pa.bool_()))
+
+    items = "array<struct<gram:bigint,pos:int>>"
+    return firsts.select("node", "n", "prefix").mapInArrow(run, f"node long, n long, few {items}, many {items}")
+
 
-    kind = dict(every.dtypes)["doc_id"]
-    return every.select("doc_id", "n", "a", "prefix").mapInArrow(run, f"doc_id {kind}, n long, a long, pos int, gram long")
+# ---- sets and verification ---------------------------------------------------------------
 
 
 def pack48(grams: np.ndarray) -> bytes:
@@ -237,48 +243,69 @@ def unpack48(data) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """A table of node and grams (the set's hashes, 48 bits each) of the nodes, bucketed by node: it travels once.
-
-    The few other texts that a bitmap lets through, and repeated rows, do no harm to joins with pairs.
-    """
+def marks_of(nodes: DataFrame, bits: int = MARKS) -> np.ndarray:
+    """A bitmap of nodes, by hash: partial ones meet by slices, and the whole, of a fixed size, comes to the driver."""
     import pyarrow as pa
 
-    bits = 26
-    # A bitmap of fixed size sifts the texts before they travel.
+    size = 1 << min(17, bits - 3)
+    slices = (1 << (bits - 3)) // size
+
     def mark(batches):
         seen = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
             h = mix(batch.column("node").to_numpy().view(np.uint64)) & np.uint64((1 << bits) - 1)
             np.bitwise_or.at(seen, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
-        at = np.flatnonzero(seen).astype("<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([seen[at].tobytes()], pa.binary())], names=["at", "bits"])
+        for k, piece in enumerate(seen.reshape(slices, size)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["slice", "bits"])
 
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    for at, found in nodes.mapInArrow(mark, "at binary, bits binary").toLocalIterator():
-        bitmap[np.frombuffer(at, "<u4")] |= np.frombuffer(found, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist()):
+                held.setdefault(k, np.zeros(size, np.uint8))[:] |= np.frombuffer(zlib.decompress(packed), np.uint8)
+        for k, piece in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["slice", "bits"])
 
-    def run(batches):
-        seen = shared.value
-        for part in blocks(batches, "text", BLOCK):
-            ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            h = mix(ids.view(np.uint64)) & np.uint64((1 << bits) - 1)
-            keep = np.flatnonzero((seen[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
-            part = part.take(pa.array(keep))
-            grams = [pack48(s) for s in ngram_sets(part.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], names=["node", "grams"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"ngram_sets_{uuid.uuid4().hex}"
-    out = docs.mapInArrow(run, f"node {kind}, grams binary").repartition(buckets, "node").write.bucketBy(buckets, "node").format("parquet")
-    path = scratch_path(spark, "sets")
-    out.option("path", path).saveAsTable(name)
-    held = spark.table(name)
-    held._sets = name, path
-    return held
+    kind = "slice int, bits binary"
+    out = np.zeros((slices, size), np.uint8)
+    for k, packed in nodes.select("node").mapInArrow(mark, kind).repartition(slices, "slice").mapInArrow(merge, kind).collect():
+        out[k] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return out.reshape(-1)
+
+
+class Sets:
+    """A table of node and grams (the set's hashes, 48 bits each) of the nodes, bucketed by node: it travels once.
+
+    The few other texts that the bitmap lets through, and repeated rows, do no harm to joins with pairs.
+    """
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, bits: int = MARKS):
+        import pyarrow as pa
+
+        self.spark = docs.sparkSession
+        shared = self.spark.sparkContext.broadcast(marks_of(nodes, bits))
+
+        def run(batches):
+            seen = shared.value
+            for part in blocks(batches, "text", BLOCK):
+                ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                h = mix(ids.view(np.uint64)) & np.uint64((1 << bits) - 1)
+                part = part.take(pa.array(np.flatnonzero((seen[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)))
+                grams = [pack48(s) for s in ngram_sets(part.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], names=["node", "grams"])
+
+        buckets = max(64, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.name, self.path = f"ngram_sets_{uuid.uuid4().hex}", scratch_path(self.spark, "sets")
+        out = docs.mapInArrow(run, "node long, grams binary").repartition(buckets, "node").write
+        out.bucketBy(buckets, "node").sortBy("node").format("parquet").option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -316,7 +343,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "gx", "gy").mapInArrow(run, "x long, y long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+# ---- components --------------------------------------------------------------------------
+
+
+def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node that links reach) of every node in links (x, y).
 
     Alternating large-star and small-star steps: each star hangs on the smallest neighbour, so rows never
@@ -324,66 +354,97 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = save(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), twin("u"))
         # The extra key gives both sides an exchange of their own, so a large star can be split at run time.
         tagged = both.withColumn("twin", twin("u"))
-        large = tagged.join(least, ["u", "twin"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = save(large.where("u <> v").distinct(), "large")
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("twin", twin("u"))
-        tagged = edges.withColumn("twin", twin("u")).join(least, ["u", "twin"])
+        large = save(tagged.join(least, ["u", "twin"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        drop(edges)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumn("twin", twin("u"))
+        tagged = large.withColumn("twin", twin("u")).join(least, ["u", "twin"])
         small = tagged.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = save(small.where("u <> v").distinct(), "small")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        drop(large)
+        h = F.xxhash64("u", "v")
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 20))).first()
         if state == before:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 12, crowd: int = 64) -> DataFrame:
+def drop(df: DataFrame) -> None:
+    """Delete a table of save() that nothing reads from now on."""
+    delete(df.sparkSession, df._scratch_path)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 12, crowd: int = 64, part: int = 128) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id that links of at least percent reach)."""
+    kind = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if isinstance(kind, T.IntegralType):
+        found = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent, hub_rounds, crowd, part)
+        return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
+    # Numbers are written once, so that a row's number doesn't change between uses.
+    numbered = save(docs.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    classes = _classes(numbered.select(F.col("number").alias("doc_id"), "text"), width, percent, hub_rounds, crowd, part)
+    found = save(numbered.join(classes, numbered["number"] == classes["doc_id"]).select(numbered["doc_id"], "n_shingles", classes["component_id"].alias("class")), "classes")
+    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id")).withColumn("twin", twin("class"))
+    return found.withColumn("twin", twin("class")).join(least, ["class", "twin"]).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, width: int, percent: int, hub_rounds: int, crowd: int, part: int) -> DataFrame:
+    """near_duplicates of (doc_id long, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    begin_scratch()
-    every = save(prefixes(docs, width, percent), "prefixes")
-    full = every.where("n > 0")
-    # Equal sets are one node: that of the smallest id.
-    nodes = save(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("node")), "nodes")
-
-    # A bucket is an n-gram and a class of sizes: each set is in its class and the next one, so that two sets whose
-    # sizes allow a link share a bucket. It counts if two different sets are in it.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) * (1 + 1e-6))).cast("int")
-    posted = save(postings_of(full), "posted").withColumn("k", F.explode(F.array(size_class, size_class + 1)))
-    shared = posted.groupBy("gram", "k").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
-    kept = posted.select("doc_id", "n", "pos", "gram", "k", twin("gram")).join(shared, ["gram", "k", "twin"], "left_semi")
-    firsts = nodes.select("node")
-    postings = save(kept.join(firsts, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "gram", "pos", "k").dropDuplicates(["gram", "k", "node"]), "postings")
-
-    # Buckets of fewer than `crowd` sets: their pairs are at most crowd a posting, and are all made.
-    crowded = postings.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= crowd).select("gram", "k", twin("gram"))
-    crowded = save(crowded, "crowded")
-    keyed = postings.withColumn("twin", twin("gram"))
-    pairs = save(_pairs(keyed.join(crowded, ["gram", "k", "twin"], "left_anti"), percent, size_class), "pairs")
-    active = save(keyed.join(crowded, ["gram", "k", "twin"], "left_semi").drop("twin"), "active")
-    nodes_used = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(active.select("node")).distinct()
-    nodes_used = save(nodes_used.withColumn("component", F.col("node")), "belongs")
-    sets = node_sets(docs, nodes_used.select("node"), width)
-    belongs = _merge(nodes_used, save(verify(pairs, sets, percent), "links"))
-
-    tried = pairs
+    with scratch(spark) as keep:
+        every = save(prefixes(docs, width, percent), "prefixes")
+        # Equal sets are one node, that of the smallest id; their prefixes are equal too.
+        firsts = save(every.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "firsts")
+        rows = keep(save(every.select("doc_id", "a", "b", "n"), "rows"))
+        drop(every)
+        nodes = save(firsts.select("a", "b", "n", "node"), "nodes")
+        posted = save(postings_of(firsts.where("node IS NOT NULL"), crowd), "posted")
+        drop(firsts)
+
+        pairs = save(_pairs(posted.select("node", "n", F.inline("few")), percent), "pairs")
+        # A bucket is a crowded n-gram and a class of sizes: each set is in its class and the next one, so that two
+        # sets whose sizes allow a link share a bucket, the one of the greater class.
+        own = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) * (1 + 1e-6))).cast("int")
+        spots = F.flatten(F.transform("many", lambda p: F.transform(F.array(own, own + 1), lambda k: F.struct(p["gram"].alias("gram"), k.alias("k"), p["pos"].alias("pos")))))
+        active = save(posted.where(F.size("many") > 0).select("node", "n", own.alias("own"), spots.alias("spots")), "active")
+        drop(posted)
+        used = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(active.select("node")).distinct()
+        belongs = save(used.withColumn("component", F.col("node")), "belongs")
+        sets = Sets(docs, belongs, width)
+        try:
+            belongs = _merge(belongs, save(verify(pairs, sets.read(), percent), "links"))
+            belongs = _settle(active, belongs, pairs, sets.read(), percent, hub_rounds, part)
+        finally:
+            sets.drop()
+        classes = keep(save(nodes.join(belongs, "node", "left").select("a", "b", "n", F.coalesce("component", "node").alias("component")), "classes"))
+    out = rows.join(classes, ["a", "b", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _settle(active: DataFrame, belongs: DataFrame, tried: DataFrame, sets: DataFrame, percent: int, hub_rounds: int, part: int) -> DataFrame:
+    """belongs after all links in crowded buckets. active: node, n, own and spots (gram, k, pos), a row a node."""
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    for turn in range(hub_rounds):
-        active = save(_unsettled(active, belongs), "active")
-        if not active.limit(1).count():
+    for turn in range(hub_rounds + 1):
+        live = _unsettled(active, belongs)
+        drop(active)
+        active = live
+        if turn == hub_rounds or not live.limit(1).count():
             break
-        hubs = active.groupBy("gram", "k").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "gram", F.lit(turn))).alias("hub"))
-        hubs = hubs.select("gram", "k", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"), twin("gram"))
-        near = active.withColumn("twin", twin("gram")).join(hubs, ["gram", "k", "twin"]).where((F.col("component") != F.col("hub_component")) & fits)
+        spread = live.select("node", "n", "component", F.size("spots").alias("central"), F.inline("spots"))
+        dealt = spread.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / part)))
+        # Of each part the member with most crowded n-grams, so with the fewest rare ones: it links with most. Then one
+        # by hash, often the same one for all n-grams that its members share.
+        member, chance = F.struct("node", "n", "component"), F.xxhash64("node", F.lit(-1 - turn))
+        hubs = dealt.groupBy("gram", "k", "part").agg(F.array(F.max_by(member, F.struct("central", chance)), F.min_by(member, chance)).alias("hubs"))
+        hubs = hubs.select("gram", "k", "part", F.explode(F.array_distinct("hubs")).alias("hub"))
+        hubs = hubs.select("gram", "k", "part", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
+        near = dealt.join(hubs, ["gram", "k", "part"]).where((F.col("component") != F.col("hub_component")) & fits)
         near = near.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
         near = save(near.join(tried, ["x", "y"], "left_anti"), "pairs")
         tried = tried.union(near)
@@ -392,21 +453,83 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if n_found:
             belongs = _merge(belongs, found)
         if n_found < 0.02 * n_pairs or not n_found:
+            active = _unsettled(live, belongs)
             break
     # What no hub has settled in the crowded buckets: all pairs of different components that are left.
-    active = save(_unsettled(active.select("gram", "k", "node", "n", "pos"), belongs), "active")
     if active.limit(1).count():
-        rest = _pairs(active, percent, size_class, apart=True).join(tried, ["x", "y"], "left_anti")
+        rest = _pairs_apart(active, percent).join(tried, ["x", "y"], "left_anti")
         belongs = _merge(belongs, save(verify(rest, sets, percent), "links"))
+    return belongs
 
-    classes = nodes.join(belongs, "node", "left").select("a", "b", "n", F.coalesce("component", "node").alias("component"))
-    classes = save(classes, "classes")
-    finish_scratch(spark, every, classes)
-    name, path = sets._sets
-    spark.sql(f"DROP TABLE {name}")
-    delete(spark, path)
-    out = every.join(classes, ["a", "b", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def _unsettled(active: DataFrame, belongs: DataFrame) -> DataFrame:
+    """A row a node with its component and its spots, now with the bucket's size, in buckets in which more than one component is left."""
+    placed = active.select("node", "n", "own", "spots").join(belongs, "node")
+    spread = placed.select("node", "n", "own", "component", F.inline("spots"))
+    mixed = spread.groupBy("gram", "k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    mixed = mixed.where("low <> high").select("gram", "k", "size", twin("gram"))
+    live = spread.drop("size").withColumn("twin", twin("gram")).join(mixed, ["gram", "k", "twin"])
+    return save(live.groupBy("node", "n", "own", "component").agg(F.collect_list(F.struct("gram", "k", "pos", "size")).alias("spots")), "active")
+
+
+def _allowed(percent: int):
+    """The length and positional filters on x_n, x_pos, y_n and y_pos.
+
+    At the first n-gram that both prefixes have, what is behind it bounds the intersection; later ones have less behind them.
+    """
+    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100.0 + percent) - 1e-9)
+    rest_of = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (rest_of >= need)
+
+
+def _sides(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return one.select(*[F.col(c).alias(f"x_{c}") for c in one.columns]), two.select(*[F.col(c).alias(f"y_{c}") for c in two.columns])
+
+
+def _pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x < y) of nodes with an n-gram in common that the length and positional filters allow."""
+    rows = postings.select("gram", "node", "n", "pos")
+    one, two = _sides(rows, rows)
+    found = one.join(two, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_node") < F.col("y_node")) & _allowed(percent))
+    return found.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
+
+
+def _pairs_apart(active: DataFrame, percent: int, share: int = 1024) -> DataFrame:
+    """Distinct pairs (x < y) of different components in a bucket.
+
+    Where the n-gram before it, of those left, is the same in both prefixes, a pair isn't made again: so a passage gives a
+    pair once, not once for each of its n-grams. A bucket of more than `share` members is dealt to several tasks: each
+    has a share of the members as x and all as y.
+    """
+    ordered, again = private("ordered"), private("again")
+    sort = F.array_sort(F.transform("spots", lambda s: F.struct(s["k"].alias("k"), s["pos"].alias("pos"), s["gram"].alias("gram"), s["size"].alias("size"))))
+
+    def with_last(s, i):
+        before = F.get(F.col(ordered), i - 1)
+        return F.struct(s["k"].alias("k"), s["pos"].alias("pos"), s["gram"].alias("gram"), s["size"].alias("size"), F.when(before["k"] == s["k"], before["gram"]).alias("last"))
+
+    rows = active.withColumn(ordered, sort).withColumn(again, F.transform(ordered, with_last))
+    rows = rows.select("node", "n", "own", "component", F.inline(again)).withColumn("shares", F.ceil(F.col("size") / share)).drop("size")
+    rows = save(rows, "buckets")
+    tasks = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = rows.withColumn("share", F.pmod(F.xxhash64("node"), "shares")).repartition(tasks, "gram", "k", "share")
+    two = rows.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).repartition(tasks, "gram", "k", "share")
+    one, two = _sides(one, two)
+    same = (F.col("x_gram") == F.col("y_gram")) & (F.col("x_k") == F.col("y_k")) & (F.col("x_share") == F.col("y_share"))
+    ready = same & (F.col("x_node") < F.col("y_node")) & (F.col("x_k") == F.greatest("x_own", "y_own")) & (F.col("x_component") != F.col("y_component"))
+    found = one.join(two, ready & F.coalesce(F.col("x_last") != F.col("y_last"), F.lit(True)) & _allowed(percent))
+    return found.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
+
+
+def _merge(belongs: DataFrame, found: DataFrame) -> DataFrame:
+    """belongs with the components that the new links join."""
+    at = belongs.select(F.col("node").alias("x"), F.col("component").alias("cx"))
+    to = belongs.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+    joined = found.join(at, "x").join(to, "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    new = components(joined).select(F.col("node").alias("old"), F.col("component").alias("new"), twin("node"))
+    tagged = belongs.withColumn("twin", twin("component"))
+    changed = tagged.join(new, (tagged["component"] == new["old"]) & (tagged["twin"] == new["twin"]), "left")
+    return save(changed.select("node", F.coalesce("new", "component").alias("component")), "belongs")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -416,18 +539,19 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """
     from .exact_dedup import fold_ascii, keep_rows
 
-    digest = F.when(F.col("doc_id").isNull(), F.sha2(fold_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
-    nameless = docs.where("doc_id IS NULL").withColumn("_nameless", digest)
+    nameless = docs.where("doc_id IS NULL")
     if not nameless.limit(1).count():
         return keep_rows(docs, save(_firsts(docs, width, percent), "kept"))
+    digest, number = private("digest"), private("number")
+    nameless = nameless.withColumn(digest, F.sha2(fold_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
     top = docs.agg(F.max("doc_id")).first()[0] or 0
     # Written once, so that a text's number doesn't change between uses.
-    numbers = save(nameless.select("_nameless").distinct().withColumn("_number", F.monotonically_increasing_id() + F.lit(top + 1)), "numbers")
-    numbered = nameless.select("_nameless", "text").join(numbers, "_nameless").select(F.col("_number").alias("doc_id"), "text")
+    numbers = save(nameless.select(digest).distinct().withColumn(number, F.monotonically_increasing_id() + F.lit(top + 1)), "numbers")
+    numbered = nameless.select(digest, "text").join(numbers, digest).select(F.col(number).alias("doc_id"), "text")
     named = docs.where("doc_id IS NOT NULL")
     kept = save(_firsts(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(numbered), width, percent), "kept")
-    texts = numbers.join(kept, F.col("_number") == F.col("doc_id"), "left_semi").select("_nameless")
-    rest = nameless.join(texts, "_nameless", "left_semi").dropDuplicates(["_nameless"])
+    texts = numbers.join(kept, F.col(number) == F.col("doc_id"), "left_semi").select(digest)
+    rest = nameless.join(texts, digest, "left_semi").dropDuplicates([digest])
     return keep_rows(named, kept).union(rest.select(*docs.columns))
 
 
@@ -437,48 +561,6 @@ def _firsts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return classes.select("doc_id", F.lit("").alias("text_sha256"))
 
 
-def _pairs(postings: DataFrame, percent: int, size_class, apart: bool = False) -> DataFrame:
-    """Distinct pairs (x < y) of nodes in a bucket that the length and positional filters allow.
-
-    apart: of different components, and each at the first n-gram that both have in postings only. That keeps the join
-    from making a pair once for every n-gram of a passage; the lists of n-grams that it needs go with crowded buckets only.
-    """
-    columns = ("gram", "k", "node", "n", "pos", *(("component", "grams") if apart else ()))
-    if apart:
-        ordered = F.transform(F.array_sort(F.collect_set(F.struct("pos", "gram"))), lambda p: p["gram"])
-        postings = postings.join(postings.groupBy("node").agg(ordered.alias("grams")), "node")
-    postings = save(postings.select(*columns, size_class.alias("own")), "buckets") if apart else postings.select(*columns, size_class.alias("own"))
-    one = postings.select(*[F.col(c).alias(f"x_{c}") for c in (*columns, "own")])
-    two = postings.select(*[F.col(c).alias(f"y_{c}") for c in (*columns, "own")])
-    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100.0 + percent) - 1e-9)
-    # At the first n-gram that both prefixes have, what is behind it bounds the intersection; later ones have less behind them.
-    rest_of = 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
-    ready = (F.col("x_node") < F.col("y_node")) & (F.col("x_k") == F.greatest("x_own", "y_own"))
-    if apart:
-        ready = ready & (F.col("x_component") != F.col("y_component"))
-    ready = ready & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (rest_of >= need)
-    if apart:
-        ready = ready & (F.element_at(F.array_intersect("x_grams", "y_grams"), 1) == F.col("x_gram"))
-    joined = one.join(two, (F.col("x_gram") == F.col("y_gram")) & (F.col("x_k") == F.col("y_k")) & ready)
-    return joined.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
-
-
-def _unsettled(active: DataFrame, belongs: DataFrame) -> DataFrame:
-    """The postings, with components, of buckets in which more than one component is left."""
-    placed = active.select("gram", "k", "node", "n", "pos").join(belongs, "node")
-    spread = placed.groupBy("gram", "k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "k", twin("gram"))
-    return placed.withColumn("twin", twin("gram")).join(spread, ["gram", "k", "twin"], "left_semi").drop("twin")
-
-
-def _merge(belongs: DataFrame, found: DataFrame) -> DataFrame:
-    """belongs with the components that the new links join."""
-    at = belongs.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    to = belongs.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    joined = found.join(at, "x").join(to, "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
-    new = components(joined).select(F.col("node").alias("old"), F.col("component").alias("new"))
-    return save(belongs.join(new, belongs["component"] == new["old"], "left").select("node", F.coalesce("new", "component").alias("component")), "belongs")
-
-
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 

@@ -321,14 +321,22 @@ def test_jaccard(docs, nothing, spark):
         made.append((300 + i, " ".join(ws[: r.randint(100, 120)])))
     rows = [(i, t) for i, t in ROWS if i is not None]
     frame = docs.where("doc_id IS NOT NULL").select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
-    for width, percent in ((4, 85), (5, 80)):
+    # As it is, with many small parts, and with all pairs at once; bitmaps and counters with room, and full ones.
+    for width, percent, cells, sketch, settings in ((4, 85, 27, 25, {}), (4, 85, 20, 4, {"crowd": 5, "part": 8}), (5, 80, 27, 25, {"crowd": 5, "part": 8}), (5, 80, 20, 4, {"crowd": 5, "hub_rounds": 0})):
         want = brute_classes([*dict(rows).items(), *made], width, percent)
-        for most in (8_000_000, 0):  # with the bitmap and without
-            original = jaccard.postings_of.__defaults__
-            jaccard.postings_of.__defaults__ = (most,)
-            got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(frame, width, percent).collect()}
-            jaccard.postings_of.__defaults__ = original
-            assert got == want
+        original = jaccard.postings_of.__defaults__, jaccard.prefixes.__defaults__, jaccard._pairs_apart.__defaults__
+        jaccard.postings_of.__defaults__, jaccard.prefixes.__defaults__, jaccard._pairs_apart.__defaults__ = (cells,), (sketch,), (cells,)
+        found = jaccard.near_duplicates(frame, width, percent, **settings).collect()
+        jaccard.postings_of.__defaults__, jaccard.prefixes.__defaults__, jaccard._pairs_apart.__defaults__ = original
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == want
+    for kind in ("string", "int"):
+        typed = frame.where("doc_id <> 10").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+        want = brute_classes([(i, t) for i, t in [*dict(rows).items(), *made] if i != 10], 5, 80)
+        groups = {}
+        for i, (_, c) in want.items():
+            groups.setdefault(c, []).append(str(i) if kind == "string" else i)
+        got = jaccard.near_duplicates(typed).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == {i: (want[int(i)][0], min(g)) for g in groups.values() for i in g}
     assert jaccard.near_duplicates(nothing).count() == 0
     one = jaccard.keep_one_of_each(docs)
     assert one.columns == docs.columns
