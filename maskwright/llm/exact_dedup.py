@@ -5,8 +5,9 @@ its distinct digests (map-side partial aggregation, so a group of copies costs a
 with the index by a sort-merge join that reads the index bucket by bucket, and what is new is appended.
 
 Texts are equal when identical after lower-casing A-Z. Within a batch the row with the largest id stays;
-a text that an earlier batch holds keeps that batch's id. Nulls count as the empty text; repeated rows of
-one id count as rows of their group; an empty table gives an empty result; other columns are ignored.
+a text that an earlier batch holds keeps that batch's id. Nulls count as the empty text, and very long texts are hashed
+like others; repeated rows of one id count as rows of their group; rows without an id stay only where no row of their
+text has one; an empty table gives an empty result; other columns are ignored.
 DataFrame operations only: nothing runs in Python.
 """
 
@@ -17,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import private, save, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,29 +55,45 @@ class DigestIndex:
             out = out.option("path", self.path)
         out.saveAsTable(self.name)
 
-    def add(self, prints: DataFrame) -> DataFrame:
-        """Deduplicate a batch of fingerprints() and append its new digests.
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-        Returns for each row doc_id, keep_id, group_size (rows of this batch with the text), kept, text_sha256.
-        """
-        groups = save(prints.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    def add(self, prints: DataFrame) -> DataFrame:
+        """Append what is new in a batch of fingerprints(). Returns digest, last_id and rows of each text of the batch."""
+        groups = save(prints.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("rows")), "groups")
         fresh = groups
         if self.exists():
             fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         self.append(fresh.withColumnRenamed("last_id", "keep_id"))
-        decided = save(groups.join(self.read().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "decided")
-        # Both sides come from files, so both get an exchange and a hot digest can be split at run time.
-        return prints.join(decided, "digest").select(
-            "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
-        )
+        return groups
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Without an index a new one is made."""
+    """Per row of docs: doc_id, keep_id, group_size (rows of docs with the text), kept, text_sha256.
+
+    With an index docs is one batch, and a text that the index holds keeps the index's id. Without one, a fresh index
+    takes docs in two batches: the ids from a pivot on, then the smaller ones and rows without an id. So the id that
+    an earlier batch left is the largest, as within one batch. The pivot is the id with the least hash. The fresh index goes
+    once all is decided.
+    """
     spark = docs.sparkSession
     prints = save(fingerprints(docs, id_col, text_col), "prints")
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", rows_hint=prints.count())
-    return index.add(prints)
+    own = index is None
+    if own:
+        n, pivot = prints.agg(F.count(F.lit(1)), F.min_by("doc_id", F.xxhash64("doc_id"))).first()
+        index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", rows_hint=n)
+        early = F.coalesce(F.col("doc_id") >= F.lit(pivot), F.lit(False))
+        groups = index.add(prints.where(early)).union(index.add(prints.where(~early)))
+        groups = groups.groupBy("digest").agg(F.sum("rows").alias("rows"))
+    else:
+        groups = index.add(prints)
+    decided = save(groups.join(index.read().hint("merge"), "digest").select("digest", "keep_id", F.col("rows").alias("group_size")), "decided")
+    if own:
+        index.drop()
+    # Both sides come from files, so both get an exchange and a hot digest can be split at run time.
+    return prints.join(decided, "digest").select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
+    )
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,12 +102,10 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     Ids decide; rows without an id are told apart by their text. Rows that repeat an id and text are reduced
     to one, which takes an aggregate only if there are such rows.
     """
-    folded = fold_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    nameless = F.when(F.col(id_col).isNull(), F.sha2(folded.cast("binary"), 256)).otherwise("")
-    left = docs.withColumn("_nameless", nameless)
-    right = kept.select(F.col("doc_id").alias("_kept_id"), F.when(F.col("doc_id").isNull(), F.col("text_sha256")).otherwise("").alias("_kept_text"))
-    same = left[id_col].eqNullSafe(right["_kept_id"]) & (left["_nameless"] == right["_kept_text"])
-    out = left.join(right, same, "left_semi").drop("_nameless")
+    kept_id, kept_text = private("id"), private("text")
+    nameless = F.when(docs[id_col].isNull(), F.sha2(fold_ascii(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)).otherwise("")
+    right = kept.select(F.col("doc_id").alias(kept_id), F.when(F.col("doc_id").isNull(), F.col("text_sha256")).otherwise("").alias(kept_text))
+    out = docs.join(right, docs[id_col].eqNullSafe(right[kept_id]) & (nameless == right[kept_text]), "left_semi")
     repeated = kept.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
     return out.dropDuplicates([id_col, text_col]) if repeated else out
 

@@ -74,6 +74,10 @@ def test_exact_dedup(docs, nothing, spark):
     assert kept.columns == docs.columns
     assert sorted(fold(r.text) for r in kept.collect()) == sorted(groups)
     assert exact_dedup.exact_dedup(nothing).count() == 0 and exact_dedup.keep_distinct(nothing).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+    many = spark.createDataFrame([(i, f"t{i % 37}") for i in range(400)], "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(many).collect()} == {i: (i + (399 - i) // 37 * 37, 11 - (i % 37 >= 30)) for i in range(400)}
+    assert {r.doc_id for r in exact_dedup.exact_dedup(many.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0"))).where("kept").collect()} == {str(i) for i in range(363, 400)}
 
 
 def test_digest_index_keeps_earlier_batches(spark):
