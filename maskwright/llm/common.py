@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from contextlib import contextmanager
 
 import numpy as np
@@ -75,6 +76,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table of save() that nothing reads from now on."""
+    delete(df.sparkSession, df._scratch_path)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete what save() wrote in this application; results that still read it must be written first."""
     delete(spark, f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
@@ -205,3 +211,85 @@ def blocks(batches, column: str, most: int = 4 << 20):
             total += int(size)
         if at < len(sizes):
             yield batch.slice(at) if isinstance(batch, pa.RecordBatch) else batch
+
+
+# ---- counts of hashes --------------------------------------------------------------------
+
+
+def counted(frame: DataFrame, hashes_of, total: int, leasts: tuple[int, ...], cells: int) -> list[np.ndarray]:
+    """For each number in leasts a bitmap (2**cells bits, by leading bits) of hashes that occur at least so often.
+
+    hashes_of yields uint64 arrays from Arrow batches of frame; total is about how many there are. This is a count-min
+    sketch of one row whose cells, 40 bits behind the leading ones, are kept sparse: each task sends its partial counts by buckets of
+    a few million cells, six bytes a cell, so a frequent hash costs a task no more than a rare one. Partial sketches of a
+    bucket meet in one task, which folds them into its own piece of the bitmaps; these are all that comes to the
+    driver. Two hashes in one cell can only raise a count, and a bitmap that fills up can only let more through.
+    """
+    import pyarrow as pa
+
+    bits = min(20, max(6, (total // 2_000_000).bit_length()))
+    inside = cells - bits
+
+    def pack(grams):
+        return np.ascontiguousarray((grams << np.uint64(bits) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+
+    def send(batches):
+        def flush(held):
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            packed, n = pack(grams), np.minimum(n, 255).astype(np.uint8)
+            rows = [(k, packed[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+            for i in range(0, len(rows), 64):
+                k, grams, n = zip(*rows[i : i + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["bucket", "grams", "counts"])
+
+        held, size = [], 0
+        for hashes in hashes_of(batches):
+            held.append(hashes)
+            size += len(hashes)
+            if size > 2 << 20:
+                yield from flush(held)
+                held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    def merge(batches):
+        def settle(bucket, held):
+            grams, n = np.zeros((sum(len(x) for _, x in held), 8), np.uint8), np.concatenate([x for _, x in held])
+            grams[:, :5] = np.concatenate([x for x, _ in held])
+            grams = grams.view(np.uint64).ravel()
+            order = np.argsort(grams, kind="stable")
+            grams, n = grams[order], n[order].astype(np.int64)
+            head = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            n, at = np.add.reduceat(n, head), (grams[head] >> np.uint64(40 - inside)).astype(np.int64)
+            out = []
+            for least in leasts:
+                seen = np.zeros(1 << inside, np.uint8)
+                seen[at[n >= least]] = 1
+                out.append(pa.array([zlib.compress(np.packbits(seen, bitorder="little").tobytes(), 1)], pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *out], names=["bucket", *(f"least{x}" for x in leasts)])
+
+        current, held = None, []
+        for batch in batches:
+            for k, grams, n in zip(*(batch.column(c) for c in ("bucket", "grams", "counts"))):
+                if k.as_py() != current and held:
+                    yield settle(current, held)
+                    held = []
+                current = k.as_py()
+                held.append((np.frombuffer(grams.as_buffer(), np.uint8).reshape(-1, 5), np.frombuffer(n.as_buffer(), np.uint8)))
+        if held:
+            yield settle(current, held)
+
+    sent = frame.mapInArrow(send, "bucket int, grams binary, counts binary")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, " + ", ".join(f"least{x} binary" for x in leasts))
+    bitmaps = np.zeros((len(leasts), 1 << bits, (1 << inside) // 8), np.uint8)
+    for k, *pieces in found.collect():
+        for row, piece in enumerate(pieces):
+            bitmaps[row, k] = np.frombuffer(zlib.decompress(piece), np.uint8)
+    return [b.reshape(-1) for b in bitmaps]
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash, by its leading bits, is set."""
+    at = (hashes >> np.uint64(64 - (8 * len(bitmap) - 1).bit_length())).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_bytes, blocks, bounded_batches, delete, mix, private, save, scratch, scratch_path, shingle_hashes, table, twin, word_hashes, words
+from .common import arrow_bytes, blocks, bounded_batches, counted, delete, drop, in_bitmap, mix, private, save, scratch, scratch_path, shingle_hashes, table, twin, word_hashes, words
 
 #: Logarithms of the number of frequency counters, of the bits of each of the two bitmaps of n-grams, and of the bitmap of nodes.
 SKETCH, CELLS, MARKS = 25, 27, 26
@@ -129,83 +129,16 @@ def prefixes(docs: DataFrame, width: int, percent: int, bits: int = SKETCH) -> D
 # ---- which n-grams can link --------------------------------------------------------------
 
 
-def prefix_counts(firsts: DataFrame, crowd: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps (2**cells bits each) by the leading bits of n-grams: in more than one prefix, and in `crowd` or more.
-
-    N-grams are dealt by leading bits into buckets of a few million, and each bucket makes its own piece of the
-    bitmaps, which are all that comes to the driver. A task sends an n-gram once in a few million, five bytes each and one
-    for its count, so a frequent one costs no more than a rare one. Truncation can only raise a count.
-    """
-    import pyarrow as pa
-
-    total = firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    bits = min(20, max(6, (total // 2_000_000).bit_length()))
-    inside = cells - bits
-
-    def pack(grams):
-        return np.ascontiguousarray((grams << np.uint64(bits) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-
-    def send(batches):
-        def flush(held):
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            packed, n = pack(grams), np.minimum(n, 255).astype(np.uint8)
-            rows = [(k, packed[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-            for i in range(0, len(rows), 64):
-                k, grams, n = zip(*rows[i : i + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(grams, pa.binary()), pa.array(n, pa.binary())], names=["bucket", "grams", "counts"])
-
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch.column("prefix").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            size += len(held[-1])
-            if size > 2 << 20:
-                yield from flush(held)
-                held, size = [], 0
-        if size:
-            yield from flush(held)
-
-    def merge(batches):
-        def settle(bucket, held):
-            grams, n = np.zeros((sum(len(x) for _, x in held), 8), np.uint8), np.concatenate([x for _, x in held])
-            grams[:, :5] = np.concatenate([x for x, _ in held])
-            grams = grams.view(np.uint64).ravel()
-            order = np.argsort(grams, kind="stable")
-            grams, n = grams[order], n[order].astype(np.int64)
-            head = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-            n, at = np.add.reduceat(n, head), (grams[head] >> np.uint64(40 - inside)).astype(np.int64)
-            out = []
-            for least in (2, crowd):
-                seen = np.zeros(1 << inside, np.uint8)
-                seen[at[n >= least]] = 1
-                out.append(pa.array([zlib.compress(np.packbits(seen, bitorder="little").tobytes(), 1)], pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *out], names=["bucket", "again", "often"])
-
-        current, held = None, []
-        for batch in batches:
-            for k, grams, n in zip(*(batch.column(c) for c in ("bucket", "grams", "counts"))):
-                if k.as_py() != current and held:
-                    yield settle(current, held)
-                    held = []
-                current = k.as_py()
-                held.append((np.frombuffer(grams.as_buffer(), np.uint8).reshape(-1, 5), np.frombuffer(n.as_buffer(), np.uint8)))
-        if held:
-            yield settle(current, held)
-
-    sent = firsts.select("prefix").mapInArrow(send, "bucket int, grams binary, counts binary")
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, again binary, often binary")
-    bitmaps = np.zeros((2, 1 << bits, (1 << inside) // 8), np.uint8)
-    for k, *pieces in found.collect():
-        for row, piece in enumerate(pieces):
-            bitmaps[row, k] = np.frombuffer(zlib.decompress(piece), np.uint8)
-    return bitmaps[0].reshape(-1), bitmaps[1].reshape(-1)
-
-
 def postings_of(firsts: DataFrame, crowd: int, cells: int = CELLS) -> DataFrame:
     """node, n, few and many: the node's prefix n-grams (gram, pos) that another node may have, by whether they are crowded."""
     import pyarrow as pa
 
-    shared = firsts.sparkSession.sparkContext.broadcast(prefix_counts(firsts, crowd, cells))
+    def prefix_of(batches):
+        for batch in batches:
+            yield batch.column("prefix").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+    total = firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shared = firsts.sparkSession.sparkContext.broadcast(counted(firsts.select("prefix"), prefix_of, total, (2, crowd), cells))
 
     def run(batches):
         again, often = shared.value
@@ -214,11 +147,9 @@ def postings_of(firsts: DataFrame, crowd: int, cells: int = CELLS) -> DataFrame:
             grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             owner, first = np.repeat(np.arange(len(lists)), lengths), np.concatenate(([0], np.cumsum(lengths)))
-            at = (grams.view(np.uint64) >> np.uint64(64 - cells)).astype(np.int64)
-            bit = lambda seen: (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            crowded = bit(often)
+            crowded = in_bitmap(often, grams.view(np.uint64))
             columns = []
-            for keep in (bit(again) & ~crowded, crowded):
+            for keep in (in_bitmap(again, grams.view(np.uint64)) & ~crowded, crowded):
                 keep = np.flatnonzero(keep)
                 ends = np.searchsorted(owner[keep], np.arange(len(lists) + 1)).astype(np.int32)
                 items = pa.StructArray.from_arrays([pa.array(grams[keep]), pa.array((keep - first[owner[keep]]).astype(np.int32))], names=["gram", "pos"])
@@ -373,11 +304,6 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table of save() that nothing reads from now on."""
-    delete(df.sparkSession, df._scratch_path)
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 12, crowd: int = 64, part: int = 128) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id that links of at least percent reach)."""
     kind = docs.schema[id_col].dataType

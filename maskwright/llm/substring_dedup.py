@@ -2,18 +2,18 @@
 
 1. Sketch. Of every run of `width` words the smallest hash of its `gram`-word shingles is its anchor; equal windows
    have equal anchors, and about one shingle in 14 is an anchor. Each task counts its anchor positions in a
-   count-min sketch; the partial sketches are merged by slices of cells, and only one bit a cell (counted at
-   least twice) comes to the driver. The sketch has a fixed size (2 * 2**cells bits = 8 MiB by default), so what
-   is broadcast doesn't grow with the data. Counts are never too low: no repeated window is lost.
-2. Exact counts. Only windows whose anchor is estimated to repeat leave the task, one row for each distinct window
-   of a block of texts (repeats inside the block are settled there, so a passage found in every document costs
-   a row a block, and no key collects more rows than there are blocks). They are grouped by 96 bits of hash.
+   sparse count-min sketch; the partial sketches meet by slices of cells, as many as the texts need, and only a bitmap of a
+   fixed size (2**cells bits, 16 MiB by default; a bit says that some cell behind it was counted at least twice) comes to the
+   driver and is broadcast. Counts are never too low: no repeated window is lost.
+2. Exact counts. Only windows whose anchor is estimated to repeat leave the task. A task remembers windows it has met:
+   one that repeats there goes at most twice, its places are told apart, so a passage found in every document costs a
+   row or two a task, and no key collects more rows than that. They are grouped by 96 bits of hash.
 3. The repeated starts meet their document again and the covered words go.
 
-On inputs so large that the sketch fills up, step 2 passes more windows, all of them at worst: results
-stay exact, and `cells` should grow with the memory of a worker.
+The bitmap fills up with anchors that do repeat, not with all; on inputs with hundreds of millions of those
+step 2 passes more windows, all of them at worst. Results stay exact, and `cells` should grow with the memory of a worker.
 
-Null and empty texts have no words. A document that occurs in several rows repeats itself, as other copies do.
+Null and empty texts have no words. Very long texts are one document. A document that occurs in several rows repeats itself, as other copies do.
 An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, blocks, mix, shingle_hashes, table, word_hashes, words
+from .common import arrow_bytes, blocks, counted, in_bitmap, mix, shingle_hashes, table, word_hashes, words
 
-WIDTH, GRAM, CELLS, SLICE = 35, 8, 25, 1 << 20
-BLOCK = 2 << 20
+WIDTH, GRAM, CELLS = 35, 8, 27
+BLOCK, SEEN = 2 << 20, 2_000_000
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -62,110 +62,104 @@ class Windows:
         return self.grams[sliding(pad, self.per, np.maximum) == self.grams]
 
 
-def cells_of(anchors: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    h, mask = mix(anchors), np.uint64((1 << cells) - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+def repeated_anchors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS) -> np.ndarray:
+    """A bitmap of the anchors that are estimated to stand at two positions or more, over all texts."""
 
+    def anchors(batches):
+        for part in blocks(batches, "text", BLOCK):
+            yield Windows(part.column("text"), width, gram).anchor_positions()
 
-def repeat_bits(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS) -> np.ndarray:
-    """uint8[2, 2**cells / 8]: the cells that were counted at least twice, over all texts."""
-    import pyarrow as pa
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # About one shingle in (width - gram + 2) / 2 is an anchor; words have six bytes or so.
+    return counted(docs.select("text"), anchors, size // (3 * (width - gram + 2)), (2,), cells)[0]
 
-    size = min(SLICE, 1 << cells)
-    per_row = (1 << cells) // size
 
-    def count(batches):
-        sketch = np.zeros((2, 1 << cells), np.uint8)
-        for part in blocks(batches, "text", BLOCK):
-            for row, at in enumerate(cells_of(Windows(part.column("text"), width, gram).anchor_positions(), cells)):
-                found, n = np.unique(at, return_counts=True)
-                sketch[row][found] = np.minimum(sketch[row][found] + n, 2)
-        for row in range(2):
-            for k in range(per_row):
-                piece = sketch[row][k * size : (k + 1) * size]
-                once, more = np.flatnonzero(piece == 1).astype("<u4"), np.flatnonzero(piece == 2).astype("<u4")
-                if len(once) or len(more):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row * per_row + k], pa.int32()), pa.array([once.tobytes()], pa.binary()), pa.array([more.tobytes()], pa.binary())], names=["slice", "once", "more"]
-                    )
-
-    def merge(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, once, more in zip(*(batch.column(c).to_pylist() for c in ("slice", "once", "more"))):
-                piece = held.setdefault(k, np.zeros(size, np.uint8))
-                at = np.frombuffer(once, "<u4")
-                piece[at] = np.minimum(piece[at] + 1, 2)
-                piece[np.frombuffer(more, "<u4")] = 2
-        for k, piece in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(piece == 2, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
-
-    partial = docs.select("text").mapInArrow(count, "slice int, once binary, more binary")
-    merged = partial.repartition(min(16, 2 * per_row), "slice").mapInArrow(merge, "slice int, bits binary").collect()
-    bits = np.zeros((2 * per_row, size // 8), np.uint8)
-    for k, piece in merged:
-        bits[k] = np.frombuffer(piece, np.uint8)
-    return bits.reshape(2, -1)
-
-
-def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
-    """doc_id, version (hash of the text), starts and runs: the windows that start anywhere else too.
-
-    starts are word positions; runs are little-endian 32-bit positions of windows that repeat in one block.
+class Seen:
+    """What a task has met of windows, by their 96 bits of hash: bounded, and what doesn't fit is met anew."""
+
+    def __init__(self, most: int = SEEN):
+        self.most = most
+        self.first, self.second, self.known = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Index of each window in the table, or -1."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
+
+    def add(self, first: np.ndarray, second: np.ndarray, known: np.ndarray) -> None:
+        room = max(0, self.most - len(self.first))
+        first = np.concatenate((self.first, first[:room]))
+        order = np.argsort(first, kind="stable")
+        self.first = first[order]
+        self.second = np.concatenate((self.second, second[:room]))[order]
+        self.known = np.concatenate((self.known, known[:room]))[order]
+
+
+def versions(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version, which tells rows with one id apart: a hash of the text, or 0 where ids are enough."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    version = F.xxhash64("text") if again else F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return docs.select("doc_id", "text", version.alias("version"))
+
+
+def repeated_starts(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM, cells: int = CELLS, most: int = SEEN) -> DataFrame:
+    """doc_id, version, starts and runs of versions(): the windows that start anywhere else too.
+
+    starts are word positions; runs are little-endian 32-bit positions of windows that repeat within one task.
     """
     import pyarrow as pa
 
-    keyed = docs.select("doc_id", "text", F.hash("text").alias("version"))
-    shared = docs.sparkSession.sparkContext.broadcast(repeat_bits(docs, width, gram, cells))
+    shared = keyed.sparkSession.sparkContext.broadcast(repeated_anchors(keyed, width, gram, cells))
 
     def candidates(batches):
-        bits = shared.value
+        bits, seen = shared.value, Seen(most)
+        names = ["first", "second", "pos", "doc_id", "version", "runs"]
         for part in blocks(batches, "text", BLOCK):
             w = Windows(part.column("text"), width, gram)
-            if not w.inside.any():
-                continue
             at = np.flatnonzero(w.inside)
-            for row in range(2):
-                cell = cells_of(w.anchor[at], cells)[row]
-                at = at[(bits[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0]
+            at = at[in_bitmap(bits, w.anchor[at])] if len(at) else at
             if not len(at):
                 continue
             first = shingle_hashes(w.hashes, width)[at]
-            second = shingle_hashes(w.hashes, width, salt=99)[at].astype(np.uint32).view(np.int32)
+            second = shingle_hashes(w.hashes, width, salt=99)[at].astype(np.uint32)
             order = np.lexsort((second, first))
             f, s = first[order], second[order]
             new = np.ones(len(f), bool)
             new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
             head = np.flatnonzero(new)
             n = np.diff(np.append(head, len(f)))
-            lone = n == 1
+            place = seen.places(f[head], s[head])
+            known = (place >= 0) & seen.known[place] if len(seen.known) else np.zeros(len(head), bool)
+            lone = (place < 0) & (n == 1)
+            # A window that this task meets alone, for the first time, goes with its document. One that repeats in this task has
+            # no document, its places are told apart: it goes once and only tells others, and later not at all.
+            seen.known[place[(place >= 0) & ~known]] = True
+            seen.add(f[head][place < 0], s[head][place < 0], ~lone[place < 0])
             text, pos = w.text[at], at - w.offsets[w.text[at]]
-            # One row for each distinct window; one that repeats here has no document: it only tells others.
-            source = order[head]
-            owner = pa.array(np.where(lone, text[source], 0), pa.int32(), mask=~lone)
+            # In the order of the text, so that all but the hashes packs well.
+            rows = np.sort(order[head[~known]])
+            alone = np.zeros(len(at), bool)
+            alone[order[head[lone]]] = True
+            owner = pa.array(text[rows], pa.int32(), mask=~alone[rows])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(f[head].view(np.int64)), pa.array(s[head]), part.column("doc_id").take(owner), part.column("version").take(owner), pa.array(pos[source].astype(np.int32), mask=~lone), pa.array([None] * len(head), pa.binary())],
-                names=["first", "second", "doc_id", "version", "pos", "runs"],
+                [pa.array(first[rows].view(np.int64)), pa.array(second[rows].view(np.int32)), pa.array(pos[rows].astype(np.int32), mask=~alone[rows]), part.column("doc_id").take(owner), part.column("version").take(owner), pa.nulls(len(rows), pa.binary())], names=names
             )
-            local = np.sort(order[~lone.repeat(n)])
+            local = np.flatnonzero(~alone)
             if len(local):
-                cut = np.flatnonzero(np.diff(text[local])) + 1
-                groups = np.split(local, cut)
+                groups = np.split(local, np.flatnonzero(np.diff(text[local])) + 1)
                 who = pa.array([int(text[g[0]]) for g in groups], pa.int32())
                 runs = pa.array([pos[g].astype("<u4").tobytes() for g in groups], pa.binary())
                 # Spread by the text's place: these rows only travel with the others.
                 spread = mix(np.array([int(text[g[0]]) for g in groups], np.uint64) + w.hashes[at[[g[0] for g in groups]]]).view(np.int64)
-                nothing = pa.array([None] * len(groups), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread), pa.array(np.zeros(len(groups), np.int32)), part.column("doc_id").take(who), part.column("version").take(who), nothing, runs],
-                    names=["first", "second", "doc_id", "version", "pos", "runs"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(len(groups), np.int32)), pa.nulls(len(groups), pa.int32()), part.column("doc_id").take(who), part.column("version").take(who), runs], names=names)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = keyed.mapInArrow(candidates, f"first long, second int, doc_id {kind}, version int, pos int, runs binary")
+    kind = dict(keyed.dtypes)["doc_id"]
+    rows = keyed.mapInArrow(candidates, f"first long, second int, pos int, doc_id {kind}, version long, runs binary")
     same = Window.partitionBy("first", "second")
-    counted = rows.withColumn("n", F.count(F.when(F.col("runs").isNull(), 1)).over(same))
-    marks = counted.where("runs IS NOT NULL OR (n >= 2 AND pos IS NOT NULL)")
+    total = rows.withColumn("n", F.count(F.when(F.col("runs").isNull(), 1)).over(same))
+    marks = total.where("runs IS NOT NULL OR (n >= 2 AND pos IS NOT NULL)")
     return marks.groupBy("doc_id", "version").agg(F.collect_list("pos").alias("starts"), F.collect_list("runs").alias("runs"))
 
 
@@ -174,8 +168,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cells:
     import pyarrow as pa
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = repeated_starts(docs, width, gram, cells).select(F.col("doc_id").alias("mark_id"), F.col("version").alias("mark_version"), "starts", "runs")
-    keyed = docs.select("doc_id", "text", F.hash("text").alias("version"))
+    keyed = versions(docs)
+    marks = repeated_starts(keyed, width, gram, cells).select(F.col("doc_id").alias("mark_id"), F.col("version").alias("mark_version"), "starts", "runs")
     joined = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["mark_id"]) & (keyed["version"] == marks["mark_version"]), "left")
 
     def finish(batches):
