@@ -3,15 +3,17 @@
 1. Tokens: every text becomes ids by the tokenizers library; each match of its split is encoded once and looked up
    from then on.
 2. Pieces of at most `capacity` tokens; only longer documents are cut.
-3. Groups of about `group_rows` pieces, dealt evenly by a hash of the piece's key, so no key can grow a group.
-   In a group, bin completion: around the largest piece left, undominated fillings are enumerated (single
-   best fit, exact pairs, best pairs, repeated best fit); branches whose waste exceeds what the incumbent
-   allows are cut; the incumbent is best-fit decreasing. The search stops at the proven lower bound, or after
-   `nodes` nodes with the best packing found.
-4. The pieces of each group's badly filled bins go into another round of groups, until one group is left.
-   So the loss against one global packing is a few bins in all, not a few in each group.
-
-Null texts are empty: just the end token. Repeated rows are packed as documents of their own.
+3. Groups of about `group_rows` pieces, dealt by a hash of the row's place, so that neither a key nor repeated rows can
+   grow a group. In a group, bin completion: around the largest piece left, undominated fillings are enumerated;
+   branches whose waste exceeds what the incumbent allows are cut; the incumbent is best-fit decreasing. The search
+   stops at the proven lower bound, or after `nodes` nodes with the best packing found. With the default bounds a bin has the
+   `width` best fillings that begin with one of the `tries` longest pieces; None for `nodes`, `width` and `tries` makes
+   the search complete.
+4. Bins that are well filled, and of the others the better half, are done; the pieces of the rest go into another
+   round of groups, until one group is left. So the loss against one global packing is a few bins in all, not a few in
+   each group.
+
+Null texts are empty: just the end token. Very long texts are many pieces. Repeated rows are packed as documents of their own.
 An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -25,11 +27,14 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, delete, save, table
 from .token_counts import byte_alphabet
 
 CAPACITY, GROUP_ROWS, NODES, WELL_FILLED = 4096, 8192, 2000, 0.98
+#: Bounds of the search at a bin: fillings that are kept, and first pieces that are tried for them.
+WIDTH, TRIES = 3, 8
 
 
 # ---- bins of one group -------------------------------------------------------------------
@@ -60,37 +65,54 @@ class Supply:
         return (self.bits & ((2 << room) - 1)).bit_length() - 1 if room > 0 and self.bits & ((2 << room) - 1) else 0
 
 
-def fillings(supply: Supply, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill room, least waste first. One that uses a longer piece in place of shorter ones
-    of no greater sum dominates; so at equal waste fewer and longer pieces come first."""
-    found = {}
-
-    def greedy(start: tuple[int, ...]) -> None:
-        rest, out = room - sum(start), list(start)
-        for n in start:
-            supply.take(n)
-        while rest > 0 and (n := supply.best(rest)):
-            supply.take(n)
-            out.append(n)
-            rest -= n
-        for n in out:
-            supply.give(n)
-        found[tuple(sorted(out, reverse=True))] = rest
-
+def completions(supply: Supply, room: int, top: int, tries: int | None):
+    """Fillings of room by pieces of at most top, longest first, to which no such piece can be added; at each step the `tries`
+    longest pieces that fit are tried (None: all), a quarter of that one step down."""
+    n, tried = supply.best(min(room, top)), 0
+    if not n:
+        yield ()
+    while n and (tries is None or tried < max(1, tries)):
+        supply.take(n)
+        for rest in completions(supply, room - n, n, tries and tries // 4):
+            yield (n, *rest)
+        supply.give(n)
+        n, tried = supply.best(n - 1), tried + 1
+
+
+def dominates(one: tuple[int, ...], two: tuple[int, ...]) -> bool:
+    """Whether two's pieces fit into bins as large as one's pieces: then one is no worse a filling (Martello and Toth)."""
+    if not two:
+        return True
+    if sum(two) > sum(one):
+        return False
+    for k, room in enumerate(one):
+        if two[0] <= room and room not in one[:k] and dominates((*one[:k], room - two[0], *one[k + 1 :]), two[1:]):
+            return True
+    return False
+
+
+def fillings(supply: Supply, room: int, tries: int | None = TRIES) -> list[tuple[int, ...]]:
+    """Undominated ways to fill room, least waste first, then fewer and so longer pieces.
+
+    tries None: all of them. Else those that begin with one of the `tries` longest pieces that fit, and an exact pair
+    wherever it is. Fillings of more than six pieces are not tested for dominance.
+    """
     first = supply.best(room)
     if not first:
         return [()]
-    greedy(())
-    if first != room:
-        n, tried = first, 0
-        while n and tried < most:  # pairs whose second piece fits exactly, then fillings around other first pieces
-            rest = room - n
-            if rest and supply.bits >> rest & 1 and (rest != n or supply.count[n] > 1):
-                found[(max(n, rest), min(n, rest))] = 0
-                break
-            greedy((n,))
-            n, tried = supply.best(n - 1), tried + 1
-    return sorted(found, key=lambda f: (found[f], len(f)))
+    found = {f for f in completions(supply, room, first, tries)}
+    n = first if tries and first < room else 0
+    while 2 * n >= room:  # a pair that fits exactly
+        rest = room - n
+        if supply.bits >> rest & 1 and (rest != n or supply.count[n] > 1):
+            found.add((n, rest))
+            break
+        n = supply.best(n - 1)
+    out: list[tuple[int, ...]] = []
+    for f in sorted(found, key=lambda f: (-sum(f), len(f), f)):
+        if len(f) > 6 or not any(len(g) <= 6 and dominates(g, f) for g in out):
+            out.append(f)
+    return out
 
 
 def best_fit_decreasing(lengths, capacity: int) -> list[list[int]]:
@@ -118,8 +140,12 @@ def lower_bound(lengths, capacity: int) -> int:
     return best
 
 
-def pack_lengths(lengths, capacity: int = CAPACITY, nodes: int = NODES, width: int = 3) -> list[list[int]]:
-    """Bins of lengths, by bin completion with branch and bound."""
+def pack_lengths(lengths, capacity: int = CAPACITY, nodes: int | None = NODES, width: int | None = WIDTH, tries: int | None = TRIES) -> list[list[int]]:
+    """Bins of lengths, by bin completion with branch and bound.
+
+    At most `nodes` nodes (or two a bin), `width` fillings a bin and `tries` first pieces; with None for all three the
+    search is complete and its packing optimal, in exponential time.
+    """
     if not len(lengths):
         return []
     incumbent, bound = best_fit_decreasing(lengths, capacity), lower_bound(lengths, capacity)
@@ -132,7 +158,7 @@ def pack_lengths(lengths, capacity: int = CAPACITY, nodes: int = NODES, width: i
     def open_bin() -> None:
         largest = supply.bits.bit_length() - 1
         supply.take(largest)
-        frames.append((largest, fillings(supply, capacity - largest, 8)[:width][::-1]))
+        frames.append((largest, fillings(supply, capacity - largest, tries)[:width][::-1]))
         bins.append([])
 
     def undo() -> None:
@@ -145,7 +171,7 @@ def pack_lengths(lengths, capacity: int = CAPACITY, nodes: int = NODES, width: i
 
     if len(incumbent) > bound:
         open_bin()
-    while frames and len(incumbent) > bound and (spent < nodes or spent < 2 * len(incumbent)):
+    while frames and len(incumbent) > bound and (nodes is None or spent < nodes or spent < 2 * len(incumbent)):
         spent += 1
         undo()
         largest, choices = frames[-1]
@@ -268,17 +294,18 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
 # ---- rounds of groups --------------------------------------------------------------------
 
 
-def _pack_group(pdf, capacity: int, nodes: int, keep_all: bool, stride: int, first: int):
+def _pack_group(pdf, capacity: int, bounds: tuple, keep_all: bool, stride: int, first: int):
     """Rows of one group with sequence_id, offset and whether the bin is final."""
     order = np.argsort(pdf["length"].to_numpy(), kind="stable")
     lengths = pdf["length"].to_numpy()[order]
-    bins = pack_lengths(lengths, capacity, nodes)
+    bins = pack_lengths(lengths, capacity, *bounds)
+    enough = min(WELL_FILLED * capacity, float(np.median([sum(b) for b in bins])))
     at = {int(n): int(i) for n, i in zip(*np.unique(lengths, return_index=True))}
     sequence, offset, final = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
     group = int(pdf["grp"].iloc[0])
     for b, content in enumerate(bins):
         used = 0
-        done = keep_all or sum(content) >= WELL_FILLED * capacity
+        done = keep_all or sum(content) >= enough
         for n in content:
             row = order[at[n]]
             at[n] += 1
@@ -291,22 +318,20 @@ def _group_packer(*settings):
     return lambda pdf: _pack_group(pdf, *settings)
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, nodes: int = NODES) -> DataFrame:
-    """found: pieces(); adds sequence_id (long) and offset (long)."""
+def pack(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, nodes: int | None = NODES, width: int | None = WIDTH, tries: int | None = TRIES) -> DataFrame:
+    """found: pieces(), written as a table; adds sequence_id (long) and offset (long)."""
     base = found.columns
-    schema = found.schema.add("sequence_id", "long").add("offset", "long").add("final", "boolean")
-    rest, done, turn, before = found, [], 0, None
+    schema = T.StructType(found.schema.fields).add("sequence_id", "long").add("offset", "long").add("final", "boolean")
+    rest, done, turn = found, [], 0
     stride = group_rows * 16
     while True:
-        n = rest.count()
-        groups = max(1, -(-n // group_rows))
-        last = groups == 1 or (before is not None and n > 0.7 * before)
-        before = n
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).alias("grp")
-        run = _group_packer(capacity, nodes, last, stride, turn << 56)
+        groups = max(1, -(-rest.count() // group_rows))
+        # The place of a row in a written table, so the same in every attempt of a task.
+        key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)).alias("grp")
+        run = _group_packer(capacity, (nodes, width, tries), groups == 1, stride, turn << 56)
         out = save(rest.select(*base, key).groupBy("grp").applyInPandas(run, schema), f"packed{turn}")
         done.append(out.where("final").select(*base, "sequence_id", "offset"))
-        if last:
+        if groups == 1:
             break
         rest, turn = out.where(~F.col("final")).select(*base), turn + 1
     result = done[0]
@@ -315,10 +340,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
     return result
 
 
-def best_fit_packing(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def best_fit_packing(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, **bounds) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. bounds: those of pack()."""
     found = save(pieces(docs, path, end_id, capacity), "pieces")
-    packed = pack(found, capacity)
+    packed = pack(found, capacity, **bounds)
     delete(docs.sparkSession, found._scratch_path)
     return packed
 
