@@ -1,11 +1,11 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
-Writing: each task writes record-at-a-time gzip files under a name of its own; the commit lists the files of
-the attempts that succeeded in a manifest, with offsets at which a reader may begin. A lost or repeated
-attempt leaves a file that nothing lists. Every gzip member says in its header (an extra field, as BGZF
+Writing: each task writes record-at-a-time gzip files under a name of its own; each commit writes a list of the files of
+the attempts that succeeded, with offsets at which a reader may begin. A lost or repeated attempt leaves a file that nothing
+lists. Every gzip member says in its header (an extra field, as BGZF
 does) how long it is, so a reader can step over a record without inflating it.
 
-Reading: partitions are the manifest's ranges, or whole files of other archives (.warc and .warc.gz).
+Reading: partitions are the ranges of all lists, or whole files of other archives (.warc and .warc.gz).
 Equality, IN, prefix, suffix and contains predicates on header columns are pushed down. Of each record only
 the first bytes are inflated; if the header fails a predicate, or the payload isn't asked for, the rest is
 stepped over. Options: payload = "read" (default), "digest" (length and digest of the bytes found, no bytes) or
@@ -13,7 +13,8 @@ stepped over. Options: payload = "read" (default), "digest" (length and digest o
 
 Payload columns: null payloads count as empty. Of records with equal payloads of at least min_bytes, the one with the
 smallest id is the response and others revisit it; rows that repeat one id are all responses. An empty
-table writes an archive without files, which reads back as no rows.
+table writes an archive without files, which reads back as no rows. A very long payload is one record, in memory
+once on either side. Other columns are ignored. register() switches filter pushdown to Python sources on in the session.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,7 +37,8 @@ from .common import scratch_path, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, content_type string, payload_digest string, payload_length long, payload binary"
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "content_type": "content-type", "payload_digest": "warc-payload-digest"}
-MANIFEST, RANGE = "_MANIFEST.json", 32 << 20
+MANIFEST, RANGE, HEAD, AHEAD = "_manifest", 32 << 20, 4096, 256 << 10
+OWN_FILE = re.compile("part-[0-9a-f]{32}[.]warc[.]gz")
 
 
 # ---- files in any store ------------------------------------------------------------------
@@ -51,6 +54,14 @@ def store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def listings(files, root: str) -> list[str]:
+    """The commits' lists of an archive."""
+    from pyarrow import fs
+
+    found = files.get_file_info(fs.FileSelector(f"{root}/{MANIFEST}", allow_not_found=True))
+    return sorted(x.path for x in found if x.path.endswith(".json"))
+
+
 # ---- records -----------------------------------------------------------------------------
 
 
@@ -123,67 +134,78 @@ def skip_length(head: bytes) -> int | None:
     return None
 
 
-def scan(f, start: int, end: int | None, wanted, mode: str):
+class Window:
+    """Bytes of a file by position, read ahead in pieces, so that small records cost no request each and big ones that are
+    stepped over aren't read."""
+
+    def __init__(self, f, ahead: int = AHEAD):
+        self.f, self.ahead, self.start, self.data = f, ahead, 0, b""
+
+    def read(self, at: int, size: int) -> bytes:
+        """size bytes from `at` on, fewer at the end of the file."""
+        if at < self.start or at + size > self.start + len(self.data):
+            have = self.data[at - self.start :] if self.start <= at <= self.start + len(self.data) else b""
+            self.f.seek(at + len(have))
+            self.start, self.data = at, have + self.f.read(max(size, self.ahead) - len(have))
+        return self.data[at - self.start : at - self.start + size]
+
+
+def scan(f, start: int, end: int | None, wanted, mode: str, ahead: int = AHEAD):
     """Rows of the records that begin in [start, end). wanted(columns) tells by the header."""
-    f.seek(start)
-    packed = f.read(2) == b"\x1f\x8b"
-    f.seek(start)
-    at = start
+    source, at = Window(f, ahead), start
+    packed = source.read(start, 2) == b"\x1f\x8b"
     while end is None or at < end:
-        f.seek(at)
-        head = f.read(4096)
+        head = source.read(at, HEAD)
         if not head:
             return
-        if packed:
-            size = skip_length(head)
-            inflate = zlib.decompressobj(31)
-            data = inflate.decompress(head, 4096)
-            rest = inflate.unconsumed_tail
-            while (parsed := parse_head(data)) is None and not inflate.eof:
-                rest = rest or f.read(65536)
-                if not rest:
-                    raise ValueError("the archive ends inside a header")
-                data += inflate.decompress(rest, 4096)
-                rest = inflate.unconsumed_tail
-        else:
-            data = head
-            while (parsed := parse_head(data)) is None:
-                more = f.read(65536)
-                if not more:
-                    if not data.strip():
-                        return
-                    raise ValueError("the archive ends inside a header")
-                data += more
-        if parsed is None:
-            raise ValueError("a record without a header")
+        size, inflate = skip_length(head) if packed else None, zlib.decompressobj(31) if packed else None
+        data, read, tail = b"", 0, b""
+
+        def more(step: int, most: int = 0) -> bool:
+            """More of the record's data; at most `most` inflated bytes if that isn't 0. False at the end of the member or file."""
+            nonlocal data, read, tail
+            if packed and inflate.eof:
+                return False
+            chunk = tail or source.read(at + read, min(step, size - read) if size else step)
+            read += 0 if tail else len(chunk)
+            if not chunk:
+                return False
+            data += inflate.decompress(chunk, most) if packed else chunk
+            tail = inflate.unconsumed_tail if packed else b""
+            return True
+
+        while (parsed := parse_head(data)) is None:
+            if not more(HEAD, HEAD):
+                if not packed and not data.strip():
+                    return
+                raise ValueError("the archive ends inside a header")
         fields, begin = parsed
         block_length = int(fields.get("content-length", 0))
         row = columns_of(fields)
         take = wanted(row)
         need = begin + block_length if take and mode != "skip" and row["record_type"] != "revisit" else 0
         if packed:
-            if need > len(data) or size is None:
-                parts, have = [data], len(data)
-                while not inflate.eof:
-                    rest = rest or f.read(1 << 20)
-                    if not rest:
-                        raise ValueError("the archive ends inside a record")
-                    chunk = inflate.decompress(rest)
-                    rest = inflate.unconsumed_tail
-                    if need:
-                        parts.append(chunk)
-                    have += len(chunk)
-                data = b"".join(parts)
-                at = f.tell() - len(inflate.unused_data)
-            else:
-                at += size
+            parts = [data]
+            have, used = len(data), need
+            # A member that doesn't say how long it is has to be inflated to its end.
+            while (have < need or size is None) and not inflate.eof:
+                data = b""
+                if not more(size or 1 << 20):
+                    raise ValueError("the archive ends inside a record")
+                have += len(data)
+                if used:
+                    parts.append(data)
+            data = b"".join(parts)
+            at += size if size else read - len(inflate.unused_data)
         else:
             if need > len(data):
-                data += f.read(need - len(data))
+                data = source.read(at, need)
             at += begin + block_length + 4
         if not take:
             continue
         if need:
+            if len(data) < need:
+                raise ValueError("the archive ends inside a record")
             payload = payload_of(fields, data[begin : begin + block_length])
             digest = digest_of(payload)
             if row["payload_digest"] not in (None, digest):
@@ -231,17 +253,17 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         files, root = store(self.path)
-        try:
-            with files.open_input_stream(f"{root}/{MANIFEST}") as f:
-                listed = json.loads(f.read())
+        lists = listings(files, root)
+        if lists:
+            listed = [x for name in lists for x in json.loads(files.open_input_stream(name).read())]
             return [Range(f"{self.path}/{name}", a, b) for name, cuts in listed for a, b in zip(cuts, [*cuts[1:], None])]
-        except FileNotFoundError:
-            from pyarrow import fs
+        from pyarrow import fs
 
-            found = files.get_file_info(fs.FileSelector(root, recursive=True))
-            names = sorted(x.path for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")))
-            scheme = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
-            return [Range(scheme + n, 0, None) for n in names]
+        # An archive of other makers. Files of this writer that no list names come from jobs that failed.
+        found = files.get_file_info(fs.FileSelector(root, recursive=True))
+        names = sorted(x.path for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")) and not OWN_FILE.fullmatch(x.base_name))
+        scheme = self.path[: len(self.path) - len(root)] if self.path.endswith(root) else ""
+        return [Range(scheme + n, 0, None) for n in names]
 
     def read(self, partition):
         import pyarrow as pa
@@ -292,19 +314,20 @@ class WarcWriter(DataSourceArrowWriter):
         return Written([(name, cuts)])
 
     def commit(self, messages):
+        """One list a commit, under a name of its own, moved into place whole: appends at the same time don't meet."""
         files, root = store(self.path)
-        files.create_dir(root, recursive=True)
-        try:
-            with files.open_input_stream(f"{root}/{MANIFEST}") as f:
-                listed = json.loads(f.read())
-        except FileNotFoundError:
-            listed = []
-        listed += [x for m in messages if m is not None for x in m.files]
-        with files.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps(listed).encode())
+        files.create_dir(f"{root}/{MANIFEST}", recursive=True)
+        name = f"{root}/{MANIFEST}/{uuid.uuid4().hex}"
+        with files.open_output_stream(f"{name}.part") as f:
+            f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+        files.move(f"{name}.part", f"{name}.json")
 
     def abort(self, messages):
-        """Files of a failed job stay unlisted; nothing reads them."""
+        """The files of tasks that ended go; those of tasks that didn't stay unlisted, and nothing reads them."""
+        files, root = store(self.path)
+        for m in messages:
+            for name, _ in m.files if m is not None else ():
+                files.delete_file(f"{root}/{name}")
 
 
 class WarcDataSource(DataSource):
