@@ -1,14 +1,15 @@
 """Interleaved document sequences: text and media in reading order, payloads resolved by digest.
 
 * interleave: HTML becomes an ordered array of items: text blocks, and media references with their caption (figcaption
-  of the same figure, else the alt text). Positions count items, so text, media and captions stay aligned.
+  of the same figure, else the alt text). A figcaption before any media of its figure, or outside a figure, is a text block. Positions count items, so text, media and captions stay aligned.
 * Media are content-addressed: src="media:<sha256>" names the payload. A store keeps each payload losslessly
   as an 8-bit grey PNG, rows of ROW samples.
 * resolve: references join the store by digest. A hot payload (a logo on every page) is one row of the store, and
   only references travel; both sides have an exchange of their own, so the hot digest can be split at run time.
 
 Null HTML has no items; unknown digests resolve to null and keep their place. Payloads of any size are stored, an
-empty one as one row of padding. Repeated rows are documents of their own. An empty table gives an empty result.
+empty one as one row of padding; a very long text is one image. Repeated rows are documents of their own. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class _Sequence(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items, self.text, self.hidden = [], [], 0
-        self.figure: list[int] | None = None
+        self.figures: list[list[int]] = []  # of each open figure the media in it
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -54,14 +55,15 @@ class _Sequence(HTMLParser):
             self.hidden += 1
         elif tag in MEDIA and (ref := dict(attrs).get(MEDIA[tag])):
             self.flush()
-            if self.figure is not None:
-                self.figure.append(len(self.items))
+            for figure in self.figures:
+                figure.append(len(self.items))
             self.items.append({"kind": "media", "text": None, "ref": ref, "caption": dict(attrs).get("alt")})
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append([])
             elif tag == "figcaption":
+                self._caption()
                 self.caption = []
 
     def handle_startendtag(self, tag, attrs):
@@ -78,13 +80,18 @@ class _Sequence(HTMLParser):
                 self._caption()
             elif tag == "figure":
                 self._caption()
-                self.figure = None
+                if self.figures:
+                    self.figures.pop()
 
     def _caption(self) -> None:
+        """The caption goes to the media of the innermost figure; without any it is text like other."""
         if self.caption is not None:
             text = " ".join("".join(self.caption).split())
-            for i in self.figure or []:
+            within = self.figures[-1] if self.figures else []
+            for i in within:
                 self.items[i]["caption"] = text or self.items[i]["caption"]
+            if text and not within:
+                self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
             self.caption = None
 
     def handle_data(self, data):
