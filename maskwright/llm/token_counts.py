@@ -12,7 +12,8 @@ Two transducers, both deterministic, with emitted counts on their transitions:
   reached and kept in a bounded table, so any text of any length runs in constant memory.
 
 Added special strings inside a text count as one token each, as the library does by default.
-Null and empty texts have 0 tokens. Repeated rows are counted once each. Other columns are ignored.
+Null and empty texts have 0 tokens. Repeated rows are counted once each. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ from maskwright.llm import bpe_codec, exact_dedup, jaccard, media, packing, pii,
 from maskwright.llm.common import arrow_bytes, scratch_path, shingle_hashes, word_hashes, words
 
 #: Extra columns whose names clash with ones that operators use inside.
-EXTRA = ["digest", "node", "gram", "n", "length", "spans", "version", "keep_id", "component", "label_id", "twin", "kept"]
+EXTRA = ["digest", "node", "gram", "n", "length", "spans", "version", "keep_id", "component", "label_id", "twin", "kept",
+         "toxic", "_new", "_spans", "_row_text", "_email", "_ssn", "_nameless", "_number", "id", "media", "first", "other", "number", "prefix", "a", "b"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 random.seed(3)
 VOCABULARY = ["the", "und", "les", "Que", "idiot", "zebra", "Haus", "été", "x1", "don't", "a@b.co", "+1 202 555 0101", "4532015112830366", "10.0.0.255", "日本語", "🙂"]
@@ -122,10 +123,13 @@ def test_pii(docs, nothing, spark):
             assert [(s.start, s.rank, s.end, s.kind) for s in r.spans if s.kind in BASE] == want[r.doc_id], r.text
             assert all(r.text[s.start : s.end] == s.raw for s in r.spans)
     iban = spark.createDataFrame([(1, "my iban GB82 WEST 1234 5698 7654 32 ok"), (2, "my iban GB83 WEST 1234 5698 7654 32 no"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789")], "doc_id long, text string")
-    assert [[s.kind for s in r.spans] for r in pii.detect(iban).orderBy("doc_id").collect()] == [["iban"], [], [], []] or [[s.kind for s in r.spans] for r in pii.detect(iban).orderBy("doc_id").collect()] == [["iban"], [], ["ssn"], []]
+    assert [[s.kind for s in r.spans] for r in pii.detect(iban).orderBy("doc_id").collect()] == [["iban"], [], ["ssn"], []]
+    lean = pii.detect(iban, scores=False).orderBy("doc_id").collect()
+    assert [[s.kind for s in r.spans] for r in lean] == [["iban"], [], ["ssn"], []]
     assert "Python" not in pii.detect(docs)._jdf.queryExecution().toString()
     masked = pii.redact(docs)
     assert masked.columns == docs.columns and masked.count() == len(ROWS)
+    assert all(r[c] == "clash" for r in masked.collect() for c in EXTRA)
     assert all(not any(k == "email" for *_, k in base_spans(r.text)) for r in masked.collect() if r.text)
     assert pii.detect(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
@@ -192,17 +196,38 @@ def test_splitter_scan_equals_one_run():
     assert s.boundaries(symbols).tolist() == want
 
 
-def test_codec(docs, nothing):
+def merged(text, library):
+    """Byte-pair merging by rank, for one match of a single repeated byte: the best pairs from left to right, round by round."""
+    parts = [bytes([b]) for b in text.encode()]
+    ranks = library._mergeable_ranks
+    while True:
+        best = min((ranks[a + b] for a, b in set(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        out, k = [], 0
+        while k < len(parts):
+            if k + 1 < len(parts) and ranks.get(parts[k] + parts[k + 1]) == best:
+                out.append(parts[k] + parts[k + 1])
+                k += 2
+            else:
+                out.append(parts[k])
+                k += 1
+        parts = out
+
+
+def test_codec(docs, nothing, spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     library = bpe_codec.Codec(path, public_tokenizers.PATTERN).library
-    rows = bpe_codec.round_trips(docs, path, public_tokenizers.PATTERN).collect()
+    more = [(700 + k, "".join(random.choices(VOCABULARY + [" ", "  ", "\n", "'s", "1234", "<|endoftext|>", "ﬁ"], k=200))) for k in range(200)]
+    rows = bpe_codec.round_trips(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), path, public_tokenizers.PATTERN).collect()
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    listed = lambda ids: sha(",".join(map(str, ids)).encode())
     want = []
-    for i, t in ROWS:
-        ids = library.encode_ordinary(t or "") if len(t or "") != 20_001 else None
-        want.append((i, hashlib.sha256((t or "").encode()).hexdigest(), None if ids is None else len(ids)))
-    got = Counter((r.doc_id, r.decoded_sha256) for r in rows)
-    assert got == Counter((i, d) for i, d, _ in want)
-    assert {(r.doc_id, r.n_tokens) for r in rows if r.doc_id != 13} == {(i, n) for i, _, n in want if i != 13}
+    for i, t in [*ROWS, *more]:
+        # The library's regex overflows on the long white space: one match, all but its last character, by merges.
+        ids = library.encode_ordinary(t or "") if len(t or "") != 20_001 else merged(" " * 19_999, library) + library.encode_ordinary(" x")
+        want.append((i, len(ids), listed(ids), sha((t or "").encode())))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == Counter(want)
     encoded = bpe_codec.encode(docs, path, public_tokenizers.PATTERN)
     back = bpe_codec.decode(encoded, path, public_tokenizers.PATTERN)
     assert Counter((r.doc_id, bytes(r.data)) for r in back.collect()) == Counter((i, (t or "").encode()) for i, t in ROWS)
@@ -256,9 +281,33 @@ def test_bin_completion_is_optimal_on_small_cases():
     r = random.Random(5)
     for _ in range(60):
         lengths = [r.randint(1, 20) for _ in range(r.randint(1, 9))]
-        bins = packing.pack_lengths(np.array(lengths), 20)
-        assert sorted(x for b in bins for x in b) == sorted(lengths) and max(map(sum, bins)) <= 20
-        assert len(bins) == best(lengths, 20)
+        for bounds in ({}, {"nodes": None, "width": None, "tries": None}):
+            bins = packing.pack_lengths(np.array(lengths), 20, **bounds)
+            assert sorted(x for b in bins for x in b) == sorted(lengths) and max(map(sum, bins)) <= 20
+            assert len(bins) == best(lengths, 20)
+
+
+def test_fillings_are_the_undominated_ones():
+    from itertools import combinations
+
+    r = random.Random(12)
+    for _ in range(150):
+        lengths, room = [r.randint(1, 12) for _ in range(r.randint(1, 7))], r.randint(1, 24)
+        sets = {tuple(sorted(c, reverse=True)) for k in range(len(lengths) + 1) for c in combinations(lengths, k) if sum(c) <= room}
+        # Of fillings that dominate each other only equal ones remain, so what no other dominates is what is wanted.
+        want = {f for f in sets if not any(g != f and packing.dominates(g, f) for g in sets)}
+        supply = packing.Supply(np.array(lengths), 30)
+        assert set(packing.fillings(supply, room, None)) == want
+        assert set(packing.fillings(supply, room)) <= sets and supply.left == sum(lengths)
+
+
+def test_groups_are_even_and_end_in_one(spark):
+    rows = spark.range(0, 6000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1500).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    from maskwright.llm.common import save
+
+    out = packing.pack(save(rows, "equal"), 4096, group_rows=256).toPandas()
+    assert len(out) == 6000 and out.sequence_id.nunique() == 3000
+    assert (out.groupby("sequence_id").length.sum() == 3000).all()
 
 
 def brute_repeats(rows, width):
@@ -288,8 +337,10 @@ def test_substring_dedup(docs, nothing, spark):
         made.append((200 + i, " ".join(ws)))
     rows = [*ROWS, *made]
     frame = docs.select("doc_id", "text", F.lit("x").alias("first"), F.lit("x").alias("starts")).union(spark.createDataFrame([(i, t, "x", "x") for i, t in made], "doc_id long, text string, first string, starts string"))
-    for cells in (25, 6):  # a sketch with room, and one that is full: results are the same
+    for cells, most in ((27, 2_000_000), (20, 0), (20, 50)):  # with little memory of windows met: results are the same
+        original, substring_dedup.repeated_starts.__defaults__ = substring_dedup.repeated_starts.__defaults__, (35, 8, cells, most)
         found = substring_dedup.remove_repeats(frame, cells=cells).collect()
+        substring_dedup.repeated_starts.__defaults__ = original
         assert Counter((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in found) == brute_repeats(rows, 35)
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
@@ -375,10 +426,30 @@ def test_toxicity(docs, nothing, labels, spark):
     unlabelled = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {x.score for x in toxicity.classify(docs, unlabelled).collect()} == {0.0}
     assert toxicity.classify(nothing, labels).count() == 0
+    bounded = toxicity.train(docs.where("doc_id IS NOT NULL"), labels.select("doc_id", "toxic"), most_bytes=100)
+    assert bounded is None or isinstance(bounded, toxicity.Network)
     kept = toxicity.drop_toxic(docs, unlabelled)
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_network_against_loops():
+    """The forward pass in loops: a text's logit doesn't depend on the texts beside it."""
+    r = np.random.default_rng(3)
+    network = toxicity.Network(2)
+    network.z = r.normal(0, 1, network.z.shape).astype(np.float32)
+    texts = [r.integers(0, 1 << toxicity.BITS, (n, toxicity.TABLES)).astype(np.int32) for n in (0, 1, 2, 5, 40)]
+    got = network.logits(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    for text, logit in zip(texts, got):
+        rows = [np.concatenate([np.append(network.z[t][b[t]], network.table[t][b[t]]) for t in range(toxicity.TABLES)]) for b in text]
+        rows += [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+        total = float(network.c)
+        for i, (f, bias) in enumerate(zip(network.filters, network.bias)):
+            for q in range(toxicity.FILTERS):
+                best = max(sum(float(f[j, :, q] @ rows[at + j]) for j in range(len(f))) for at in range(len(rows) - len(f) + 1))
+                total += max(0.0, best + float(bias[q])) * float(network.out[i * toxicity.FILTERS + q])
+        assert abs(total - logit) < 1e-3
+
+
 def test_toxicity_learns(spark):
     r = random.Random(4)
     filler = [f"word{k}" for k in range(300)]
@@ -439,6 +510,61 @@ def test_warc_reads_foreign_files(spark, tmp_path):
         warc.read(spark, str(tmp_path)).collect()
 
 
+class Counted:
+    """A file that counts what is read."""
+
+    def __init__(self, data):
+        import io
+
+        self.f, self.n, self.reads = io.BytesIO(data), 0, 0
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def read(self, size):
+        out = self.f.read(size)
+        self.n, self.reads = self.n + len(out), self.reads + 1
+        return out
+
+
+def test_warc_reads_each_byte_once():
+    r = random.Random(6)
+    payloads = [r.randbytes(r.choice([0, 10, 20_000, 20_000, 3_000_000])) for _ in range(120)]
+    rows = [warc.record(f"urn:x:{i}", "response", "http://a", p, warc.digest_of(p), len(p)) for i, p in enumerate(payloads)]
+    import gzip
+
+    for data in (b"".join(map(warc.member, rows)), b"".join(gzip.compress(x, 1) for x in rows), b"".join(rows)):
+        f = Counted(data)
+        found = list(warc.scan(f, 0, None, lambda row: True, "read"))
+        assert [x["payload"] for x in found] == payloads and f.n <= 1.05 * len(data) + warc.AHEAD * 40
+        own = data[3] & 4
+        f = Counted(data)
+        found = list(warc.scan(f, 0, None, lambda row: row["record_id"] == "urn:x:7", "skip"))
+        assert [x["record_id"] for x in found] == ["urn:x:7"] and f.reads < 240
+        if own:  # long records that aren't wanted are stepped over
+            assert f.n < 0.5 * len(data)
+
+
+def test_warc_ignores_what_no_commit_lists(spark, tmp_path):
+    warc.register(spark)
+    p = b"x" * 100
+    (tmp_path / f"part-{'0' * 32}.warc.gz").write_bytes(warc.member(warc.record("urn:x:1", "response", "http://a", p, warc.digest_of(p), 100)))
+    assert warc.read(spark, str(tmp_path)).count() == 0
+    writers = [warc.WarcWriter({"path": str(tmp_path)}) for _ in range(3)]
+    import pyarrow as pa
+
+    def some(i):
+        row = {"record_id": f"urn:y:{i}", "record_type": "response", "target_uri": "http://b", "refers_to": None, "payload": p, "payload_digest": warc.digest_of(p), "payload_length": 100}
+        return [pa.RecordBatch.from_pylist([row])]
+
+    written = [w.write(some(i)) for i, w in enumerate(writers)]
+    writers[0].commit([written[0]])
+    writers[1].commit([written[1], None])
+    writers[2].abort([written[2], None])
+    assert sorted(x.record_id for x in warc.read(spark, str(tmp_path)).collect()) == ["urn:y:0", "urn:y:1"]
+    assert len(list(tmp_path.glob("part-*"))) == 3
+
+
 def test_media(docs, nothing, spark):
     data = {i: media.padded((t or "").encode()) for i, t in ROWS}
     assert all(len(p) % 576 == 0 and len(p) > 0 for p in data.values())
@@ -451,6 +577,42 @@ def test_media(docs, nothing, spark):
     assert media.store_texts(nothing).count() == 0
 
 
+def plain_feature(payload):
+    """media.feature in loops."""
+    n = len(payload)
+    mean = sum(payload) / n
+    deviation = max(0.0, sum(x * x for x in payload) / n - mean**2) ** 0.5
+    lines = [payload[k : k + 576] for k in range(0, n, 576)]
+    steep = sum(abs(a - b) > 32 for line in lines for a, b in zip(line, line[1:]))
+    levels = [0] * 16
+    for x in payload:
+        levels[x // 16] += 1
+    return f"576x{len(lines)} mean {mean:.3f} dev {deviation:.3f} steep {steep * 1000 // n} hist " + " ".join(str(v * 1000 // n) for v in levels)
+
+
+def test_media_query_against_loops(spark, tmp_path):
+    rows = [(i, t) for i, t in ROWS if t is None or len(t) < 60_000] + [(500, "a & <b> 'q' " * 60), (501, "a & <b> 'q' " * 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = media.op8_media_columns(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        data = (t or "").encode()
+        payload = data + b"\xff" * (576 - len(data) if len(data) < 576 else -len(data) % 576)
+        stored = media.to_png(payload)
+        want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(payload)))
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    assert Counter(tuple(r[c] for c in names) for r in found) == Counter(want)
+
+
+def test_captions_are_never_lost():
+    kinds = lambda html: [(i["kind"], i["text"] if i["kind"] == "text" else i["caption"]) for i in media.sequence(html)]
+    image = '<img src="media:x" alt="alt">'
+    assert kinds("<figure><figcaption>Only words</figcaption></figure>after") == [("text", "Only words"), ("text", "after")]
+    assert kinds("<figcaption>outside</figcaption>" + image) == [("text", "outside"), ("media", "alt")]
+    assert kinds(f"<figure>{image}<figure>{image}<figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>") == [("media", "outer"), ("media", "outer")]
+    assert kinds(f"<figure>{image}<figcaption>first<figcaption>second</figure>") == [("media", "second")]
+
+
 def test_interleaved(spark):
     digest = "ab" * 32
     html = f'<h1>T &amp; x</h1><script>no</script><p>one<img src="media:{digest}" alt="alt">two</p><figure><img src="media:{"cd" * 32}"><figcaption>Cap <b>b</b></figcaption></figure><p>end'
