@@ -6,9 +6,12 @@ and repartitioning, in every table and run that shares the key.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fpe import fpe_numeric
 from .scalar import digits, iban_check_digits, luhn_digit
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -292,12 +295,16 @@ FAKES = {
 TYPES = (*FAKES, "fpe_numeric", "passthrough")
 
 
-def fake(kind: str, key: str, c: Column, literal_prefix: str | None = None, visible: bool = False) -> Column:
-    """The stand-in of c under a replacement type. passthrough keeps c; unknown types redact."""
+def fake(kind: str, key: str, c: Column, literal_prefix: str | None = None, visible: bool = False, rule_id: str | None = None) -> Column:
+    """The stand-in of c under a replacement type. passthrough keeps c; fpe_numeric enciphers its digits under the engine's key,
+    and with too few of them redacts, as unknown types do, under the rule's name if that is known."""
+    hidden = F.lit(f"[REDACTED:{rule_id}]" if rule_id else "[REDACTED]")
     if kind == "passthrough":
         return c
+    if kind == "fpe_numeric":
+        return F.coalesce(fpe_numeric(c, engine_key(key)), hidden)
     if kind not in FAKES:
-        return F.lit("[REDACTED]")
+        return hidden
     if visible:
         return _visible(kind, key, c)
     made = FAKES[kind](key, c)
@@ -308,9 +315,15 @@ def fake(kind: str, key: str, c: Column, literal_prefix: str | None = None, visi
     return made
 
 
-def fake_by_type(kind: Column, key: str, c: Column, visible: bool = False) -> Column:
+def engine_key(key: str) -> bytes:
+    """32 bytes for ciphers, from the engine's key."""
+    return hashlib.sha256(f"{key}|fpe".encode()).digest()
+
+
+def fake_by_type(kind: Column, key: str, c: Column, visible: bool = False, rule_id: Column | None = None) -> Column:
     """Dispatch on a column of replacement types."""
+    hidden = F.lit("[REDACTED]") if rule_id is None else F.concat(F.lit("[REDACTED:"), rule_id, F.lit("]"))
     out = F.when(kind == "passthrough", c)
     for name in FAKES:
         out = out.when(kind == name, fake(name, key, c, visible=visible))
-    return out.otherwise("[REDACTED]")
+    return out.when(kind == "fpe_numeric", F.coalesce(fpe_numeric(F.when(kind == "fpe_numeric", c), engine_key(key)), hidden)).otherwise(hidden)

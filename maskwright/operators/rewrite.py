@@ -16,7 +16,7 @@ def with_fakes(found: DataFrame, key: str, rules=CORE, dictionary: DataFrame | N
     """
     raw, out = F.col("raw"), F.lit(None).cast("string")
     for r in rules:
-        out = F.when(F.col("rule_id") == r.id, fake(r.replacement_type, key, raw, r.literal_prefix, visible)).otherwise(out)
+        out = F.when(F.col("rule_id") == r.id, fake(r.replacement_type, key, raw, r.literal_prefix, visible, r.id)).otherwise(out)
     info = lambda name: F.coalesce(*[F.when(F.col("rule_id") == r.id, F.lit(getattr(r, name))) for r in rules])
     made = found.select("*", *[info(n).alias(n) for n in ("category", "subcategory", "severity")], out.alias("fake"))
     if dictionary is None:

@@ -93,12 +93,17 @@ def map_sse(body: Column, change) -> Column:
     return sse_text(frames)
 
 
-def authorization(value: Column, change) -> Column:
-    """Bearer and Basic keep their scheme; Basic credentials are decoded, changed and encoded again."""
+def authorization(value: Column, change, credentials: Column | None = None) -> Column:
+    """Bearer and Basic keep their scheme; Basic credentials are decoded, changed and encoded again.
+
+    credentials: where it is false, the value is changed as a whole. change is called once, as its expression may be large.
+    """
+    credentials = F.lit(True) if credentials is None else credentials
     rest = F.regexp_replace(value, "^[A-Za-z]+ +", "")
     plain = F.try_to_binary(rest, F.lit("base64")).cast("string")
-    basic = F.concat(F.lit("Basic "), F.base64(change(plain).cast("binary")))
-    return F.when(value.startswith("Bearer "), F.concat(F.lit("Bearer "), change(rest))).when(value.startswith("Basic ") & plain.isNotNull(), basic).otherwise(change(value))
+    bearer, basic = credentials & value.startswith("Bearer "), credentials & value.startswith("Basic ") & plain.isNotNull()
+    new = change(F.when(bearer, rest).when(basic, plain).otherwise(value))
+    return F.when(bearer, F.concat(F.lit("Bearer "), new)).when(basic, F.concat(F.lit("Basic "), F.base64(new.cast("binary")))).otherwise(new)
 
 
 # ---- formats without a built-in ----------------------------------------------------------
@@ -114,29 +119,34 @@ def binary_json(value) -> bool:
     return False
 
 
-def json_values(value, path: str = "$"):
-    """(path, text) of every string value that is to be searched, in document order; keys aren't."""
+def pointer(path: str, key: str) -> str:
+    """RFC 6901: one step further down."""
+    return path + "/" + key.replace("~", "~0").replace("/", "~1")
+
+
+def json_values(value, path: str = ""):
+    """(path, text) of every string value that is to be searched, in document order; keys aren't. Paths are JSON pointers."""
     if binary_json(value):
         return
     if isinstance(value, str):
         yield path, value
     elif isinstance(value, list):
         for i, v in enumerate(value):
-            yield from json_values(v, f"{path}[{i}]")
+            yield from json_values(v, f"{path}/{i}")
     elif isinstance(value, dict):
         for k, v in value.items():
-            yield from json_values(v, f"{path}.{k}")
+            yield from json_values(v, pointer(path, k))
 
 
-def json_replaced(value, new: dict[str, str], path: str = "$"):
+def json_replaced(value, new: dict[str, str], path: str = ""):
     if binary_json(value):
         return value
     if isinstance(value, str):
         return new.get(path, value)
     if isinstance(value, list):
-        return [json_replaced(v, new, f"{path}[{i}]") for i, v in enumerate(value)]
+        return [json_replaced(v, new, f"{path}/{i}") for i, v in enumerate(value)]
     if isinstance(value, dict):
-        return {k: json_replaced(v, new, f"{path}.{k}") for k, v in value.items()}
+        return {k: json_replaced(v, new, pointer(path, k)) for k, v in value.items()}
     return value
 
 
@@ -224,13 +234,28 @@ def map_multipart(body: Column, content_type: Column, pattern: str, new: str) ->
     return run(body, boundary_of(content_type))
 
 
+def _inflated(data: bytes, bits: int) -> bytes | None:
+    """All members of a compressed body, or None unless each is whole."""
+    out = []
+    while data:
+        one = zlib.decompressobj(bits)
+        out.append(one.decompress(data))
+        if not one.eof:
+            return None
+        data = one.unused_data
+        if bits != 31 and data:
+            return None
+    return b"".join(out)
+
+
 def unpack(data: bytes | None, encoding: str | None) -> bytes | None:
-    """The plain body; what can't be unpacked, or has another encoding, stays as it is."""
+    """The plain body; what can't be unpacked whole, or has another encoding, stays as it is."""
     if data is None or encoding not in ("gzip", "deflate"):
         return data
     for bits in (31,) if encoding == "gzip" else (-15, 15):
         try:
-            return zlib.decompressobj(bits).decompress(data)
+            if (found := _inflated(data, bits)) is not None:
+                return found
         except zlib.error:
             continue
     return data
@@ -265,9 +290,11 @@ def compress(body: Column, encoding: Column) -> Column:
 
 
 def loggable(body: Column) -> Column:
-    """What a log shows of a body (binary): null if empty, text if UTF-8, else its size."""
-    text = F.try_validate_utf8(body.cast("string"))
-    return F.when(F.octet_length(body) == 0, None).when(text.isNotNull(), text).otherwise(F.concat(F.lit("<binary "), F.octet_length(body).cast("string"), F.lit(" bytes>")))
+    """What a log shows of a body (binary): null if empty, text if UTF-8, else its size; a gzip body is unpacked first."""
+    zipped = F.substr(body, F.lit(1), F.lit(2)) == F.lit(b"\x1f\x8b")
+    plain = F.when(zipped, decompress(body, F.when(zipped, F.lit("gzip")))).otherwise(body)
+    text = F.try_validate_utf8(plain.cast("string"))
+    return F.when(F.octet_length(plain) == 0, None).when(text.isNotNull(), text).otherwise(F.concat(F.lit("<binary "), F.octet_length(plain).cast("string"), F.lit(" bytes>")))
 
 
 def content_length(headers: Column, body: Column, replaced: Column) -> Column:

@@ -114,29 +114,17 @@ def exclude_filter(spark, sf):
     return detect.scan(table(spark, sf, "documents"), [EXCLUDING]).select("doc_id", "raw")
 
 
-@query(f"SELECT doc_id, round({sql.ENTROPY.format(x='left(text, 200)')}, 6) AS entropy FROM documents")
+@query("""WITH b AS (SELECT doc_id, byte, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY 1, 2),
+n AS (SELECT doc_id, sum(c) AS n FROM b GROUP BY 1), e AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS e FROM b JOIN n USING (doc_id) GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN round(coalesce(e, 0.0), 6) END AS entropy FROM documents LEFT JOIN e USING (doc_id)""")
 def text_entropy(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(200)).alias("head"))
-    return docs.select("doc_id", F.round(shannon_entropy("head"), 6).alias("entropy"))
-
-
-@query()
-def text_entropy_whole(spark, sf):
-    """Of whole texts; text_entropy follows its SQL, which reads 200 characters."""
     return table(spark, sf, "documents").select("doc_id", F.round(shannon_entropy("text"), 6).alias("entropy"))
 
 
-@query("""SELECT item_id, len(list_filter(range(1, greatest(length(text) - 18, 1)), lambda i: length(text) >= 20 AND """
-       + """-list_sum(list_transform(list_distinct(string_split(substr(text, i, 20), '')), lambda c: len(list_filter(string_split(substr(text, i, 20), ''), lambda y: y = c)) / 20.0 * log2(len(list_filter(string_split(substr(text, i, 20), ''), lambda y: y = c)) / 20.0))) > 3.6)) AS hits """
-       + "FROM benchmark WHERE strlen(text) = length(text)")
+@query("""WITH w AS (SELECT item_id, i, unnest(range(i, i + 20)) AS j, h FROM (SELECT item_id, unnest(range(0, greatest(strlen(text) - 19, 0))) AS i, hex(encode(text)) AS h FROM benchmark)),
+c AS (SELECT item_id, i, substr(h, 2 * j + 1, 2) AS byte, count(*) / 20.0 AS p FROM w GROUP BY 1, 2, 3), e AS (SELECT item_id, i, -sum(p * log2(p)) AS e FROM c GROUP BY 1, 2)
+SELECT item_id, count(e.i) FILTER (e > 3.6) AS hits FROM benchmark LEFT JOIN e USING (item_id) GROUP BY 1""")
 def sliding_entropy(spark, sf):
-    items = table(spark, sf, "benchmark").where(F.octet_length("text") == F.char_length("text"))
-    return items.select("item_id", detect.sliding_entropy_hits(F.col("text"), 20, 3.6).cast("long").alias("hits"))
-
-
-@query()
-def sliding_entropy_bytes(spark, sf):
-    """All items, windows of bytes; sliding_entropy follows its SQL, which reads items of ASCII only."""
     return table(spark, sf, "benchmark").select("item_id", detect.sliding_entropy_hits(F.col("text"), 20, 3.6).cast("long").alias("hits"))
 
 

@@ -33,28 +33,39 @@ def header_predicate(spark, sf):
     return spark.createDataFrame([(h,) for h in HEADERS], "name string").select("name", route.header_searched(F.col("name")).alias("searched"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(t)}, '{r}')" for t, r in zip(TYPES, ("json", "form", "multipart", "plain", "sse", "binary", "binary", "plain", "json", "plain"))) + ") v(content_type, route)")
+@query("SELECT content_type || '; v=' || lang AS content_type, CASE WHEN starts_with(low, 'application/json') THEN 'json' WHEN starts_with(low, 'application/x-www-form-urlencoded') THEN 'form'"
+       + " WHEN starts_with(low, 'multipart/form-data') AND contains(low, 'boundary=') THEN 'multipart' WHEN starts_with(low, 'text/event-stream') THEN 'sse'"
+       + " WHEN starts_with(low, 'image/') OR starts_with(low, 'audio/') OR starts_with(low, 'video/') OR starts_with(low, 'application/octet-stream') THEN 'binary' ELSE 'plain' END AS route"
+       + " FROM (SELECT *, lower(content_type) AS low FROM (VALUES " + ", ".join(f"({sql.quoted(t)})" for t in TYPES) + ") v(content_type), (SELECT DISTINCT lang FROM documents))")
 def content_routes(spark, sf):
-    return spark.createDataFrame([(t,) for t in TYPES], "content_type string").select("content_type", route.route_of(F.col("content_type")).alias("route"))
+    """Content types, each with a parameter from the table."""
+    langs = table(spark, sf, "documents").select("lang").distinct()
+    every = langs.select("lang", F.explode(F.array(*[F.lit(t) for t in TYPES])).alias("t"))
+    return every.select(F.concat("t", F.lit("; v="), F.col("lang")).alias("content_type")).select("content_type", route.route_of(F.col("content_type")).alias("route"))
 
 
-@query("""SELECT * FROM (VALUES ('api.example.com', true), ('example.com', true), ('badexample.com', false), ('x.org', true), ('y.x.org', true), ('org', false)) v(host, taken)""")
+HOST = "regexp_extract(url, '^[a-z]+://([^/:]+)', 1)"
+
+
+@query(f"SELECT page_id, host, host = 'example' OR ends_with(host, '.example') OR host = 'org' OR ends_with(host, '.org') AS taken FROM (SELECT page_id, {HOST} AS host FROM pages)")
 def host_predicate(spark, sf):
-    df = spark.createDataFrame([(h,) for h in ("api.example.com", "example.com", "badexample.com", "x.org", "y.x.org", "org")], "host string")
-    return df.select("host", route.host_matches(F.col("host"), ("example.com", "x.org")).alias("taken"))
+    hosts = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"))
+    return hosts.select("page_id", "host", route.host_matches(F.col("host"), ("example", "org")).alias("taken"))
 
 
-@query("""SELECT * FROM (VALUES ('AWS4-HMAC-SHA256 Credential=A', true), ('Bearer AWS4-HMAC-SHA256 Credential=', false), (NULL, false)) v(header, signed)""")
+@query("SELECT doc_id, starts_with(h, 'AWS4-HMAC-SHA256 Credential=') AS signed FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'AWS4-HMAC-SHA256 Credential=' || source WHEN 1 THEN 'Bearer AWS4-HMAC-SHA256 Credential=' ELSE lang END AS h FROM documents)")
 def signed_bypass(spark, sf):
-    df = spark.createDataFrame([("AWS4-HMAC-SHA256 Credential=A",), ("Bearer AWS4-HMAC-SHA256 Credential=",), (None,)], "header string")
-    return df.select("header", route.signed_request(F.col("header")).alias("signed"))
+    rest = F.col("doc_id") % 3
+    header = F.when(rest == 0, F.concat(F.lit("AWS4-HMAC-SHA256 Credential="), F.col("source"))).when(rest == 1, "Bearer AWS4-HMAC-SHA256 Credential=").otherwise(F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", route.signed_request(header).alias("signed"))
 
 
-@query(f"SELECT conv_id, turn, 'q=' || {sql_change('w')} || '&role=' || role AS body FROM (SELECT *, regexp_replace(lower(left(text, 60)), '[^a-z]', '', 'g') AS w FROM conversations)".replace("'<th>'", "'%3Cth%3E'"))
+@query(f"SELECT conv_id, turn, {sql_change('text')} AS value, '&role=' || role AS rest FROM conversations")
 def form_redact(spark, sf):
-    word = F.regexp_replace(F.lower(F.left("text", F.lit(60))), "[^a-z]", "")
-    body = F.concat(F.lit("q="), F.url_encode(word), F.lit("&role="), F.col("role"))
-    return talk(spark, sf).select("conv_id", "turn", route.map_form(body, change).alias("body"))
+    body = F.concat(F.lit("q="), F.url_encode("text"), F.lit("&role="), F.col("role"))
+    new = route.map_form(body, change)
+    value = F.url_decode(F.regexp_extract(new, "^q=([^&]*)", 1))
+    return talk(spark, sf).select("conv_id", "turn", value.alias("value"), F.regexp_extract(new, "^[^&]*(.*)$", 1).alias("rest"))
 
 
 SSE = "'event: ' || role || chr(10) || 'data: ' || replace(replace(text, chr(13), ''), chr(10), chr(10) || 'data: ') || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)"
@@ -82,7 +93,7 @@ def json_redact(spark, sf):
     body = F.to_json(F.struct("role", F.struct(F.col("text").alias("value"), F.col("turn").alias("n")).alias("inner")))
     bodies = talk(spark, sf).select(F.struct("conv_id", "turn").alias("id"), body.alias("body"))
     leaves = route.json_leaves(bodies)
-    changed = leaves.where(F.col("path") == "$.inner.value").withColumn("text", change(F.col("text")))
+    changed = leaves.where(F.col("path") == "/inner/value").withColumn("text", change(F.col("text")))
     new = route.json_rebuilt(bodies, changed).withColumn("v", F.from_json("body", "role string, inner struct<value:string,n:long>"))
     return new.select("id.conv_id", "id.turn", F.col("v.inner.value").alias("value"), F.col("v.role").alias("role"))
 
@@ -112,14 +123,17 @@ def header_redact(spark, sf):
     return talk(spark, sf).select("conv_id", "turn", route.authorization(F.concat(F.lit("Bearer "), F.col("role")), wrap).alias("bearer"), route.authorization(basic, wrap).alias("basic"))
 
 
-@query(f"WITH h AS ({sql.hits(source='(SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 2)')}) SELECT doc_id % 3 = 0 AS binary_type, count(*) AS n FROM h WHERE doc_id % 3 <> 0 GROUP BY 1")
+@query(f"WITH h AS ({sql.hits()}), t(content_type, signed) AS (VALUES ('image/png', false), ('text/plain', false), ('text/plain', true), ('application/octet-stream', false)) SELECT content_type, signed, CASE WHEN content_type = 'text/plain' AND NOT signed THEN (SELECT count(*) FROM h) ELSE 0 END AS n FROM t")
 def routed_scan(spark, sf):
-    """Bodies by content type: binary ones and signed requests pass unsearched."""
-    docs = table(spark, sf, "documents").withColumn("content_type", F.when(F.col("doc_id") % 3 == 0, "image/png").otherwise("text/plain"))
-    signed = F.when(F.col("doc_id") % 3 == 2, F.lit("AWS4-HMAC-SHA256 Credential=x"))
-    searched = docs.where((route.route_of(F.col("content_type")) != "binary") & ~route.signed_request(signed))
-    found = detect.scan(searched, CORE)
-    return found.groupBy((F.col("doc_id") % 3 == 0).alias("binary_type")).agg(F.count(F.lit(1)).alias("n"))
+    """Every document as a body of four kinds: binary ones and signed requests pass unsearched."""
+    kind = lambda t, s: F.struct(F.lit(t).alias("content_type"), F.lit(s).alias("signed"))
+    kinds = F.explode(F.array(kind("image/png", False), kind("text/plain", False), kind("text/plain", True), kind("application/octet-stream", False)))
+    bodies = table(spark, sf, "documents").select("doc_id", "text", kinds.alias("kind")).select(F.struct("doc_id", "kind.content_type", "kind.signed").alias("doc_id"), "text")
+    signature = F.when(F.col("doc_id.signed"), F.lit("AWS4-HMAC-SHA256 Credential=x"))
+    searched = bodies.where((route.route_of(F.col("doc_id.content_type")) != "binary") & ~route.signed_request(signature))
+    found = detect.scan(searched, CORE).groupBy("doc_id.content_type", "doc_id.signed").agg(F.count(F.lit(1)).alias("n"))
+    every = bodies.select("doc_id.content_type", "doc_id.signed").distinct()
+    return every.join(found, ["content_type", "signed"], "left").select("content_type", "signed", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN strlen(text)::VARCHAR ELSE '0' END AS content_length FROM conversations")

@@ -23,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load_all() -> None:
-    from . import detection, formats, history, replacement, rule_table, streams  # noqa: F401
+    from . import bodies, detection, formats, history, replacement, rule_table, streams  # noqa: F401
 
 
 load_all()
