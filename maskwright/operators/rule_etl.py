@@ -105,6 +105,16 @@ def exclude(rules: DataFrame, excluded: DataFrame) -> DataFrame:
     return rules.join(excluded.select("id").distinct(), "id", "left_anti")
 
 
+def allow(rules: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Of a list that is taken only in part: the rules whose ids are allowed."""
+    return rules.join(allowed.select("id").distinct(), "id", "left_semi")
+
+
+def missing_ids(rules: DataFrame, required: DataFrame) -> DataFrame:
+    """Required ids that no rule has; must be empty for a valid table."""
+    return required.select("id").distinct().join(rules.select("id"), "id", "left_anti")
+
+
 def merge(sources: list[DataFrame]) -> DataFrame:
     """One row for each id: of the source that comes last in the list, and in it of the last position (pos)."""
     every = reduce(DataFrame.unionByName, [s.withColumn("_prio", F.lit(i)) for i, s in enumerate(sources)])

@@ -113,3 +113,18 @@ def flatten_json(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("j", value)
     field = lambda name: bodies.flat_text(F.try_variant_get("j", f"$.{name}", "variant"))
     return rows.select("conv_id", "turn", field("v").alias("flat"), field("o").alias("other"))
+
+
+@query("SELECT role AS method, '/' || conv_id || '/' || turn AS uri, nullif(text, '') AS body, CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END::BIGINT AS caught FROM conversations")
+def request_log(spark, sf):
+    """Requests written as JSON lines, bodies packed or not, and read back."""
+    from ..sources import logs
+    from .streams import folder
+
+    talk = table(spark, sf, "conversations")
+    body = route.compress(F.encode("text", "utf-8"), F.when(F.col("turn") % 3 == 0, "gzip"))
+    uri = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    rows = logs.request_rows(talk.withColumn("body", body), "request", F.timestamp_seconds(F.col("conv_id")), F.col("role"), uri, F.lit(200), F.when(F.col("turn") % 2 == 0, F.col("turn")))
+    path = folder(spark, "requests")
+    logs.append_jsonl(rows, path)
+    return logs.read_requests(spark, path).select("method", "uri", "body", "caught")

@@ -154,3 +154,9 @@ def event_route_projection(spark, sf):
     events = table(spark, sf, "events")
     wanted = F.broadcast(events.select("event_type").distinct().orderBy("event_type").limit(2))
     return events.join(wanted, "event_type", "left_semi").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(HISTORY + "SELECT id, ts, rule_id FROM history ORDER BY ts DESC, id DESC LIMIT 1000")
+def live_newest(spark, sf):
+    """The live view keeps the newest thousand."""
+    return history.newest(tables(spark, sf)[0]).select("id", "ts", "rule_id")

@@ -204,3 +204,26 @@ def dictionary_upsert(spark, sf):
     c = F.col("c_custkey")
     new = table(spark, sf, "customer").select(F.concat(F.lit("f"), (c % 80).cast("string")).alias("fake"), F.concat(F.lit("n"), (c % 7).cast("string")).alias("original"))
     return rewrite.upsert(old, new, 5000)
+
+
+@query(f"""WITH c AS ({sql.rule_hits(RULE['email'], 'documents', 'doc_id', 'text')}), k AS (SELECT DISTINCT raw, true AS known FROM c WHERE doc_id % 2 = 0)
+SELECT doc_id, "start", CASE WHEN known THEN 'known-' || sha256(raw) ELSE {EMAIL} END AS fake FROM c LEFT JOIN k USING (raw)""")
+def dictionary_lookup(spark, sf):
+    """A stand-in that the dictionary has comes before a new one."""
+    found = detect.scan(table(spark, sf, "documents"), [RULE["email"]])
+    known = found.where("doc_id % 2 = 0").select("raw").distinct().select(F.concat(F.lit("known-"), F.sha2(F.col("raw").cast("binary"), 256)).alias("fake"), F.col("raw").alias("original"), F.lit(1).cast("long").alias("created_at"))
+    return rewrite.with_fakes(found, KEY, dictionary=known).select("doc_id", "start", "fake")
+
+
+@query(f"""WITH d AS (SELECT fake, min(original) AS original FROM ({DICT}) GROUP BY 1),
+b AS (SELECT 'f' || (c_custkey % 80) AS fake, min('n' || (c_custkey % 7)) AS original FROM customer GROUP BY 1)
+SELECT fake, coalesce(d.original, b.original) AS original, CASE WHEN d.fake IS NOT NULL THEN 100 ELSE 200 END AS created_at, CASE WHEN b.fake IS NOT NULL THEN 200 ELSE 100 END AS updated_at FROM d FULL JOIN b USING (fake)""")
+def dictionary_store(spark, sf):
+    """Two batches upserted into a stored dictionary."""
+    from ..sources.sinks import DictionaryStore
+    from .streams import folder
+
+    store, c = DictionaryStore(spark, folder(spark, "dictionary")), F.col("c_custkey")
+    store.upsert(_dictionary(spark, sf).select("fake", "original"), 100)
+    store.upsert(table(spark, sf, "customer").select(F.concat(F.lit("f"), (c % 80).cast("string")).alias("fake"), F.concat(F.lit("n"), (c % 7).cast("string")).alias("original")), 200)
+    return store.snapshot()

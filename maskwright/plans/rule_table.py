@@ -116,3 +116,22 @@ def rule_counts(spark, sf):
 @query(f"SELECT id, count(*) AS count FROM ({RULES}) GROUP BY 1 HAVING count(*) > 1")
 def rule_repeated_ids(spark, sf):
     return rule_etl.repeated_ids(rules(spark, sf))
+
+
+PART_IDS = "SELECT DISTINCT 'r' || (p_partkey % 500) AS id FROM part"
+
+
+def part_ids(spark, sf):
+    return table(spark, sf, "part").select(F.concat(F.lit("r"), (F.col("p_partkey") % 500).cast("string")).alias("id")).distinct()
+
+
+@query(f"SELECT id FROM ({PART_IDS}) WHERE id IN (SELECT 'r' || (s_suppkey * 3) FROM supplier)")
+def rule_allow_list(spark, sf):
+    allowed = table(spark, sf, "supplier").select(F.concat(F.lit("r"), (F.col("s_suppkey") * 3).cast("string")).alias("id"))
+    return rule_etl.allow(part_ids(spark, sf), allowed)
+
+
+@query(f"SELECT DISTINCT 'r' || (s_suppkey * 97) AS id FROM supplier WHERE 'r' || (s_suppkey * 97) NOT IN (SELECT id FROM ({PART_IDS}))")
+def rule_required_missing(spark, sf):
+    required = table(spark, sf, "supplier").select(F.concat(F.lit("r"), (F.col("s_suppkey") * 97).cast("string")).alias("id"))
+    return rule_etl.missing_ids(part_ids(spark, sf), required)

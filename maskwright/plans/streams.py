@@ -13,8 +13,11 @@ from .registry import query
 
 
 def folder(spark, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A fresh folder that driver and executors share. Only a single-process session (tests) gets one where none is set."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.gettempdir()
     return f"{root.rstrip('/')}/maskwright-{name}-{uuid.uuid4().hex}"
 
 
@@ -52,14 +55,14 @@ def stream_tail(spark, sf):
 
 
 def chunks(spark, sf, text):
-    """Conversations cut into chunks of 7 characters, written as a source of two files."""
+    """Conversations cut into chunks of 7 characters, written as a source of two folders."""
     body = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))), lambda x: x["t"]), "").alias("body"))
     n = F.greatest(F.ceil(F.char_length("body") / 7).cast("int"), F.lit(1))
     cut = body.select(F.col("conv_id").alias("stream_id"), "body", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
     rows = cut.select("stream_id", "seq", F.substr("body", F.col("seq") * 7 + 1, F.lit(7)).alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("is_last"))
     path = folder(spark, "chunks")
-    rows.where("NOT is_last").coalesce(1).write.parquet(f"{path}/a")
-    rows.where("is_last").coalesce(1).write.parquet(f"{path}/b")
+    rows.where("NOT is_last").write.parquet(f"{path}/a")
+    rows.where("is_last").write.parquet(f"{path}/b")
     schema = spark.read.parquet(f"{path}/a").schema
     first = stateful.tail(spark, f"{path}/*", schema, "parquet")
     return first

@@ -17,6 +17,17 @@ def audit_rows(redactions: DataFrame, request_id, content_type: str, timestamp)
     )
 
 
+def request_rows(bodies: DataFrame, kind: str, ts, method, uri, status, redactions=None, deanonymized=None, body_col: str = "body") -> DataFrame:
+    """Rows of LOG for requests or responses (body binary); a body is shown as loggable() does."""
+    from ..operators.route import loggable
+
+    count = lambda c: F.lit(None).cast("long") if c is None else c.cast("long")
+    return bodies.select(
+        F.lit(kind).alias("type"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), method.alias("method"), uri.alias("uri"), status.cast("int").alias("status"),
+        loggable(F.col(body_col)).alias("body"), count(redactions).alias("redactions"), count(deanonymized).alias("deanonymized"),
+    )
+
+
 def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

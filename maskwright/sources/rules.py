@@ -119,8 +119,8 @@ def _plain_yaml(text: str) -> dict:
     return {"rules": [{k: v for k, v in r.items() if k != "_at"} for r in rules]}
 
 
-def load(path: str) -> list[Rule]:
-    """Rules of a YAML, JSON or TOML file, sorted by id."""
+def load(path: str, required: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules of a YAML, JSON or TOML file, sorted by id. A file without one of the required ids is an error."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
     if path.endswith(".toml"):
@@ -137,6 +137,8 @@ def load(path: str) -> list[Rule]:
     out = sorted((_clean(r) for r in rules), key=lambda r: r.id.encode())
     if len({r.id for r in out}) != len(out):
         raise ValueError(f"{path}: ids repeat")
+    if missing := sorted(set(required) - {r.id for r in out}):
+        raise ValueError(f"{path}: no rule {', '.join(missing)}")
     return out
 
 

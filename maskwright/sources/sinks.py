@@ -92,3 +92,38 @@ def perf_dump(spans: DataFrame, path: str, seconds: int = 5, top: int = 20):
         found.withColumn("epoch", F.lit(epoch)).write.mode("append").json(path)
 
     return spans.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(write)
+
+
+class DictionaryStore:
+    """The dictionary of stand-ins as versions of a Parquet table: each change writes the next version whole, so readers of the
+    last one are not disturbed, and a job that fails leaves the last one as it was."""
+
+    SCHEMA = "fake string, original string, created_at long, updated_at long"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _last(self) -> int:
+        """The highest version that was written to its end, or 0."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return max((int(f.getPath().getParent().getName()[1:]) for f in found or ()), default=0)
+
+    def snapshot(self) -> DataFrame:
+        n = self._last()
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/v{n}") if n else self.spark.createDataFrame([], self.SCHEMA)
+
+    def size(self) -> int:
+        return self.snapshot().count()
+
+    def upsert(self, batch: DataFrame, now: int) -> None:
+        """batch: fake, original."""
+        from ..operators.rewrite import upsert
+
+        upsert(self.snapshot(), batch, now).write.parquet(f"{self.root}/v{self._last() + 1}")
+
+    def reset(self) -> int:
+        """Empties the dictionary; returns how many stand-ins it had."""
+        n = self.size()
+        self.snapshot().limit(0).write.parquet(f"{self.root}/v{self._last() + 1}")
+        return n

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.sources import rules, sinks
@@ -42,3 +43,25 @@ def test_live_events_and_perf(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.json(str(tmp_path / "out")).where(F.col("name") == "scan").first()["count"] == 2
+
+
+def test_dictionary_store(spark, tmp_path):
+    from maskwright.sources.sinks import DictionaryStore
+
+    store = DictionaryStore(spark, str(tmp_path / "dictionary"))
+    assert store.size() == 0 and store.reset() == 0
+    store.upsert(spark.createDataFrame([("f1", "a"), ("f2", "b")], "fake string, original string"), 10)
+    store.upsert(spark.createDataFrame([("f2", "other"), ("f3", "c")], "fake string, original string"), 20)
+    assert {tuple(r) for r in store.snapshot().collect()} == {("f1", "a", 10, 10), ("f2", "b", 10, 20), ("f3", "c", 20, 20)}
+    (tmp_path / "dictionary" / "v9").mkdir()  # a job that failed
+    assert store.size() == 3 and store.reset() == 3 and store.size() == 0
+
+
+def test_required_rules(tmp_path):
+    from maskwright.sources import rules
+
+    path = tmp_path / "rules.json"
+    path.write_text('{"rules": [{"id": "a", "regex": "x"}, {"id": "b", "regex": "y"}]}')
+    assert [r.id for r in rules.load(str(path), ("a", "b"))] == ["a", "b"]
+    with pytest.raises(ValueError, match="no rule c"):
+        rules.load(str(path), ("a", "c"))
