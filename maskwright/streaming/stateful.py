@@ -47,15 +47,16 @@ class FrameParser:
 
     def push(self, chunk: str) -> list[dict]:
         # A carriage return at the end may be half of a line end.
-        text = self.buffer + chunk
-        hold = text.endswith("\r")
-        text = (text[:-1] if hold else text).replace("\r\n", "\n")
+        # Line ends of what is in the buffer were settled before, but for a last carriage return, which waits for what follows.
+        settled, fresh = (self.buffer[:-1], "\r" + chunk) if self.buffer.endswith("\r") else (self.buffer, chunk)
+        hold = fresh.endswith("\r")
+        text = settled + (fresh[:-1] if hold else fresh).replace("\r\n", "\n")
         *whole, rest = text.split("\n\n")
         self.buffer = rest + "\r" * hold
         return [f for f in map(self.parse, whole) if f]
 
     def flush(self) -> list[dict]:
-        rest, self.buffer = self.buffer.replace("\r\n", "\n"), ""
+        rest, self.buffer = self.buffer, ""
         return [f for f in (self.parse(rest),) if f]
 
     @staticmethod

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -169,7 +169,8 @@ def test_rolling_restore(text, size):
     assert got == re.sub("abx|ab|<", lambda m: pairs[m[0]], text)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=1500, deadline=None)
+@example("\r\r\n\n", 1)
 @given(st.text(alphabet="ad:\n\r ", max_size=80), st.integers(1, 9))
 def test_frames_do_not_depend_on_chunks(text, size):
     body = "data: x" + text
