@@ -87,3 +87,37 @@ def truncate(c, most: int) -> Column:
 def byte_offset(text, char_offset) -> Column:
     """Offset in UTF-8 bytes of an offset in characters."""
     return F.octet_length(F.substr(_col(text), F.lit(1), _col(char_offset)))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def match_spans(gaps: Column, raws: Column, kind: str, make, piece: int = 64) -> Column:
+    """array<kind> of make(start, raw) for the matches between gaps, as split and regexp_extract_all give them.
+
+    Spark copies an accumulator at each step. So lengths are added up in pieces, and each piece's spans from the piece's
+    start: a text with many matches takes time in proportion to them, nearly.
+    """
+    pairs = F.zip_with(gaps, raws, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
+    size = lambda p: F.char_length(p["gap"]) + F.coalesce(F.char_length(p["raw"]), F.lit(0))
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def cut(all_pairs):
+        last = F.floor((F.greatest(F.size(all_pairs), F.lit(1)) - 1) / piece).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_pairs, k * piece + 1, piece))
+
+    def step(acc, pair):
+        begin = acc["at"] + F.char_length(pair["gap"])
+        one = F.concat(acc["out"], F.array(make(begin, pair["raw"])))
+        return F.struct((acc["at"] + size(pair)).alias("at"), F.when(pair["raw"].isNull(), acc["out"]).otherwise(one).alias("out"))
+
+    def placed(pieces):
+        sums = F.transform(pieces, lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + size(p)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        both = F.zip_with(pieces, starts, lambda c, at: F.struct(c.alias("pairs"), at.alias("at")))
+        spans = F.transform(F.filter(both, lambda b: b["pairs"].isNotNull()), lambda b: F.aggregate(b["pairs"], F.struct(b["at"].alias("at"), nothing.alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(spans)
+
+    return bound(pairs, lambda p: bound(cut(p), placed))

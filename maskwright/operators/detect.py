@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import byte_chars, bytes_entropy, luhn_valid, shannon_entropy
+from ..functions.scalar import byte_chars, bytes_entropy, luhn_valid, match_spans, shannon_entropy
 from ..sources.rules import CORE, Rule, for_java
 
-SPAN = "array<struct<start:int,end:int,raw:string>>"
+ONE = "struct<start:int,end:int,raw:string>"
+SPAN = f"array<{ONE}>"
 
 
 def keyword_gate(text: Column, rules=CORE) -> Column:
@@ -35,16 +36,9 @@ def rule_gate(text: Column, rule: Rule) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """All leftmost, non-overlapping matches: gaps and matches in turn give the offsets (characters)."""
     raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), raws, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc, pair):
-        begin = acc["at"] + F.char_length(pair["gap"])
-        end = begin + F.coalesce(F.char_length(pair["raw"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["raw"].alias("raw")))
-        return F.struct(end.alias("at"), F.when(pair["raw"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    one = lambda start, raw: F.struct(start.alias("start"), (start + F.char_length(raw)).alias("end"), raw.alias("raw"))
+    found = match_spans(F.split(text, pattern, -1), raws, ONE, one)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def keep(rule: Rule, raw: Column) -> Column:
