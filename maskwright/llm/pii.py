@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import match_spans
 from .common import private, table
 
 SPAN = T.StructType(
@@ -62,36 +63,17 @@ def _empty():
     return F.array().cast(T.ArrayType(SPAN))
 
 
-def _nothing():
-    return F.array().cast(T.ArrayType(T.ArrayType(SPAN)))
-
-
-def _added(out: Column, one: Column, when: Column) -> Column:
-    """out, an array of arrays, with one more element where `when` holds. Elements go to the last array until it has 128, so
-    that a text with many spans doesn't copy all of them for each."""
-    last = F.coalesce(F.try_element_at(out, F.lit(-1)), _empty())
-    full = F.size(last) >= 128
-    more = F.when(full | (F.size(out) == 0), F.concat(out, F.array(F.array(one)))).otherwise(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.array(one)))))
-    return F.when(when, more).otherwise(out)
-
-
 def _spans(text: Column, kind: str) -> Column:
     """array<SPAN> of all matches of the kind's pattern: gaps and matches in turn give the offsets."""
     if kind == "iban":
         return _ibans(text)
     pattern, needed, _ = KINDS[kind]
-    gaps, raws = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, raws, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
-    start = F.struct(F.lit(0).alias("at"), _nothing().alias("out"))
     rank = F.lit(list(KINDS).index(kind))
 
-    def step(acc, pair):
-        begin = acc["at"] + F.char_length(pair["gap"])
-        end = begin + F.coalesce(F.char_length(pair["raw"]), F.lit(0))
-        span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["raw"].alias("raw"))
-        return F.struct(end.alias("at"), _added(acc["out"], span, pair["raw"].isNotNull()).alias("out"))
+    def one(start, raw):
+        return F.struct(start.alias("start"), rank.alias("rank"), (start + F.char_length(raw)).alias("end"), F.lit(kind).alias("kind"), raw.alias("raw"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: F.flatten(acc["out"]))
+    found = match_spans(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), SPAN.simpleString(), one)
     found_any = text.rlike(pattern)
     if needed:
         found_any = F.contains(text, F.lit(needed)) & found_any
@@ -112,16 +94,16 @@ def _ibans(text: Column) -> Column:
 
     gaps, raws = F.split(text, pattern, -1), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), longest)
     pairs = F.zip_with(gaps, raws, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), _nothing().alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), _empty().alias("out"))
 
     def step(acc, pair):
         begin = acc["at"] + F.char_length(pair["gap"])
         end = begin + F.char_length(pair["raw"])
         taken = pair["raw"].isNotNull() & (begin >= acc["past"])
         span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), F.lit("iban").alias("kind"), pair["raw"].alias("raw"))
-        return F.struct((begin + 4).alias("at"), F.when(taken, end).otherwise(acc["past"]).alias("past"), _added(acc["out"], span, taken).alias("out"))
+        return F.struct((begin + 4).alias("at"), F.when(taken, end).otherwise(acc["past"]).alias("past"), F.when(taken, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: F.flatten(acc["out"]))).otherwise(_empty())
+    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(_empty())
 
 
 def _digits(raw: Column) -> Column:
