@@ -7,14 +7,14 @@ def shingles(text, width):
     return {tuple(low[i : i + width]) for i in range(max(1, len(low) - width + 1))} if low else set()
 
 
-def test_stages_match_brute_force(spark, sf):
+def test_stages_match_brute_force(spark, sf, tmp_path):
     docs = table(spark, sf, "documents")
     columns = docs.columns
     seen = docs.toPandas()
     for name, stage in corpus_pipeline.STAGES:
         before, seen_before = docs, seen
         out = stage(spark, before, sf)
-        path = f"/tmp/maskwright-test/{name}"
+        path = f"{tmp_path}/{name}"
         out.write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
         seen = docs.toPandas()
