@@ -10,7 +10,7 @@ from maskwright.llm.common import table
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     found = con.execute(queries.ORACLES[name])
