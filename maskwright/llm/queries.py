@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, jaccard, media, packing, pii, sessions, substring_dedup, token_counts, toxicity, warc
+from . import bpe_codec, exact_dedup, hard_negatives, jaccard, media, packing, pii, sessions, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_pii_spans": pii.op6_pii_spans,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_late_sessions": sessions.op12_late_sessions,
     "pii_span_scores": pii.pii_span_scores,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_pii_spans": pii.OP6_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
     "op12_late_sessions": sessions.OP12_SQL,
 }
