@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, hard_negatives, jaccard, media, packing, pii, sessions, substring_dedup, token_counts, toxicity, warc
+from . import bpe_codec, exact_dedup, hard_negatives, jaccard, main_text, media, packing, pii, sessions, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op6_pii_spans": pii.op6_pii_spans,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_late_sessions": sessions.op12_late_sessions,
+    "op13_main_text": main_text.op13_main_text,
     "pii_span_scores": pii.pii_span_scores,
 }
 ORACLES = {
