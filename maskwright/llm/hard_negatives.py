@@ -37,7 +37,7 @@ ROWS = "block long, ids binary, labels binary, codes binary, missed binary, vecs
 
 def fit(sample: np.ndarray) -> np.ndarray:
     """Centroids (parts, CENTROIDS, WIDTH) of vectors (n, parts * WIDTH): k-means in each part from evenly spread seeds."""
-    parts = sample.reshape(len(sample), -1, WIDTH).transpose(1, 0, 2)
+    parts = sample.reshape(len(sample), sample.shape[1] // WIDTH, WIDTH).transpose(1, 0, 2)
     book = np.zeros((len(parts), CENTROIDS, WIDTH))
     for points, centroids in zip(parts, book):
         seeds = np.unique(points, axis=0)

@@ -56,6 +56,7 @@ _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _REST = re.compile(r"""(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=(?!\s*["']))*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[-_]\S+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in RAW}
 
@@ -128,7 +129,7 @@ def _mark(name: str, attributes: str) -> int:
         if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"(?i)display\s*:\s*none", value):
             return 2
         if key in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)}
+            parts = {p.lower() for p in _PART.findall(_ABOUT.sub(" ", value))}
             if parts & SURE:
                 return 2
             found |= bool(parts & VAGUE)
@@ -173,8 +174,8 @@ def tree_of(html: str) -> _Tree:
 
 
 def _apart(tree: _Tree) -> list[bool]:
-    """Whether a node is taken out. A word in a class or id doesn't count for what holds an article or the first heading and nine tenths of the text of
-    paragraphs, a vague word not for what holds most of it, and a header inside an article belongs to it."""
+    """Whether a node is taken out. A word in a class or id doesn't count for what holds an article, or a title and most of the text of
+    paragraphs, a vague word not for what holds most of it, a word after has- or no- never, and a header inside an article belongs to it."""
     n = len(tree.tag)
     inside, holds, text, title = [False] * n, [False] * n, [0] * n, [False] * n
     tagged = [False] * n
@@ -191,7 +192,7 @@ def _apart(tree: _Tree) -> list[bool]:
     out = [False] * n
     for i in range(1, n):
         header = tree.tag[i] == "header" and not inside[i]
-        named = tree.tag[i] in APART or tree.mark[i] == 2 and not holds[i] and not (title[i] and 10 * text[i] >= 9 * text[0])
+        named = tree.tag[i] in APART or tree.mark[i] == 2 and not holds[i] and not (title[i] and 2 * text[i] >= text[0])
         vague = tree.mark[i] == 1 and not inside[i] and not holds[i] and 2 * text[i] <= text[0]
         out[i] = out[tree.parent[i]] or header or named or vague
     return out
