@@ -104,10 +104,6 @@ def match_spans(gaps: Column, raws: Column, kind: str, make, piece: int = 64) ->
     size = lambda p: F.char_length(p["gap"]) + F.coalesce(F.char_length(p["raw"]), F.lit(0))
     nothing = F.array().cast(f"array<{kind}>")
 
-    def cut(all_pairs):
-        last = F.floor((F.greatest(F.size(all_pairs), F.lit(1)) - 1) / piece).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_pairs, k * piece + 1, piece))
-
     def step(acc, pair):
         begin = acc["at"] + F.char_length(pair["gap"])
         one = F.concat(acc["out"], F.array(make(begin, pair["raw"])))
@@ -120,4 +116,35 @@ def match_spans(gaps: Column, raws: Column, kind: str, make, piece: int = 64) ->
         spans = F.transform(F.filter(both, lambda b: b["pairs"].isNotNull()), lambda b: F.aggregate(b["pairs"], F.struct(b["at"].alias("at"), nothing.alias("out")), step, lambda acc: acc["out"]))
         return F.flatten(spans)
 
-    return bound(pairs, lambda p: bound(cut(p), placed))
+    return bound(pairs, lambda p: bound(pieces(p, piece), placed))
+
+
+def folded(items: Column, start: Column, kind: str, step, piece: int = 64) -> Column:
+    """array<kind> of what step gives for each item: step(state, item) is the next state and an array to add.
+
+    An array that grows item by item is copied at each step. So items are folded in pieces, whose arrays are joined at the end: a text with
+    many matches takes time in proportion to them, nearly.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(acc, item):
+        state, more = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def outer(acc, part):
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return bound(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    items = _col(items)
+
+    def whole(rows):
+        first = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(pieces(rows, piece), first, outer, lambda acc: acc["out"]))
+
+    return bound(items, whole)
+
+
+def pieces(items: Column, piece: int = 64) -> Column:
+    """The array cut into arrays of so many items; one empty array for an empty one."""
+    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / piece).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * piece + 1, piece))

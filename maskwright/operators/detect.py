@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import byte_chars, bytes_entropy, luhn_valid, match_spans, shannon_entropy
+from ..functions.scalar import byte_chars, bytes_entropy, folded, luhn_valid, match_spans, shannon_entropy
 from ..sources.rules import CORE, Rule, for_java
 
 ONE = "struct<start:int,end:int,raw:string>"
@@ -153,15 +153,10 @@ def resolve_overlaps(found: DataFrame) -> DataFrame:
 def drop_partial_overlaps(found: DataFrame) -> DataFrame:
     """Of resolved spans, those that start before the end of the span kept before go, from left to right."""
     ordered = F.array_sort(F.collect_list(F.struct("start", "end", "rule_id", "raw")))
-    kind = "array<struct<start:int,end:int,rule_id:string,raw:string>>"
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc, s):
-        fits = s["start"] >= acc["at"]
-        return F.struct(F.when(fits, s["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
-
-    kept = found.groupBy("doc_id").agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("s"))
-    return kept.select("doc_id", F.inline("s")).select("doc_id", "rule_id", "start", "end", "raw")
+    step = lambda at, s: (F.when(s["start"] >= at, s["end"]).otherwise(at), F.when(s["start"] >= at, F.array(s)).otherwise(F.array().cast(f"array<{kind}>")))
+    kind = "struct<start:int,end:int,rule_id:string,raw:string>"
+    grouped = found.groupBy("doc_id").agg(ordered.alias("s"))
+    return grouped.select("doc_id", F.inline(folded("s", F.lit(-1), kind, step))).select("doc_id", "rule_id", "start", "end", "raw")
 
 
 def context_boost(text: Column, start: Column, raw: Column, words) -> Column:

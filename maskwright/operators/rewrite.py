@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fakes import fake
+from ..functions.scalar import bound, pieces
 from ..sources.rules import CORE
 
 
@@ -26,14 +27,25 @@ def with_fakes(found: DataFrame, key: str, rules=CORE, dictionary: DataFrame | N
 
 
 def splice(text: Column, spans: Column) -> Column:
-    """text with disjoint spans (start, end, fake), sorted, replaced from left to right."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """text with disjoint spans (start, end, fake), sorted, replaced from left to right.
 
-    def step(acc, s):
-        piece = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece, s["fake"])).alias("out"))
+    A place in a text is found by counting from its start. So the text is cut once for each piece of spans, and the gaps between
+    them from that cut.
+    """
+
+    def replaced(part, base):
+        def inside(cut):
+            before = lambda i: F.when(i == 0, base).otherwise(F.get(part, i - 1)["end"])
+            return F.array_join(F.transform(part, lambda s, i: F.concat(F.substr(cut, before(i) - base + 1, s["start"] - before(i)), s["fake"])), "")
+
+        return bound(F.substr(text, base + 1, F.get(part, F.size(part) - 1)["end"] - base), inside)
+
+    def joined(parts):
+        base = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(F.get(parts, k - 1), -1)["end"])
+        done = F.transform(parts, lambda part, k: bound(base(k), lambda at: replaced(part, at)))
+        return F.concat(F.array_join(done, ""), F.substr(text, F.element_at(F.element_at(parts, -1), -1)["end"] + 1))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
+    return F.when(F.size(spans) > 0, bound(pieces(spans), joined)).otherwise(text)
 
 
 def rewrite(docs: DataFrame, redactions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
