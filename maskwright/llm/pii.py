@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import match_spans
+from ..functions.scalar import bound, folded, match_spans
+from ..operators.rewrite import splice
 from .common import private, table
 
 SPAN = T.StructType(
@@ -94,16 +95,16 @@ def _ibans(text: Column) -> Column:
 
     gaps, raws = F.split(text, pattern, -1), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), longest)
     pairs = F.zip_with(gaps, raws, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), _empty().alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"))
 
     def step(acc, pair):
         begin = acc["at"] + F.char_length(pair["gap"])
         end = begin + F.char_length(pair["raw"])
         taken = pair["raw"].isNotNull() & (begin >= acc["past"])
         span = F.struct(begin.alias("start"), rank.alias("rank"), end.alias("end"), F.lit("iban").alias("kind"), pair["raw"].alias("raw"))
-        return F.struct((begin + 4).alias("at"), F.when(taken, end).otherwise(acc["past"]).alias("past"), F.when(taken, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct((begin + 4).alias("at"), F.when(taken, end).otherwise(acc["past"]).alias("past")), F.when(taken, F.array(span)).otherwise(_empty())
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(_empty())
+    return F.when(text.rlike(pattern), folded(pairs, start, SPAN.simpleString(), step)).otherwise(_empty())
 
 
 def _digits(raw: Column) -> Column:
@@ -185,6 +186,10 @@ def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+LAST = 2**31 - 1
+GROUP = "struct<start:int,end:int,fake:string>"
+
+
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets, all columns kept.
 
@@ -195,14 +200,19 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     wide, names = _confirmed(docs.withColumn(whole, F.coalesce(F.col(text_col), F.lit(""))), whole, tuple(KINDS), THRESHOLD)
     wide = wide.withColumn(all_spans, F.array_sort(F.concat(*[F.col(n) for n in names.values()])))
     text = F.col(whole)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, span):
-        inside = span["start"] < acc["at"]
-        more = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, span["start"] - acc["at"]), F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(more).alias("out"))
-
-    new = F.aggregate(F.col(all_spans), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    # A span past all others ends the last group of overlapping spans.
+    end = F.struct(F.lit(LAST).alias("start"), F.lit(0).alias("rank"), F.lit(LAST).alias("end"), F.lit("").alias("kind"), F.lit("").alias("raw"))
+    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(None).cast("string").alias("kind"))
+
+    def step(group, span):
+        inside = span["start"] < group["end"]
+        done = F.struct(group["start"].alias("start"), group["end"].alias("end"), F.concat(F.lit("["), F.upper(group["kind"]), F.lit("]")).alias("fake"))
+        more = F.when(inside | group["kind"].isNull(), F.array().cast(f"array<{GROUP}>")).otherwise(F.array(done))
+        grown = F.struct(group["start"].alias("start"), F.greatest(group["end"], span["end"]).alias("end"), group["kind"].alias("kind"))
+        return F.when(inside, grown).otherwise(F.struct(span["start"].alias("start"), span["end"].alias("end"), span["kind"].alias("kind"))), more
+
+    groups = folded(F.concat(F.col(all_spans), F.array(end)), start, GROUP, step)
+    new = bound(groups, lambda found: splice(text, found))
     new = F.when(F.size(all_spans) > 0, new).otherwise(F.col(text_col))
     out = wide.withColumn(changed, new)
     return out.select(*[F.col(changed).alias(c) if c == text_col else F.coalesce(F.char_length(changed).cast(docs.schema[c].dataType), F.col(c)).alias(c) if c == length_col else F.col(c) for c in columns])
