@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fpe import fpe_numeric
-from .scalar import digits, iban_check_digits, luhn_digit
+from .scalar import bound, digits, iban_check_digits, luhn_digit
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALNUM, ALNUM_UPPER, B62, HEX = LOWER + DIGITS, UPPER + DIGITS, UPPER + LOWER + DIGITS, "0123456789abcdef"
@@ -320,6 +320,29 @@ def engine_key(key: str) -> bytes:
     return hashlib.sha256(f"{key}|fpe".encode()).digest()
 
 
+def _after_prefix(make, key: str, c: Column, prefix: Column) -> Column:
+    return bound(prefix, lambda head: F.concat(head, bound(F.substr(c, F.length(head) + 1), lambda rest: make(key, rest))))
+
+
+def fake_of_rule(kinds, kind: Column, key: str, c: Column, prefix: Column, rule_id: Column, enciphered: Column, visible: bool = False) -> Column:
+    """fake() where type, literal prefix and rule are columns. kinds: the types that occur, so that the expression has no others; its size doesn't
+    depend on the number of rules. enciphered: what fpe_numeric gives, as that runs in Python."""
+    hidden = F.concat(F.lit("[REDACTED:"), rule_id, F.lit("]"))
+    kept = F.when(c.startswith(prefix) & (F.length(c) > F.length(prefix)), prefix).otherwise("")
+    out = F.when(kind == "passthrough", c).when(kind == "fpe_numeric", F.coalesce(enciphered, hidden))
+    for name in FAKES:
+        if name not in kinds:
+            continue
+        if visible:
+            made = _visible(name, key, c)
+        elif name in ("faker_api_key", "generic_random"):
+            made = _after_prefix(FAKES[name], key, c, kept)
+        else:
+            made = FAKES[name](key, c)
+        out = out.when(kind == name, made)
+    return out.otherwise(hidden)
+
+
 def fake_by_type(kind: Column, key: str, c: Column, visible: bool = False, rule_id: Column | None = None) -> Column:
     """Dispatch on a column of replacement types."""
     hidden = F.lit("[REDACTED]") if rule_id is None else F.concat(F.lit("[REDACTED:"), rule_id, F.lit("]"))

@@ -86,20 +86,22 @@ def ff1_encrypt(key: bytes, numerals: str, tweak: bytes = b"") -> str:
     return a + b
 
 
+def enciphered(value: str | None, key: bytes) -> str | None:
+    """FF1 over the digits of a value (separators go): '0' without digits, null with fewer than 7."""
+    if value is None:
+        return None
+    d = "".join(ch for ch in value if "0" <= ch <= "9")
+    return "0" if not d else None if len(d) < 7 else ff1_encrypt(key, d)
+
+
 def fpe_numeric(c: Column, key: bytes = bytes(32)) -> Column:
-    """FF1 over the digits of c (separators go): '0' without digits; fewer than 7 give null, so that the
-    caller's fallback applies. An Arrow UDF: AES of single blocks has no built-in expression."""
+    """enciphered() of a column, each distinct value of a batch once; null leaves it to the caller's fallback. An Arrow UDF: AES of single
+    blocks has no built-in expression."""
     import pandas as pd
 
     @F.pandas_udf("string")
     def run(values):
-        def one(v):
-            if v is None:
-                return None
-            d = "".join(ch for ch in v if "0" <= ch <= "9")
-            return "0" if not d else None if len(d) < 7 else ff1_encrypt(key, d)
-
-        known = {v: one(v) for v in values.unique()}
+        known = {v: enciphered(v, key) for v in values.unique()}
         return values.map(known)
 
     return run(c)

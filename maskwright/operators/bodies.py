@@ -1,8 +1,8 @@
 """Whole bodies: found by format, searched leaf by leaf, changed and put together again.
 
-A body is a row; nothing is shuffled. One Arrow pass takes the searchable texts (leaves) out of a body, detection and
-stand-ins are built-in expressions over the array of leaves, and a second pass puts the changed ones back at the same
-places of the same walk. So values are told apart by their place, whatever their keys, and what isn't changed keeps its bytes.
+A body is a row; nothing is shuffled. One Arrow pass walks the searchable texts (leaves) of a body and its headers and searches each under
+all rules, built-in expressions make the stand-ins, and a second pass puts them at the same places of the same walk. So values are told apart by
+their place, whatever their keys, and what isn't changed keeps its bytes. The plan doesn't grow with the number of rules.
 
 Leaves: values of JSON (not keys, not encoded media), decoded values of forms, text parts of multipart bodies and data of
 event streams, both as JSON where they are JSON, and plain text. JSON that can't be read is plain text. Plain text and whole bodies
@@ -14,6 +14,7 @@ bodies too. Bodies of any size are walked whole.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Callable
@@ -23,12 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fakes import fake
+from ..functions.arrow import slices
+from ..functions.fakes import engine_key, fake, fake_of_rule
+from ..functions.fpe import enciphered
+from ..functions.scalar import folded
 from ..sources.rules import CORE, for_java
 from . import detect, rewrite, route
+from .matcher import matcher
 
-LEAVES = "array<struct<text:string,whole:boolean>>"
-FOUND = "array<struct<start:int,shorter:int,rule_id:string,end:int,raw:string,fake:string>>"
+FOUND = "struct<start:int,shorter:int,rule_id:string,end:int,raw:string,fake:string>"
+SPAN = "struct<leaf:int,start:int,end:int,rule_id:string,raw:string,kind:string,prefix:string,cipher:string>"
 
 #: What a walk calls for each leaf: its text and whether it is whole plain text; returns the text to put there.
 Change = Callable[[str, bool], str]
@@ -137,71 +142,141 @@ def walk_multipart(body: bytes, boundary: str, change: Change) -> bytes:
 
 
 def walk(body: bytes, kind: str, boundary: str, change: Change) -> bytes:
-    if kind == "binary":
+    if kind in ("binary", "signed"):
         return body
     if kind == "multipart":
         return walk_multipart(body, boundary, change)
     text = body.decode()
     walks = {"json": lambda: walk_json(text, change, True), "form": lambda: walk_form(text, change), "sse": lambda: walk_sse(text, change)}
-    return walks.get(kind, lambda: change(text, True))().encode()
+    return walks.get(kind, lambda: change(text, kind != "field"))().encode()
 
 
 def _with(frame: DataFrame, name: str, kind: str, inputs: list[str], one) -> DataFrame:
-    """frame with a column that Python makes of others, row by row of Arrow batches. Not a scalar Python column: those over deep
-    lambdas aren't planned."""
+    """frame with a column that Python makes of others, row by row of bounded slices of Arrow batches."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     made = T._parse_datatype_string(kind)
+    sized = [c for c in inputs if isinstance(frame.schema[c].dataType, (T.StringType, T.BinaryType))]
 
     def run(batches):
-        for batch in batches:
-            values = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in inputs))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, to_arrow_type(made))], names=[*batch.schema.names, name])
+        for part in slices(batches, sized):
+            values = [one(*x) for x in zip(*(part.column(c).to_pylist() for c in inputs))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, to_arrow_type(made))], names=[*part.schema.names, name])
 
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(name, made)]))
 
 
-def leaves_of(body: bytes | None, kind: str, boundary: str, encoding: str | None) -> list[dict]:
-    found: list[dict] = []
-
-    def note(text, whole):
-        text.encode()
-        found.append({"text": text, "whole": whole})
-        return text
-
-    try:
-        walk(route.unpack(body, encoding), kind, boundary, note)
-    except (ValueError, TypeError, AttributeError, RecursionError):
-        return []
-    return found
-
-
-def rebuilt(body: bytes | None, kind: str, boundary: str, encoding: str | None, new: list | None) -> bytes | None:
-    """The body with the leaves that new, beside the leaves, isn't null for replaced."""
-    if new is None or all(x is None for x in new):
+class _Unreadable(Exception):
+    """A body that can't be walked, or not in the same way again."""
+
+
+_BROKEN = (ValueError, TypeError, AttributeError, RecursionError, _Unreadable)
+
+
+def _header_leaf(name: str, value: str | None) -> tuple[str, str] | None:
+    """What is searched in a header's value, and the scheme that stays before it; Basic credentials are searched in the clear."""
+    low = name.lower()
+    if value is None or low in route.NEVER or not (low in route.ALWAYS or re.search(route.PARTS, low)) or value.startswith(route.SIGNED):
+        return None
+    if low == "authorization" and value.startswith("Bearer "):
+        return value[len("Bearer ") :].lstrip(" "), "Bearer "
+    if low == "authorization" and value.startswith("Basic "):
+        try:
+            return base64.b64decode(value[len("Basic ") :].strip(), validate=True).decode(), "Basic "
+        except ValueError:
+            pass
+    return value, ""
+
+
+def found_leaves(rules, literals: bool = True):
+    """A function of (body, kind, boundary, encoding, headers) for the first pass: spans of all leaves of the body, then of the headers."""
+
+    def one(body, kind, boundary, encoding, headers, cipher):
+        held, found, n = matcher(rules, literals), [], 0
+
+        def search(text: str, whole: bool) -> str:
+            nonlocal n
+            text.encode()
+            for start, end, i, raw in held.disjoint(held.scan(text, whole)):
+                rule = rules[i]
+                number = enciphered(raw, cipher) if rule.replacement_type == "fpe_numeric" else None
+                found.append((n, start, end, rule.id, raw, rule.replacement_type, rule.literal_prefix or "", number))
+            n += 1
+            return text
+
+        if kind != "signed":
+            try:
+                walk(route.unpack(body, encoding), kind, boundary, search)
+            except _BROKEN:
+                found.clear()
+            n = 0
+            of_body, found = found, []
+            for name, value in headers or ():
+                if leaf := _header_leaf(name, value):
+                    search(leaf[0], False)
+                else:
+                    n += 1
+            return {"body": of_body, "headers": found}
+        return {"body": [], "headers": []}
+
+    return one
+
+
+def _spliced(text: str, spans) -> str:
+    """text with (start, end, fake), sorted and disjoint, put in place."""
+    out, at = [], 0
+    for start, end, new in spans:
+        out += [text[at:start], new]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def rebuilt(body: bytes | None, kind: str, boundary: str, encoding: str | None, found: list) -> bytes | None:
+    """The body with the stand-ins of found (leaf, start, end, fake) put in place, in the same walk."""
+    if not found:
         return body
-    rest = iter(new)
+    by_leaf: dict[int, list] = {}
+    for s in found:
+        by_leaf.setdefault(s["leaf"], []).append((s["start"], s["end"], s["fake"]))
+    n = 0
 
     def put(text, whole):
-        found = next(rest)
-        return text if found is None else found
+        nonlocal n
+        spans = by_leaf.get(n, ())
+        n += 1
+        return _spliced(text, spans) if spans else text
 
     try:
         return route.pack(walk(route.unpack(body, encoding), kind, boundary, put), encoding)
-    except (ValueError, TypeError, AttributeError, RecursionError, StopIteration):
+    except _BROKEN:
         return body
 
 
+def _new_headers(headers, found: list):
+    """(name, value) pairs with the stand-ins of found (leaf, start, end, fake) put in place."""
+    by_leaf: dict[int, list] = {}
+    for s in found or ():
+        by_leaf.setdefault(s["leaf"], []).append((s["start"], s["end"], s["fake"]))
+    out = []
+    for i, (name, value) in enumerate(headers or ()):
+        if i in by_leaf:
+            text, scheme = _header_leaf(name, value)
+            value = _spliced(text, by_leaf[i])
+            value = scheme + (base64.b64encode(value.encode()).decode() if scheme == "Basic " else value)
+        out.append((name, value))
+    return out
+
+
 # ---- texts -------------------------------------------------------------------------------
 
 
 def found_in(text: Column, key: str, rules=CORE, whole: Column | None = None, visible: bool = False) -> Column:
-    """Disjoint spans of a text with their stand-ins, in order: what scan, resolve_overlaps, drop_partial_overlaps and with_fakes
-    give, as one expression. whole: texts that are searched only if a keyword of some rule occurs."""
-    nothing = F.array().cast(FOUND)
+    """Disjoint spans of a text with their stand-ins, in order, as one expression for a handful of rules: what scan, resolve_overlaps,
+    drop_partial_overlaps and with_fakes give. whole: texts that are searched only if a keyword of some rule occurs."""
+    nothing = F.array().cast(f"array<{FOUND}>")
     if any(r.replacement_type == "fpe_numeric" for r in rules):
-        raise ValueError("fpe_numeric runs in Python: detect.scan and rewrite.with_fakes take such rules")
+        raise ValueError("fpe_numeric runs in Python: redact_texts takes such rules")
 
     def one(rule) -> Column:
         kept = F.filter(detect.spans(text, for_java(rule.regex)), lambda s: detect.keep(rule, s["raw"]))
@@ -209,64 +284,63 @@ def found_in(text: Column, key: str, rules=CORE, whole: Column | None = None, vi
         rows = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"), F.lit(rule.id).alias("rule_id"), s["end"].alias("end"), s["raw"].alias("raw"), made(s).alias("fake")))
         return F.when(detect.rule_gate(text, rule), rows).otherwise(nothing)
 
-    start = F.struct(F.lit(-1).alias("most"), F.lit(-1).alias("at"), nothing.alias("out"))
+    start = F.struct(F.lit(-1).alias("most"), F.lit(-1).alias("at"))
 
     def step(acc, s):
         taken = (acc["most"] < s["end"]) & (s["start"] >= acc["at"])
-        return F.struct(F.greatest(acc["most"], s["end"]).alias("most"), F.when(taken, s["end"]).otherwise(acc["at"]).alias("at"), F.when(taken, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["most"], s["end"]).alias("most"), F.when(taken, s["end"]).otherwise(acc["at"]).alias("at")), F.when(taken, F.array(s)).otherwise(nothing)
 
-    found = F.aggregate(F.array_sort(F.concat(*[one(r) for r in rules])), start, step, lambda acc: acc["out"])
+    found = folded(F.array_sort(F.concat(*[one(r) for r in rules])), start, FOUND, step)
     return found if whole is None else F.when(whole & ~detect.keyword_gate(text, rules), nothing).otherwise(found)
 
 
-def redact_text(text: Column, key: str, rules=CORE) -> Column:
-    """A value with its spans replaced; values are searched without the gate for whole bodies."""
-    return F.get(F.transform(F.array(found_in(text, key, rules)), lambda found: rewrite.splice(text, found)), 0)
-
-
 def header(headers: Column, name: str) -> Column:
     """The value of a header, whatever the case of its name."""
     return F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), 0)["value"]
 
 
-def redact_headers(headers: Column, key: str, rules=CORE) -> Column:
-    """Headers that may hold secrets, searched and changed; schemes of authorization stay, signed requests are left alone."""
+def _stand_ins(found: Column, key: str, rules, visible: bool) -> Column:
+    """found (leaf, start, end, rule_id, raw, kind, prefix, cipher) with fake. The expression has a branch a type, not a rule."""
+    kinds = {r.replacement_type for r in rules}
+    made = lambda s: fake_of_rule(kinds, s["kind"], key, s["raw"], s["prefix"], s["rule_id"], s["cipher"], visible)
+    return F.transform(found, lambda s: F.struct(s["leaf"].alias("leaf"), s["start"].alias("start"), s["end"].alias("end"), s["rule_id"].alias("rule_id"), s["raw"].alias("original"), made(s).alias("fake")))
 
-    def one(name, value):
-        # The value that is changed goes through an array of one, so that it is a variable in the large expression.
-        once = lambda c: F.get(F.transform(F.array(c), lambda x: redact_text(x, key, rules)), 0)
-        changed = route.authorization(value, once, F.lower(name) == "authorization")
-        return F.when(route.header_searched(name) & ~route.signed_request(value), changed).otherwise(value)
 
-    return F.transform_values(headers, one)
+def _redactions(found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["rule_id"].alias("rule_id"), s["original"].alias("original"), s["fake"].alias("fake")))
 
 
 # ---- bodies ------------------------------------------------------------------------------
 
 
-def redact_bodies(bodies: DataFrame, key: str, rules=CORE, body_col: str = "body", headers_col: str = "headers") -> DataFrame:
-    """bodies (body binary, headers map<string,string>) with route, redactions (rule_id, original, fake), new_body and new_headers.
+def redact_bodies(bodies: DataFrame, key: str, rules=CORE, body_col: str = "body", headers_col: str = "headers", visible: bool = False, literals: bool = True) -> DataFrame:
+    """bodies (body binary, headers map<string,string>) with route, redactions (rule_id, original, fake), new_body, new_headers and
+    header_redactions.
 
-    Signed requests pass as they are. A content-length header follows a body that was changed.
+    Any number of rules: a first pass walks a body and its headers and searches each leaf, built-in expressions make the stand-ins, and a second pass
+    puts them in place, only where something was found. Headers that may hold secrets are searched; schemes of authorization stay. Signed requests pass as they are. A content-length
+    header follows a body that was changed.
     """
     from uuid import uuid4
 
+    rules = tuple(rules)
     body, headers = F.col(body_col), F.coalesce(F.col(headers_col), F.create_map().cast("map<string,string>"))
-    names = {n: f"{n}_{uuid4().hex}" for n in ("leaves", "found", "signed", "kind", "boundary", "encoding", "new")}
+    names = {n: f"{n}_{uuid4().hex}" for n in ("found", "kind", "boundary", "encoding", "headers", "named")}
     content_type = F.coalesce(header(headers, "content-type"), F.lit(""))
-    out = bodies.withColumn("route", route.route_of(content_type)).withColumn(names["signed"], route.signed_request(header(headers, "authorization")))
-    out = out.withColumn(names["kind"], F.when(F.col(names["signed"]), F.lit("binary")).otherwise(F.col("route")))
+    signed = route.signed_request(header(headers, "authorization"))
+    out = bodies.withColumn("route", route.route_of(content_type)).withColumn(names["kind"], F.when(signed, F.lit("signed")).otherwise(F.col("route")))
     out = out.withColumn(names["boundary"], route.boundary_of(content_type)).withColumn(names["encoding"], F.lower(header(headers, "content-encoding")))
+    out = out.withColumn(names["headers"], headers)
     inputs = [body_col, *(names[n] for n in ("kind", "boundary", "encoding"))]
-    out = _with(out, names["leaves"], LEAVES, inputs, leaves_of)
-    searched = F.transform(names["leaves"], lambda leaf: F.struct(leaf["text"].alias("text"), found_in(leaf["text"], key, rules, leaf["whole"]).alias("found")))
-    out = out.withColumn(names["found"], searched)
-    redactions = F.transform(F.flatten(F.transform(names["found"], lambda x: x["found"])), lambda s: F.struct(s["rule_id"].alias("rule_id"), s["raw"].alias("original"), s["fake"].alias("fake")))
-    new = F.transform(names["found"], lambda x: F.when(F.size(x["found"]) > 0, rewrite.splice(x["text"], x["found"])))
-    out = out.withColumn("redactions", redactions).withColumn(names["new"], new).drop(names["leaves"], names["found"])
-    out = _with(out, "new_body", "binary", [*inputs, names["new"]], rebuilt)
+    search = _keyed(found_leaves(rules, literals), key)
+    out = _with(out, names["found"], f"struct<body:array<{SPAN}>,headers:array<{SPAN}>>", [*inputs, names["headers"]], search)
+    made = lambda part: _stand_ins(F.col(names["found"])[part], key, rules, visible)
+    out = out.withColumn("_made", F.struct(made("body").alias("body"), made("headers").alias("headers"))).drop(names["found"]).withColumnRenamed("_made", names["found"])
+    put = lambda b, kind, boundary, encoding, pairs, found: {"body": rebuilt(b, kind, boundary, encoding, found["body"]), "headers": _new_headers(pairs, found["headers"])}
+    out = _with(out, names["named"], "struct<body:binary,headers:map<string,string>>", [*inputs, names["headers"], names["found"]], put)
+    out = out.select("*", *[_redactions(F.col(names["found"])[part]).alias(name) for part, name in (("body", "redactions"), ("headers", "header_redactions"))], F.col(names["named"])["body"].alias("new_body"))
+    fresh = F.col(names["named"])["headers"]
     changed = F.coalesce(F.col("new_body") != body, F.lit(False))
-    fresh = F.when(F.col(names["signed"]), headers).otherwise(redact_headers(headers, key, rules))
     # Not by transform_values: a Python column can't be read inside a lambda.
     name = F.get(F.filter(F.map_keys(fresh), lambda k: F.lower(k) == "content-length"), 0)
     others = F.map_filter(fresh, lambda k, v: F.lower(k) != "content-length")
@@ -274,6 +348,24 @@ def redact_bodies(bodies: DataFrame, key: str, rules=CORE, body_col: str = "body
     return out.withColumn("new_headers", F.when(changed & name.isNotNull(), with_length).otherwise(fresh)).drop(*names.values())
 
 
+def redact_texts(docs: DataFrame, key: str, rules=CORE, text_col: str = "text", gate: bool = False, visible: bool = False, literals: bool = True) -> DataFrame:
+    """docs with redactions (leaf, start, end, rule_id, original, fake) and new_text: rewriting under any number of rules in one Arrow pass; nothing is
+    shuffled. gate: texts without any keyword stay as they are. Nulls stay null."""
+    from uuid import uuid4
+
+    rules, found = tuple(rules), f"found_{uuid4().hex}"
+    search = _keyed(found_leaves(rules, literals), key)
+    one = lambda text: search(None if text is None else text.encode(), "plain" if gate else "field", "", None, None)["body"]
+    out = _with(docs, found, f"array<{SPAN}>", [text_col], one)
+    out = out.withColumn("redactions", _stand_ins(F.col(found), key, rules, visible)).drop(found)
+    return out.withColumn("new_text", rewrite.splice(F.col(text_col), F.col("redactions")))
+
+
+def _keyed(search, key: str):
+    """search with the cipher of fpe_numeric under the engine's key."""
+    return lambda *args: search(*args, cipher=engine_key(key))
+
+
 def deanonymize_bodies(bodies: DataFrame, body_col: str = "body", encoding_col: str = "encoding", pairs_col: str = "pairs", known_col: str | None = None) -> DataFrame:
     """bodies with new_body: unpacked, stand-ins replaced by originals, packed again.
 

@@ -1,7 +1,7 @@
 """Detection: texts and rules become spans.
 
 Built-in expressions compute everything for small rule sets (each pattern is a literal, compiled once a task, and no
-text is shuffled); for hundreds of rules one Arrow pass with all patterns compiled once in each worker.
+text is shuffled); for hundreds of rules one Arrow pass with all patterns compiled once in each worker (see matcher).
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import slices
 from ..functions.scalar import byte_chars, bytes_entropy, folded, luhn_valid, match_spans, shannon_entropy
 from ..sources.rules import CORE, Rule, for_java
+from .matcher import count_words, matcher
 
 ONE = "struct<start:int,end:int,raw:string>"
 SPAN = f"array<{ONE}>"
@@ -71,58 +73,28 @@ def scan(docs: DataFrame, rules=CORE, gate: bool = False, id_col: str = "doc_id"
     return base.select("doc_id", F.inline(F.concat(*[one(r) for r in rules])))
 
 
-def scan_many(docs: DataFrame, rules, gate: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """scan() for hundreds of rules: one pass over the texts in Python, patterns compiled once in each worker.
+def scan_many(docs: DataFrame, rules, gate: bool = True, id_col: str = "doc_id", text_col: str = "text", literals: bool = True) -> DataFrame:
+    """scan() for hundreds of rules: one Arrow pass over the texts, in bounded slices, with everything made ready once a worker.
 
-    The keyword automaton runs once a text; only rules with a keyword in it, or without keywords, are searched.
+    One automaton finds the keywords of all rules, and the literals that patterns require; only rules whose keywords (if any) and literals (if any, and
+    unless literals is false) occur are searched. Nulls have no spans.
     """
     rules = tuple(rules)
 
     def run(batches):
-        import math
-        from collections import Counter
-
-        import ahocorasick
         import pyarrow as pa
-        import regex
-
-        compiled = [(r, regex.compile(strip_for_regex(r.regex)), regex.compile(strip_for_regex(r.exclude_regex)) if r.exclude_regex else None) for r in rules]
-        owners: dict[str, list[int]] = {}
-        for i, r in enumerate(rules):
-            for k in r.keywords:
-                owners.setdefault(k, []).append(i)
-        automaton = ahocorasick.Automaton()
-        for k, v in owners.items():
-            automaton.add_word(k, v)
-        if owners:
-            automaton.make_automaton()
-        free = [i for i, r in enumerate(rules) if not r.keywords]
-
-        def entropy(raw: str) -> float:
-            data = raw.encode()
-            return -sum(n / len(data) * math.log2(n / len(data)) for n in Counter(data).values()) if data else 0.0
-
-        def luhn(raw: str) -> bool:
-            d = [int(c) for c in raw if c in "0123456789"][::-1]
-            return len(d) >= 2 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
-
-        for batch in batches:
+
+        held = matcher(rules, literals)
+        names = [r.id for r in rules]
+        for part in slices(batches, ["_text"]):
             at, rows = [], []
-            for i, text in enumerate(batch.column("_text").to_pylist()):
-                hit = {r for _, v in automaton.iter(text) for r in v} if owners else set()
-                if gate and not hit:
-                    continue
-                for k in sorted({*free, *hit}):
-                    rule, pattern, exclude = compiled[k]
-                    for m in pattern.finditer(text):
-                        raw = m[0]
-                        if exclude and exclude.search(raw) or rule.entropy is not None and entropy(raw) < rule.entropy or rule.checksum_type == "luhn" and not luhn(raw):
-                            continue
-                        at.append(i)
-                        rows.append((rule.id, m.start(), m.end(), raw))
-            ids, starts, ends, raws = zip(*rows) if rows else [()] * 4
+            for i, text in enumerate(part.column("_text").to_pylist()):
+                found = held.scan(text, gate)
+                at += [i] * len(found)
+                rows += found
+            starts, ends, which, raws = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(raws, pa.string())],
+                [part.column("doc_id").take(pa.array(at, pa.int32())), pa.array([names[k] for k in which], pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(raws, pa.string())],
                 names=["doc_id", "rule_id", "start", "end", "raw"],
             )
 
@@ -130,10 +102,23 @@ def scan_many(docs: DataFrame, rules, gate: bool = True, id_col: str = "doc_id",
     return base.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, rule_id string, start int, end int, raw string")
 
 
-def strip_for_regex(pattern: str) -> str:
-    from ..sources.rules import strip_comments
+def count_keywords(docs: DataFrame, keywords, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n): matches of an automaton of keywords in each text, earliest end first and none overlapping; 0 for nulls.
+
+    A keyword is counted as soon as it ends, whatever longer one it begins, and the search starts anew behind it; so counts differ from those of a
+    pattern of alternatives.
+    """
+    words = tuple(sorted(set(keywords)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in slices(batches, ["_text"]):
+            n = [count_words(text or "", words) for text in part.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n"])
 
-    return strip_comments(pattern)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    return base.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n long")
 
 
 def _order():

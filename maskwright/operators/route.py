@@ -19,6 +19,7 @@ NEVER = (
 )
 ALWAYS = ("authorization", "x-api-key", "x-auth-token", "x-secret")
 PARTS = "key|secret|token|password"
+SIGNED = "AWS4-HMAC-SHA256 Credential="
 
 
 def header_searched(name: Column) -> Column:
@@ -28,7 +29,7 @@ def header_searched(name: Column) -> Column:
 
 def signed_request(authorization: Column) -> Column:
     """Signed requests must not be changed."""
-    return F.coalesce(authorization.startswith("AWS4-HMAC-SHA256 Credential="), F.lit(False))
+    return F.coalesce(authorization.startswith(SIGNED), F.lit(False))
 
 
 def host_matches(host: Column, hosts) -> Column:

@@ -61,9 +61,18 @@ def scan_rule_table(spark, sf):
     return detect.scan_many(table(spark, sf, "documents"), CORE, gate=True)
 
 
+KEYLESS = tuple(Rule(r.id, r.regex, entropy=r.entropy, checksum_type=r.checksum_type) for r in CORE)
+
+
+@query(sql.hits(KEYLESS))
+def scan_literal_gate(spark, sf):
+    """Rules without keywords, searched only where the literals that their patterns require occur."""
+    return detect.scan_many(table(spark, sf, "documents"), KEYLESS, gate=False)
+
+
 @query(f"WITH h AS ({sql.hits()}) {sql.RESOLVED.format(hits='h')}")
 def overlap_resolve(spark, sf):
-    return detect.resolve_overlaps(detect.scan(table(spark, sf, "documents")))
+    return detect.resolve_overlaps(detect.scan_many(table(spark, sf, "documents"), CORE, gate=False))
 
 
 PARTIAL = (Rule("a", "[0-9]{4}-[0-9]{4}|[0-9]{3}\\) [0-9]{3}"), Rule("b", "[0-9]{3}-[0-9]{4}"), Rule("c", r"\+1 \([0-9]{3}\) [0-9]{3}"))
@@ -95,7 +104,7 @@ def context_boost(spark, sf):
 @query(f"WITH h AS ({sql.hits()}), r AS ({sql.RESOLVED.format(hits='h')}) SELECT lang, rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM r JOIN documents USING (doc_id) GROUP BY 1, 2")
 def match_counts_by_lang(spark, sf):
     docs = table(spark, sf, "documents")
-    found = detect.resolve_overlaps(detect.scan(docs))
+    found = detect.resolve_overlaps(detect.scan_many(docs, CORE, gate=False))
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -133,6 +142,21 @@ def keyword_hit_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit("token|the |[@]")).cast("long").alias("n"))
 
 
+#: Words inside, at the beginning and at the end of others; none overlaps itself, so splitting finds all its places.
+NESTED = ("token", "ken", "the", "then", "there", "here", "he", "tion", "ion", "on")
+
+
+@query("WITH w AS (" + " UNION ALL ".join(f"SELECT doc_id, {sql.quoted(w)} AS w, string_split(text, {sql.quoted(w)}) AS gaps FROM documents" for w in NESTED) + """),
+g AS (SELECT doc_id, w, len(gaps) AS n, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i FROM w),
+p AS (SELECT doc_id, length(w) AS k, i < n AS found, sum(length(gap)) OVER (PARTITION BY doc_id, w ORDER BY i) + i * length(w) AS e FROM g),
+l AS (SELECT doc_id, list({'s': e - k, 'e': e, 'n': 0::BIGINT} ORDER BY e, k DESC) AS hits FROM p WHERE found GROUP BY 1),
+c AS (SELECT doc_id, list_reduce(list_prepend({'s': 0::HUGEINT, 'e': 0::HUGEINT, 'n': 0::BIGINT}, hits), lambda acc, x: CASE WHEN x.s >= acc.e THEN {'s': x.s, 'e': x.e, 'n': acc.n + 1} ELSE acc END).n AS n FROM l)
+SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN c USING (doc_id)""")
+def automaton_hit_count(spark, sf):
+    """Counts of an automaton's matches: a word counts as soon as it ends, none overlap."""
+    return detect.count_keywords(table(spark, sf, "documents"), NESTED)
+
+
 @query("SELECT doc_id, " + " + ".join(f"len(regexp_extract_all(text, {sql.quoted(r.regex)}))" for r in CORE) + " AS n FROM documents")
 def regex_hit_count(spark, sf):
     n = sum((F.regexp_count("text", F.lit(r.regex)) for r in CORE[1:]), F.regexp_count("text", F.lit(CORE[0].regex)))
@@ -177,7 +201,7 @@ e AS (SELECT d.doc_id AS entry_id, coalesce(n, 0) AS found, {CAUGHT.replace('doc
 
 def _per_entry(spark, sf):
     docs = table(spark, sf, "documents")
-    found = detect.scan(docs).withColumnRenamed("doc_id", "entry_id")
+    found = detect.scan_many(docs, CORE, gate=False).withColumnRenamed("doc_id", "entry_id")
     entries = docs.select(F.col("doc_id").alias("entry_id"))
     return found, evaluate.found_against_caught(found, entries.withColumn("caught", F.col("entry_id") % 3), entries)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fakes
 from ..functions.fpe import fpe_numeric as ff1
 from ..functions.scalar import iban_check_digits, iban_valid, luhn_digit
-from ..operators import detect, rewrite
+from ..operators import bodies, detect, rewrite
 from ..session import table
 from ..sources.rules import CORE
 from . import sql
@@ -18,7 +18,7 @@ RULE = {r.id: r for r in CORE}
 
 
 def resolved(spark, sf):
-    return detect.drop_partial_overlaps(detect.resolve_overlaps(detect.scan(table(spark, sf, "documents"))))
+    return detect.drop_partial_overlaps(detect.resolve_overlaps(detect.scan_many(table(spark, sf, "documents"), CORE, gate=False)))
 
 
 def seed(kind: str, original: str = "raw") -> str:
@@ -151,35 +151,47 @@ def iban_digits(spark, sf):
 
 TOKEN = f"'token = \"' || {MAPPED('api', 'length(raw)', fakes.HEX)}".replace("'demo-key|api|' || raw", "'demo-key|api|' || substr(raw, 10)").replace("length(raw)", "(length(raw) - 9)").replace("substr(raw, i + 1, 1)", "substr(raw, i + 10, 1)")
 FAKE = f"CASE rule_id WHEN 'card' THEN {CARD} WHEN 'phone' THEN {PHONE} WHEN 'email' THEN {EMAIL} WHEN 'ipv4' THEN raw WHEN 'token' THEN {TOKEN} ELSE {MAPPED('api', 'length(raw)', fakes.HEX)} END"
-REDACTED = f"""WITH RECURSIVE h AS ({sql.hits()}), r AS ({sql.RESOLVED.format(hits='h')}),
+
+
+def redacted_sql(hits: str, fake: str = FAKE) -> str:
+    """Common tables of rewriting: `new` has doc_id, text, new_text and n."""
+    return f"""WITH RECURSIVE h AS ({hits}), r AS ({sql.RESOLVED.format(hits='h')}),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", rule_id) AS k FROM r),
 w AS (SELECT *, true AS fits, "end" AS at FROM n WHERE k = 1
   UNION ALL SELECT n.*, n."start" >= w.at, CASE WHEN n."start" >= w.at THEN n."end" ELSE w.at END FROM w JOIN n ON n.doc_id = w.doc_id AND n.k = w.k + 1),
-red AS (SELECT doc_id, rule_id, "start", "end", raw, {FAKE} AS fake FROM w WHERE fits),
+red AS (SELECT doc_id, rule_id, "start", "end", raw, {fake} AS fake FROM w WHERE fits),
 seg AS (SELECT doc_id, fake, "start", "end", row_number() OVER o AS k, lag("end", 1, 0) OVER o AS prev FROM red WINDOW o AS (PARTITION BY doc_id ORDER BY "start")),
 new AS (SELECT d.doc_id, any_value(text) AS text, CASE WHEN count(k) = 0 THEN any_value(text) ELSE string_agg(substr(text, prev + 1, "start" - prev) || fake, '' ORDER BY k) || substr(any_value(text), max("end") + 1) END AS new_text, count(k) AS n
   FROM documents d LEFT JOIN seg ON seg.doc_id = d.doc_id GROUP BY d.doc_id)"""
 
 
+REDACTED = redacted_sql(sql.hits())
+
+
 def redactions(spark, sf):
     return rewrite.with_fakes(resolved(spark, sf), KEY)
 
 
 @query(REDACTED + " SELECT doc_id, sha256(new_text) AS new_sha256, length(new_text) AS new_length, n::INT AS n_redacted FROM new")
 def rewrite_documents(spark, sf):
-    docs = table(spark, sf, "documents")
-    out = rewrite.rewrite(docs, redactions(spark, sf))
-    return out.select("doc_id", F.sha2(F.col("new_text").cast("binary"), 256).alias("new_sha256"), F.char_length("new_text").cast("long").alias("new_length"), "n_redacted")
+    out = bodies.redact_texts(table(spark, sf, "documents").select("doc_id", "text"), KEY)
+    return out.select("doc_id", F.sha2(F.col("new_text").cast("binary"), 256).alias("new_sha256"), F.char_length("new_text").cast("long").alias("new_length"), F.size("redactions").alias("n_redacted"))
+
+
+@query(REDACTED + " SELECT doc_id, sha256(new_text) AS new_sha256, n::INT AS n_redacted FROM new")
+def rewrite_by_spans(spark, sf):
+    """The same from a table of spans, which are grouped by text and joined."""
+    out = rewrite.rewrite(table(spark, sf, "documents"), redactions(spark, sf))
+    return out.select("doc_id", F.sha2(F.col("new_text").cast("binary"), 256).alias("new_sha256"), "n_redacted")
 
 
 @query("SELECT doc_id, sha256(text) AS restored_sha256, true AS equal FROM documents")
 def restore_roundtrip(spark, sf):
     """Redacted texts and their stand-ins give back the originals."""
-    docs = table(spark, sf, "documents")
-    made = redactions(spark, sf).where("fake <> raw")
-    pairs = made.groupBy(F.col("doc_id").alias("_p")).agg(F.collect_set(F.struct("fake", F.col("raw").alias("original"))).alias("pairs"))
-    out = rewrite.rewrite(docs, made).join(pairs, F.col("doc_id") == F.col("_p"), "left")
-    back = F.when(F.col("pairs").isNotNull(), rewrite.restore(F.col("new_text"), F.col("pairs"))).otherwise(F.col("new_text"))
+    out = bodies.redact_texts(table(spark, sf, "documents").select("doc_id", "text"), KEY)
+    changed = F.filter("redactions", lambda r: r["fake"] != r["original"])
+    out = out.withColumn("pairs", F.array_distinct(F.transform(changed, lambda r: F.struct(r["fake"].alias("fake"), r["original"].alias("original")))))
+    back = F.when(F.size("pairs") > 0, rewrite.restore(F.col("new_text"), F.col("pairs"))).otherwise(F.col("new_text"))
     return out.select("doc_id", F.sha2(back.cast("binary"), 256).alias("restored_sha256"), (back == F.col("text")).alias("equal"))
 
 
