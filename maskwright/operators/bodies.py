@@ -190,7 +190,8 @@ def _header_leaf(name: str, value: str | None) -> tuple[str, str] | None:
 
 
 def found_leaves(rules, literals: bool = True):
-    """A function of (body, kind, boundary, encoding, headers) for the first pass: spans of all leaves of the body, then of the headers."""
+    """A function of (body, kind, boundary, encoding, headers) for the first pass: spans of all leaves of the body, numbered from 0, and of the headers,
+    numbered from -1 down."""
 
     def one(body, kind, boundary, encoding, headers, cipher):
         held, found, n = matcher(rules, literals), [], 0
@@ -205,20 +206,17 @@ def found_leaves(rules, literals: bool = True):
             n += 1
             return text
 
-        if kind != "signed":
-            try:
-                walk(route.unpack(body, encoding), kind, boundary, search)
-            except _BROKEN:
-                found.clear()
-            n = 0
-            of_body, found = found, []
-            for name, value in headers or ():
-                if leaf := _header_leaf(name, value):
-                    search(leaf[0], False)
-                else:
-                    n += 1
-            return {"body": of_body, "headers": found}
-        return {"body": [], "headers": []}
+        if kind == "signed":
+            return []
+        try:
+            walk(route.unpack(body, encoding), kind, boundary, search)
+        except _BROKEN:
+            found.clear()
+        for i, (name, value) in enumerate(headers or ()):
+            if leaf := _header_leaf(name, value):
+                n = -1 - i
+                search(leaf[0], False)
+        return found
 
     return one
 
@@ -232,13 +230,18 @@ def _spliced(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
+def _by_leaf(found) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for s in found or ():
+        out.setdefault(s["leaf"], []).append((s["start"], s["end"], s["fake"]))
+    return out
+
+
 def rebuilt(body: bytes | None, kind: str, boundary: str, encoding: str | None, found: list) -> bytes | None:
     """The body with the stand-ins of found (leaf, start, end, fake) put in place, in the same walk."""
-    if not found:
+    by_leaf = _by_leaf(found)
+    if not any(leaf >= 0 for leaf in by_leaf):
         return body
-    by_leaf: dict[int, list] = {}
-    for s in found:
-        by_leaf.setdefault(s["leaf"], []).append((s["start"], s["end"], s["fake"]))
     n = 0
 
     def put(text, whole):
@@ -255,14 +258,11 @@ def rebuilt(body: bytes | None, kind: str, boundary: str, encoding: str | None,
 
 def _new_headers(headers, found: list):
     """(name, value) pairs with the stand-ins of found (leaf, start, end, fake) put in place."""
-    by_leaf: dict[int, list] = {}
-    for s in found or ():
-        by_leaf.setdefault(s["leaf"], []).append((s["start"], s["end"], s["fake"]))
-    out = []
+    by_leaf, out = _by_leaf(found), []
     for i, (name, value) in enumerate(headers or ()):
-        if i in by_leaf:
+        if -1 - i in by_leaf:
             text, scheme = _header_leaf(name, value)
-            value = _spliced(text, by_leaf[i])
+            value = _spliced(text, by_leaf[-1 - i])
             value = scheme + (base64.b64encode(value.encode()).decode() if scheme == "Basic " else value)
         out.append((name, value))
     return out
@@ -333,12 +333,12 @@ def redact_bodies(bodies: DataFrame, key: str, rules=CORE, body_col: str = "body
     out = out.withColumn(names["headers"], headers)
     inputs = [body_col, *(names[n] for n in ("kind", "boundary", "encoding"))]
     search = _keyed(found_leaves(rules, literals), key)
-    out = _with(out, names["found"], f"struct<body:array<{SPAN}>,headers:array<{SPAN}>>", [*inputs, names["headers"]], search)
-    made = lambda part: _stand_ins(F.col(names["found"])[part], key, rules, visible)
-    out = out.withColumn("_made", F.struct(made("body").alias("body"), made("headers").alias("headers"))).drop(names["found"]).withColumnRenamed("_made", names["found"])
-    put = lambda b, kind, boundary, encoding, pairs, found: {"body": rebuilt(b, kind, boundary, encoding, found["body"]), "headers": _new_headers(pairs, found["headers"])}
+    out = _with(out, names["found"], f"array<{SPAN}>", [*inputs, names["headers"]], search)
+    out = out.withColumn(names["found"], _stand_ins(F.col(names["found"]), key, rules, visible))
+    put = lambda b, kind, boundary, encoding, pairs, found: {"body": rebuilt(b, kind, boundary, encoding, found), "headers": _new_headers(pairs, found)}
     out = _with(out, names["named"], "struct<body:binary,headers:map<string,string>>", [*inputs, names["headers"], names["found"]], put)
-    out = out.select("*", *[_redactions(F.col(names["found"])[part]).alias(name) for part, name in (("body", "redactions"), ("headers", "header_redactions"))], F.col(names["named"])["body"].alias("new_body"))
+    in_body, in_headers = F.filter(names["found"], lambda s: s["leaf"] >= 0), F.filter(names["found"], lambda s: s["leaf"] < 0)
+    out = out.select("*", _redactions(in_body).alias("redactions"), _redactions(in_headers).alias("header_redactions"), F.col(names["named"])["body"].alias("new_body"))
     fresh = F.col(names["named"])["headers"]
     changed = F.coalesce(F.col("new_body") != body, F.lit(False))
     # Not by transform_values: a Python column can't be read inside a lambda.
@@ -355,7 +355,7 @@ def redact_texts(docs: DataFrame, key: str, rules=CORE, text_col: str = "text",
 
     rules, found = tuple(rules), f"found_{uuid4().hex}"
     search = _keyed(found_leaves(rules, literals), key)
-    one = lambda text: search(None if text is None else text.encode(), "plain" if gate else "field", "", None, None)["body"]
+    one = lambda text: search(None if text is None else text.encode(), "plain" if gate else "field", "", None, None)
     out = _with(docs, found, f"array<{SPAN}>", [text_col], one)
     out = out.withColumn("redactions", _stand_ins(F.col(found), key, rules, visible)).drop(found)
     return out.withColumn("new_text", rewrite.splice(F.col(text_col), F.col("redactions")))
