@@ -63,10 +63,7 @@ def chunks(spark, sf, text):
     path = folder(spark, "chunks")
     rows.where("NOT is_last").write.parquet(f"{path}/a")
     rows.where("is_last").write.parquet(f"{path}/b")
-    schema = spark.read.parquet(f"{path}/a").schema
-    first = stateful.tail(spark, f"{path}/*", schema, "parquet")
-    return first
-
+    return stateful.tail(spark, f"{path}/*", spark.read.parquet(f"{path}/a").schema, "parquet")
 
 
 def _sse():
@@ -86,3 +83,23 @@ def stream_rolling_restore(spark, sf):
     out = drained(stateful.rolling_restore(chunks(spark, sf, F.col("text")), PAIRS), spark, "restored")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
     return out.groupBy("stream_id").agg(whole.alias("text"))
+
+
+#: What each request replaced, and the stored pairs of each scope, of which one has another original than the request's.
+OWN, STORED = ("that", "THAT!"), (("the ", "<the"), ("and", "&"), ("that", "wrong"))
+
+
+@query("""SELECT conv_id AS stream_id, replace(replace(replace(string_agg(text, '' ORDER BY turn), 'that', 'THAT!'), 'the ', '<the' || conv_id % 3), 'and', '&' || conv_id % 3) AS text
+FROM conversations GROUP BY conv_id""")
+def stream_dictionary_restore(spark, sf):
+    """Streams restored by the pairs of their request, and by a stored dictionary of their scope."""
+    pair = lambda fake, original: F.struct(F.lit(fake).alias("fake"), original.alias("original"))
+    scopes = table(spark, sf, "conversations").select((F.col("conv_id") % 3).alias("scope")).distinct()
+    stored = F.array(*[pair(f, F.concat(F.lit(o), F.col("scope").cast("string"))) for f, o in STORED])
+    path = folder(spark, "dictionary")
+    scopes.select("scope", F.inline(stored)).write.parquet(path)
+    made = chunks(spark, sf, F.col("text")).withColumn("scope", F.col("stream_id") % 3)
+    made = made.withColumn("pairs", F.when(F.col("seq") == 0, F.array(pair(OWN[0], F.lit(OWN[1])))))
+    out = drained(stateful.restore_with_dictionary(made, spark.read.parquet(path)), spark, "restored")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy("stream_id").agg(whole.alias("text"))
