@@ -160,3 +160,29 @@ def event_route_projection(spark, sf):
 def live_newest(spark, sf):
     """The live view keeps the newest thousand."""
     return history.newest(tables(spark, sf)[0]).select("id", "ts", "rule_id")
+
+
+def _stored(spark, sf):
+    """The history appended to a store in two batches, one of them again."""
+    from ..sources.stores import HistoryStore
+    from .streams import folder
+
+    rows, entries = tables(spark, sf)
+    full = history.with_secrets(rows, entries).withColumnRenamed("original", "raw").where("id IS NOT NULL").persist()
+    store = HistoryStore(spark, folder(spark, "history"))
+    for k in (0, 1, 1):
+        store.append(full.where(F.col("ts") % 2 == k), ("scan", k))
+    full.unpersist()
+    return store
+
+
+@query(HISTORY + """, f AS (SELECT * FROM secrets WHERE rule_id = 'email' AND ts BETWEEN 1704672000 AND 1705622399), p AS (SELECT * FROM f ORDER BY ts DESC, id DESC LIMIT 20)
+SELECT *, CASE WHEN (SELECT count(*) FROM p) = 20 THEN (SELECT ts || ':' || id FROM p ORDER BY ts, id LIMIT 1) END AS next_cursor FROM p""")
+def history_store_page(spark, sf):
+    """A page of a stored history: its days only, secrets looked up for its rows only."""
+    return _stored(spark, sf).page(20, rule_id="email", since=1704672000, until=1705622399)
+
+
+@query(HISTORY + "SELECT original, arg_max(rule_id, (ts, id)) AS rule_id, count(*) AS count, max(ts) AS last_seen FROM secrets WHERE ts >= 1705276800 GROUP BY 1")
+def history_store_groups(spark, sf):
+    return _stored(spark, sf).groups(since=1705276800).select("original", "rule_id", "count", "last_seen")

@@ -1,4 +1,4 @@
-"""Sinks and the function surface over the history: rule files, history tables, live events, performance dumps."""
+"""Sinks: rule files, live events, performance dumps. History and dictionary are in stores."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history
 from .rules import Rule
+from .stores import DictionaryStore, HistoryStore  # noqa: F401
 
 
 def rule_file(rules: list[Rule], path: str, attribution: str = "") -> None:
@@ -24,49 +25,6 @@ def rule_file(rules: list[Rule], path: str, attribution: str = "") -> None:
         f.write("\n".join(lines) + "\n")
 
 
-class HistoryStore:
-    """history and entries as Parquet tables, history partitioned by day, and the questions they answer."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def append(self, redactions: DataFrame) -> None:
-        """redactions: the history's columns, raw and fake. Two writers over one input."""
-        rows = redactions.persist()
-        day = F.to_date(F.timestamp_seconds("ts"))
-        rows.drop("raw", "fake").withColumn("day", day).write.mode("append").partitionBy("day").parquet(f"{self.root}/history")
-        rows.select(F.col("id").alias("redaction_id"), F.col("raw").alias("original"), "fake").write.mode("append").parquet(f"{self.root}/entries")
-        rows.unpersist()
-
-    def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/history").drop("day")
-
-    def entries(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/entries")
-
-    def summary(self, now: int) -> DataFrame:
-        return history.summary(self.rows(), now)
-
-    def categories(self) -> DataFrame:
-        return history.by_category(self.rows())
-
-    def rules(self, limit: int = 20) -> DataFrame:
-        return history.top_rules(self.rows(), limit)
-
-    def page(self, limit: int = 100, cursor: str | None = None, **wanted) -> DataFrame:
-        """wanted: category, subcategory, rule_id, request_id, since, until, q."""
-        return history.page(history.matching(history.with_secrets(self.rows(), self.entries()), **wanted), limit, cursor)
-
-    def groups(self, **wanted) -> DataFrame:
-        return history.sorted_groups(history.groups_by_original(history.matching(history.with_secrets(self.rows(), self.entries()), **wanted)))
-
-    def reset(self) -> None:
-        """Both tables empty, schemas kept."""
-        for name in ("history", "entries"):
-            table = self.spark.read.parquet(f"{self.root}/{name}")
-            table.limit(0).write.mode("overwrite").parquet(f"{self.root}/{name}")
-
-
 #: A live event: a request with its redactions, or a response.
 EVENT = "type string, id string, ts long, method string, uri string, status int, redacted array<struct<rule_id:string,category:string,subcategory:string,severity:string,original:string,fake_value:string>>"
 
@@ -92,38 +50,3 @@ def perf_dump(spans: DataFrame, path: str, seconds: int = 5, top: int = 20):
         found.withColumn("epoch", F.lit(epoch)).write.mode("append").json(path)
 
     return spans.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(write)
-
-
-class DictionaryStore:
-    """The dictionary of stand-ins as versions of a Parquet table: each change writes the next version whole, so readers of the
-    last one are not disturbed, and a job that fails leaves the last one as it was."""
-
-    SCHEMA = "fake string, original string, created_at long, updated_at long"
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _last(self) -> int:
-        """The highest version that was written to its end, or 0."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/_SUCCESS")
-        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        return max((int(f.getPath().getParent().getName()[1:]) for f in found or ()), default=0)
-
-    def snapshot(self) -> DataFrame:
-        n = self._last()
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/v{n}") if n else self.spark.createDataFrame([], self.SCHEMA)
-
-    def size(self) -> int:
-        return self.snapshot().count()
-
-    def upsert(self, batch: DataFrame, now: int) -> None:
-        """batch: fake, original."""
-        from ..operators.rewrite import upsert
-
-        upsert(self.snapshot(), batch, now).write.parquet(f"{self.root}/v{self._last() + 1}")
-
-    def reset(self) -> int:
-        """Empties the dictionary; returns how many stand-ins it had."""
-        n = self.size()
-        self.snapshot().limit(0).write.parquet(f"{self.root}/v{self._last() + 1}")
-        return n
