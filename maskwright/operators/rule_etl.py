@@ -43,13 +43,32 @@ NAME_WORDS = {
     ),
 }
 
-#: What the id of a rule tells: prefix, category, subcategory. The first that fits counts.
+#: Category and subcategory of a rule by its id. All other ids are (secret, generic).
+ID_CATEGORIES = {
+    ("secret", "aws"): ("aws-amazon-bedrock-api-key-long-lived", "aws-amazon-bedrock-api-key-short-lived"),
+    ("secret", "anthropic"): ("anthropic-admin-api-key",),
+    ("secret", "openai"): ("openai-api-key",),
+    ("secret", "github"): ("github-fine-grained-pat",),
+    ("secret", "gitlab"): (
+        "gitlab-ptt", "gitlab-rrt", "gitlab-pat-routable", "gitlab-cicd-job-token", "gitlab-deploy-token", "gitlab-feed-token", "gitlab-incoming-mail-token",
+        "gitlab-kubernetes-agent-token", "gitlab-oauth-app-secret", "gitlab-runner-authentication-token", "gitlab-scim-token", "gitlab-session-cookie",
+    ),
+    ("secret", "stripe"): ("stripe-access-token",),
+    ("secret", "slack"): (
+        "slack-app-token", "slack-config-access-token", "slack-config-refresh-token", "slack-legacy-bot-token", "slack-legacy-token", "slack-legacy-workspace-token",
+        "slack-user-token", "slack-webhook-url",
+    ),
+    ("secret", "jwt"): ("jwt-base64",),
+    ("secret", "private-key"): ("private-key", "pkcs12-file", "age-secret-key"),
+    ("secret", "sendgrid"): ("sendgrid-api-token",),
+    ("secret", "npm"): ("npm-access-token", "npm"),
+    ("secret", "pypi"): ("pypi-upload-token", "pypi_token-test"),
+    ("secret", "telegram"): ("telegram-bot-api-token",),
+    ("secret", "db-conn"): ("sidekiq-sensitive-url", "Cloudant URL"),
+    ("infra", "generic"): ("kubernetes-secret-yaml",),
+}
+#: The same by the beginning of an id.
 ID_PREFIXES = (
-    ("aws-amazon-bedrock-", "secret", "aws"), ("anthropic-", "secret", "anthropic"), ("openai-", "secret", "openai"), ("github-fine-grained-pat", "secret", "github"),
-    ("gitlab-", "secret", "gitlab"), ("stripe-", "secret", "stripe"), ("slack-", "secret", "slack"), ("jwt-base64", "secret", "jwt"),
-    ("private-key", "secret", "private-key"), ("pkcs12-file", "secret", "private-key"), ("age-secret-key", "secret", "private-key"), ("sendgrid-", "secret", "sendgrid"),
-    ("npm", "secret", "npm"), ("pypi", "secret", "pypi"), ("telegram-", "secret", "telegram"), ("kubernetes-secret-yaml", "infra", "generic"),
-    ("sidekiq-sensitive-url", "secret", "db-conn"), ("Cloudant URL", "secret", "db-conn"),
     ("np.aws.", "secret", "aws"), ("np.anthropic.", "secret", "anthropic"), ("np.github.", "secret", "github"), ("np.gitlab.", "secret", "gitlab"),
     ("np.slack.", "secret", "slack"), ("np.jwt.", "secret", "jwt"), ("np.stripe.", "secret", "stripe"), ("np.openai.", "secret", "openai"),
     ("np.postgres.", "secret", "db-conn"), ("np.mongo.", "secret", "db-conn"), ("np.odbc.", "secret", "db-conn"), ("np.http.", "infra", "url-cred"), ("np.pem.", "secret", "private-key"),
@@ -86,11 +105,13 @@ def subcategory_of_name(name: Column, category: Column) -> Column:
 
 
 def category_of_id(rule_id: Column) -> Column:
-    """struct(category, subcategory) by the id's prefix, (secret, generic) for all others."""
+    """struct(category, subcategory) of an id, else by its prefix, else (secret, generic)."""
     pair = lambda c, s: F.struct(F.lit(c).alias("category"), F.lit(s).alias("subcategory"))
-    out = None
+    out = F.when(rule_id.isNull(), pair("secret", "generic"))
+    for (c, s), ids in ID_CATEGORIES.items():
+        out = out.when(rule_id.isin(*ids), pair(c, s))
     for prefix, c, s in ID_PREFIXES:
-        out = F.when(rule_id.startswith(prefix), pair(c, s)) if out is None else out.when(rule_id.startswith(prefix), pair(c, s))
+        out = out.when(rule_id.startswith(prefix), pair(c, s))
     return out.otherwise(pair("secret", "generic"))
 
 

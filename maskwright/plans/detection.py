@@ -223,12 +223,3 @@ def miss_top_rules(spark, sf):
 def verdict_counts(spark, sf):
     verdict = F.when(F.col("toxic") == 1, "TRUE_MISS").when(F.col("quality") == 1, "FALSE_POSITIVE").otherwise("AMBIGUOUS")
     return evaluate.verdict_counts(table(spark, sf, "labels").select(verdict.alias("verdict")))
-
-
-@query("""WITH v(rule_id, raw) AS (VALUES ('x.email', 'a@example.com'), ('x.email', 'a@mail.example.org.uk'), ('x.ipv4', '203.0.113.9'), ('x.ipv4', '8.8.8.8'), ('x.ssn', '912-01-0001'), ('x.ssn', '123-45-6789'), ('x.jwt', 'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.e.s'), ('other', '203.0.113.9'))
-SELECT rule_id, raw, (contains(rule_id, 'email') AND regexp_matches(raw, '@example\\.(com|org|net)$')) OR (contains(rule_id, 'ipv4') AND regexp_matches(raw, '^(192\\.0\\.2|198\\.51\\.100|203\\.0\\.113)\\.')) OR
- (contains(rule_id, 'ssn') AND regexp_matches(raw, '^(9[0-9]{2}|000)-')) OR (contains(rule_id, 'jwt') AND starts_with(raw, 'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.')) AS fake FROM v""")
-def known_fakes(spark, sf):
-    rows = [("x.email", "a@example.com"), ("x.email", "a@mail.example.org.uk"), ("x.ipv4", "203.0.113.9"), ("x.ipv4", "8.8.8.8"), ("x.ssn", "912-01-0001"), ("x.ssn", "123-45-6789"), ("x.jwt", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.e.s"), ("other", "203.0.113.9")]
-    df = spark.createDataFrame(rows, "rule_id string, raw string")
-    return df.select("rule_id", "raw", evaluate.known_fake(F.col("rule_id"), F.col("raw")).alias("fake"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fakes
 from ..functions.fpe import fpe_numeric as ff1
 from ..functions.scalar import iban_check_digits, iban_valid, luhn_digit
-from ..operators import bodies, detect, rewrite
+from ..operators import bodies, detect, evaluate, rewrite
 from ..session import table
 from ..sources.rules import CORE
 from . import sql
@@ -64,6 +64,28 @@ def redact_phone_visible(spark, sf):
     return found.select("doc_id", "start", fakes.fake("faker_phone", KEY, F.col("raw"), visible=True).alias("fake"))
 
 
+VISIBLE = {
+    "faker_email": f"{sql.chars(seed('visible-faker_email'), '6', fakes.LOWER)} || '@example.com'",
+    "faker_ssn": f"'000-00-' || lpad({sql.number(seed('visible-faker_ssn'), 0, 10000)}::VARCHAR, 4, '0')",
+    "faker_ipv4": f"'203.0.113.' || {sql.number(seed('visible-faker_ipv4'), 0, 256)}",
+    "faker_iban": "'GB00MASKED000000000000'",
+    "faker_aws_key": f"'AKIAMASKED' || {sql.chars(seed('visible-faker_aws_key'), '10', fakes.ALNUM_UPPER)}",
+    "faker_github_pat": f"'ghp_MASKED' || {sql.chars(seed('visible-faker_github_pat'), '30', fakes.B62)}",
+    "faker_api_key": sql.chars(seed("visible-faker_api_key"), "32", fakes.HEX),
+    "faker_cc_luhn": f"(SELECT b || ((10 - {DIGIT_SUM.format(b='b')} % 10) % 10)::BIGINT FROM (SELECT '400000' || {sql.chars(seed('visible-faker_cc_luhn'), '9', fakes.DIGITS)} AS b))",
+    "faker_db_conn": "'postgresql://masked:masked@masked-db.invalid:5432/dbname'",
+    "faker_url_cred": "'https://masked:masked@host/' || raw",
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"{e} AS {k}" for k, e in VISIBLE.items()) + " FROM (SELECT doc_id, sha256(doc_id::VARCHAR) AS raw FROM documents)")
+def redact_visible_kinds(spark, sf):
+    """Every kind of stand-in that a reader recognises at once."""
+    raw = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
+    rows = table(spark, sf, "documents").select("doc_id", raw.alias("raw"), F.concat(F.lit("https://u:p@host/"), raw).alias("url"))
+    return rows.select("doc_id", *[fakes.fake(k, KEY, F.col("url" if k == "faker_url_cred" else "raw"), visible=True).alias(k) for k in VISIBLE])
+
+
 def planted(spark, sf):
     """Values of the kinds that the tables lack, made from ids."""
     h = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
@@ -121,13 +143,26 @@ def fake_tokens(spark, sf):
     return p.select("doc_id", fakes.jwt(KEY, F.col("api")).alias("fake_jwt"), fakes.connection(KEY, url).alias("fake_db"), fakes.url_credentials(KEY, url).alias("fake_url"))
 
 
-CONNECTIONS = ["jdbc:postgresql://h/db", "(DESCRIPTION=(ADDRESS=(HOST=h)))", "mysql://u:p@h/db", "Driver={x};Server=h;Uid=u", "Server=h;Password=p", "host=h user=u", "nothing", "host=h"]
+#: Forms of connection strings, and what each is by its grammar; {n} and {p} are a supplier's name and balance.
+CONNECTIONS = (
+    ("jdbc:postgresql://{n}/db", "jdbc"), ("(DESCRIPTION=(ADDRESS=(HOST={n}))", "oracle"), ("mysql://u:{p}@{n}/db", "url"), ("Driver={x};Server={n};Uid=u", "odbc"), ("Server={n};Password={p}", "ado"),
+    ("host={n} user=u password={p}", "libpq"), ("{n}", "unknown"), ("host={n}", "unknown"),
+)
+
+
+def _form(template: str):
+    parts = F.lit(template)
+    for mark, column in (("{n}", F.replace(F.col("s_name"), F.lit(" "), F.lit("-"))), ("{p}", F.col("s_acctbal").cast("string"))):
+        parts = F.replace(parts, F.lit(mark), column)
+    return parts
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(c)}, {sql.quoted(k)})" for c, k in zip(CONNECTIONS, ("jdbc", "oracle", "url", "odbc", "ado", "libpq", "unknown", "unknown"))) + ") v(connection, kind)")
+@query("SELECT s_suppkey, [" + ", ".join(sql.quoted(k) for _, k in CONNECTIONS) + f"][s_suppkey % {len(CONNECTIONS)} + 1] AS kind FROM supplier")
 def connection_kinds(spark, sf):
-    df = spark.createDataFrame([(c,) for c in CONNECTIONS], "connection string")
-    return df.select("connection", fakes.classify_connection(F.col("connection")).alias("kind"))
+    """Strings made of suppliers' columns by form; the kind is known from the form."""
+    at = F.col("s_suppkey") % len(CONNECTIONS)
+    made = F.coalesce(*[F.when(at == i, _form(t)) for i, (t, _) in enumerate(CONNECTIONS)])
+    return table(spark, sf, "supplier").select("s_suppkey", fakes.classify_connection(made).alias("kind"))
 
 
 @query()
@@ -178,6 +213,18 @@ def rewrite_documents(spark, sf):
     return out.select("doc_id", F.sha2(F.col("new_text").cast("binary"), 256).alias("new_sha256"), F.char_length("new_text").cast("long").alias("new_length"), F.size("redactions").alias("n_redacted"))
 
 
+FAKE_SHAPES = "CASE rule_id WHEN 'email' THEN raw LIKE '%@example.com' OR raw LIKE '%@example.org' OR raw LIKE '%@example.net' WHEN 'ipv4' THEN raw LIKE '192.0.2.%' OR raw LIKE '198.51.100.%' OR raw LIKE '203.0.113.%' ELSE false END"
+
+
+@query(REDACTED + f", s AS ({sql.hits(source='new', text_col='new_text')}) SELECT rule_id, count(*) AS found, count(*) FILTER ({FAKE_SHAPES}) AS fakes, count(*) FILTER (NOT ({FAKE_SHAPES})) AS missed FROM s GROUP BY 1")
+def known_fakes(spark, sf):
+    """Redacted texts scanned again: what is found there, our own stand-ins, and what was missed."""
+    out = bodies.redact_texts(table(spark, sf, "documents").select("doc_id", "text"), KEY)
+    found = detect.scan_many(out, CORE, gate=False, text_col="new_text")
+    fake = evaluate.known_fake(F.col("rule_id"), F.col("raw"))
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(fake).alias("fakes"), F.count_if(~fake).alias("missed"))
+
+
 @query(REDACTED + " SELECT doc_id, sha256(new_text) AS new_sha256, n::INT AS n_redacted FROM new")
 def rewrite_by_spans(spark, sf):
     """The same from a table of spans, which are grouped by text and joined."""

@@ -10,60 +10,78 @@ from ..session import table
 from . import sql
 from .registry import query
 
-NAMES = ["AWS API Key", "aws  api-key", "Stripe (live)", "GitHub Token", "Visa Credit Card", "E-mail", "Émile's Key", "--x--", "IBAN number", "ssn_number - 3", "Slack Webhook", "aws-api-key", "Telegram Bot"]
-VALUES = ", ".join(f"({i}, {sql.quoted(n)}, {sql.quoted('pii' if i in (4, 5, 8, 9) else 'secret')})" for i, n in enumerate(NAMES))
-SLUG = "regexp_replace(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+SLUG = "regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-def names(spark):
-    return spark.createDataFrame([(i, n, "pii" if i in (4, 5, 8, 9) else "secret") for i, n in enumerate(NAMES)], "pos int, name string, category string")
+def rows(values) -> str:
+    """SQL VALUES of tuples of strings and numbers."""
+    return "(VALUES " + ", ".join("(" + ", ".join(sql.quoted(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in values) + ")"
 
 
-@query(f"SELECT pos, {SLUG} AS slug FROM (VALUES {VALUES}) v(pos, name, category)", "slugify")
+def pick(options, i):
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (i + 1).cast("int"))
+
+
+def listed(options) -> str:
+    return "[" + ", ".join(map(sql.quoted, options)) + "]"
+
+
+@query(f"SELECT conv_id, turn, sha256({SLUG.format('text')}) AS slug_sha256 FROM conversations", "slugify")
 def slugs(spark, sf):
-    return names(spark).select("pos", slugify("name").alias("slug"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(slugify("text").cast("binary"), 256).alias("slug_sha256"))
 
 
-@query(f"SELECT pos, 'spdb.' || slug || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END AS id FROM (SELECT pos, slug, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM (SELECT pos, {SLUG} AS slug FROM (VALUES {VALUES}) v(pos, name, category)))")
+@query(f"SELECT pos, 'spdb.' || slug || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END AS id FROM (SELECT pos, slug, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM (SELECT p_partkey AS pos, {SLUG.format('p_type')} AS slug FROM part))")
 def list_rule_ids(spark, sf):
-    return rule_etl.list_ids(names(spark)).select("pos", "id")
+    return rule_etl.list_ids(table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_type").alias("name"))).select("pos", "id")
 
 
-CASES = " ".join(
-    f"WHEN category {'=' if kind == 'pii' else '<>'} 'pii' AND ({' OR '.join(f'contains(lower(name), {sql.quoted(w)})' for w in ws)}) THEN {sql.quoted(sub)}" for kind, t in rule_etl.NAME_WORDS.items() for sub, ws in t
-)
+#: Words for names of list entries: all that count, and others.
+WORDS = [w.title() for t in rule_etl.NAME_WORDS.values() for _, ws in t for w in ws] + ["Key", "Card", "Token of"]
+WORD_TABLE = rows([(kind, k, sub, w) for kind, t in rule_etl.NAME_WORDS.items() for k, (sub, ws) in enumerate(t) for w in ws])
 
 
-@query(f"SELECT pos, CASE {CASES} ELSE 'generic' END AS subcategory FROM (VALUES {VALUES}) v(pos, name, category)")
+@query(f"""WITH n AS (SELECT p_partkey AS pos, {listed(WORDS)}[p_partkey % {len(WORDS)} + 1] || ' ' || p_type || ' ' || {listed(WORDS)}[p_partkey * 7 % {len(WORDS)} + 1] AS name, CASE WHEN p_size % 2 = 0 THEN 'pii' ELSE 'secret' END AS category FROM part)
+SELECT pos, coalesce(arg_min(sub, ord), 'generic') AS subcategory FROM n LEFT JOIN {WORD_TABLE} w(kind, ord, sub, word) ON kind = category AND contains(lower(name), word) GROUP BY 1""")
 def name_subcategory(spark, sf):
-    return names(spark).select("pos", rule_etl.subcategory_of_name(F.col("name"), F.col("category")).alias("subcategory"))
+    k = F.col("p_partkey")
+    name = F.concat_ws(" ", pick(WORDS, k % len(WORDS)), "p_type", pick(WORDS, k * 7 % len(WORDS)))
+    category = F.when(F.col("p_size") % 2 == 0, "pii").otherwise("secret")
+    return table(spark, sf, "part").select(k.alias("pos"), rule_etl.subcategory_of_name(name, category).alias("subcategory"))
 
 
-PAIRS = sorted(rule_etl.REPLACEMENTS) + [("secret", "unknown"), ("pii", "aws")]
+CATEGORIES, SUBCATEGORIES = ("secret", "pii", "infra"), sorted({s for _, s in rule_etl.REPLACEMENTS} | {"unknown"})
 
 
-@query("SELECT category, subcategory, coalesce(r, 'generic_random') AS replacement_type FROM (VALUES " + ", ".join(f"('{c}', '{s}', " + (f"'{r}'" if (r := rule_etl.REPLACEMENTS.get((c, s))) else "NULL") + ")" for c, s in PAIRS) + ") v(category, subcategory, r)")
+@query(f"""WITH r AS (SELECT p_partkey AS pos, {listed(CATEGORIES)}[p_size % 3 + 1] AS category, {listed(SUBCATEGORIES)}[p_partkey % {len(SUBCATEGORIES)} + 1] AS subcategory FROM part)
+SELECT pos, r.category, r.subcategory, coalesce(replacement, 'generic_random') AS replacement_type FROM r
+LEFT JOIN {rows((c, s, t) for (c, s), t in rule_etl.REPLACEMENTS.items())} k(category, subcategory, replacement) ON r.category = k.category AND r.subcategory = k.subcategory""")
 def derive_replacement_type(spark, sf):
-    df = spark.createDataFrame(PAIRS, "category string, subcategory string")
-    return df.select("category", "subcategory", rule_etl.replacement_type(F.col("category"), F.col("subcategory")).alias("replacement_type"))
+    made = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), pick(CATEGORIES, F.col("p_size") % 3).alias("category"), pick(SUBCATEGORIES, F.col("p_partkey") % len(SUBCATEGORIES)).alias("subcategory"))
+    return made.withColumn("replacement_type", rule_etl.replacement_type(F.col("category"), F.col("subcategory")))
 
 
-IDS = ["aws-amazon-bedrock-api-key-long-lived", "gitlab-ptt", "np.github.7", "np.http.1", "kubernetes-secret-yaml", "heroku-api-key", "slack-user-token", "sidekiq-sensitive-url", "np.zzz.1"]
+#: Beginnings of ids: known ones, prefixes, and ones that are neither.
+HEADS = [i for ids in rule_etl.ID_CATEGORIES.values() for i in ids] + [p for p, _, _ in rule_etl.ID_PREFIXES] + ["np.zzz.", "openai-", "gitlab-", "heroku-api-key"]
+KNOWN_IDS = rows((i, c, s) for (c, s), ids in rule_etl.ID_CATEGORIES.items() for i in ids)
 
 
-@query("SELECT id, CASE " + " ".join(f"WHEN starts_with(id, '{p}') THEN '{c}'" for p, c, _ in rule_etl.ID_PREFIXES) + " ELSE 'secret' END AS category, CASE " + " ".join(f"WHEN starts_with(id, '{p}') THEN '{s}'" for p, _, s in rule_etl.ID_PREFIXES) + " ELSE 'generic' END AS subcategory FROM (VALUES " + ", ".join(f"('{i}')" for i in IDS) + ") v(id)")
+@query(f"""WITH i AS (SELECT p_partkey AS pos, {listed(HEADS)}[p_partkey % {len(HEADS)} + 1] || CASE WHEN p_partkey // {len(HEADS)} % 2 = 0 THEN '' ELSE p_size::VARCHAR END AS id FROM part)
+SELECT pos, i.id, coalesce(k.category, p.category, 'secret') AS category, coalesce(k.subcategory, p.subcategory, 'generic') AS subcategory FROM i
+LEFT JOIN {KNOWN_IDS} k(id, category, subcategory) ON i.id = k.id LEFT JOIN {rows(rule_etl.ID_PREFIXES)} p(prefix, category, subcategory) ON left(i.id, length(prefix)) = prefix""")
 def rule_id_lookup(spark, sf):
-    df = spark.createDataFrame([(i,) for i in IDS], "id string")
-    return df.select("id", rule_etl.category_of_id(F.col("id")).alias("c")).select("id", "c.category", "c.subcategory")
-
-
-PATTERNS = ["AKIA[0-9]{16}", "(?i)password=.+", "[0-9]{9}", "xoxb-[0-9]+", "key: .*"]
+    k = F.col("p_partkey")
+    tail = F.when(F.floor(k / len(HEADS)) % 2 == 0, "").otherwise(F.col("p_size").cast("string"))
+    made = table(spark, sf, "part").select(k.alias("pos"), F.concat(pick(HEADS, k % len(HEADS)), tail).alias("id"))
+    return made.select("pos", "id", rule_etl.category_of_id(F.col("id")).alias("c")).select("pos", "id", "c.category", "c.subcategory")
 
 
-@query("SELECT regex, CASE WHEN " + " OR ".join(f"contains(regex, {sql.quoted(w)})" for w in rule_etl.VENDOR_LITERALS) + " THEN 'high' ELSE 'medium' END AS confidence FROM (VALUES " + ", ".join(f"({sql.quoted(p)})" for p in PATTERNS) + ") v(regex)")
+@query(f"""SELECT doc_id, CASE WHEN count(word) > 0 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN count(word) > 0 THEN 'high' ELSE 'medium' END AS severity
+FROM documents LEFT JOIN {rows((w,) for w in rule_etl.VENDOR_LITERALS)} v(word) ON instr(text, word) > 0 GROUP BY 1""")
 def infer_confidence(spark, sf):
-    df = spark.createDataFrame([(p,) for p in PATTERNS], "regex string")
-    return df.select("regex", rule_etl.confidence(F.col("regex")).alias("confidence"))
+    """Whether a text, taken as a pattern, has a vendor's literal."""
+    docs = table(spark, sf, "documents").select("doc_id", rule_etl.confidence(F.coalesce("text", F.lit(""))).alias("confidence"))
+    return docs.withColumn("severity", rule_etl.severity(F.col("confidence")))
 
 
 #: A rule list of every part: id, source, subcategory, position.
@@ -72,7 +90,6 @@ RULES = """SELECT 'r' || (p_partkey % 900) AS id, ['alpha', 'beta', 'gamma', 'ha
 
 def rules(spark, sf):
     k = F.col("p_partkey")
-    pick = lambda options, i: F.element_at(F.array(*[F.lit(o) for o in options]), (i + 1).cast("int"))
     return table(spark, sf, "part").select(
         F.concat(F.lit("r"), (k % 900).cast("string")).alias("id"), pick(("alpha", "beta", "gamma", "hand-authored"), k % 17 % 4).alias("source"),
         F.when(k % 5 == 0, "aws").otherwise("generic").alias("subcategory"), k.alias("pos"), F.concat(pick(("stripe", "okta", "x", "heroku"), k % 4), k.cast("string")).alias("vendor"),
