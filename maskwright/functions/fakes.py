@@ -37,20 +37,29 @@ class Stream:
     def __init__(self, key: str, kind: str, original: Column):
         self.seed = F.concat(F.lit(f"{key}|{kind}|"), original)
 
+    def blocks(self, n: Column | int, salt: str = "") -> Column:
+        """The stream in blocks of 32 bytes, as many as n bytes need."""
+        last = F.ceil(F.greatest(F.lit(n) if isinstance(n, int) else n, F.lit(1)) / 32).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.sha2(F.concat(self.seed, F.lit(f":{salt}:"), k.cast("string")).cast("binary"), 256))
+
     def hex(self, n: Column | int, salt: str = "") -> Column:
-        blocks = F.sequence(F.lit(0), F.ceil(F.greatest(F.lit(n) if isinstance(n, int) else n, F.lit(1)) / 32).cast("int") - 1)
-        return F.array_join(F.transform(blocks, lambda k: F.sha2(F.concat(self.seed, F.lit(f":{salt}:"), k.cast("string")).cast("binary"), 256)), "")
+        return F.array_join(self.blocks(n, salt), "")
 
     @staticmethod
     def byte(stream: Column, i: Column) -> Column:
         return F.conv(F.substr(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
 
+    @staticmethod
+    def _inside(n: Column, k: Column) -> Column:
+        """Places in block k of n characters."""
+        return F.sequence(F.lit(0), F.least(F.greatest(n, F.lit(1)) - 1 - 32 * k, F.lit(31)).cast("int"))
+
     def chars(self, n: Column | int, alphabet: str | Column, salt: str = "") -> Column:
-        """n characters of the alphabet."""
+        """n characters of the alphabet, drawn block by block: a place in a long string is found by counting from its start."""
         n = F.lit(n) if isinstance(n, int) else n
         letters = F.lit(alphabet) if isinstance(alphabet, str) else alphabet
-        stream = self.hex(n, salt)
-        drawn = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substr(letters, self.byte(stream, i) % F.char_length(letters) + 1, F.lit(1)))
+        one = lambda block, j: F.substr(letters, self.byte(block, j) % F.char_length(letters) + 1, F.lit(1))
+        drawn = F.transform(self.blocks(n, salt), lambda block, k: F.array_join(F.transform(self._inside(n, k), lambda j: one(block, j)), ""))
         return F.when(n > 0, F.array_join(drawn, "")).otherwise("")
 
     def number(self, low: int, high: int, salt: str = "n") -> Column:
@@ -61,13 +70,15 @@ class Stream:
         """The characters that match pattern replaced, all others kept in place."""
         letters = F.lit(alphabet) if isinstance(alphabet, str) else alphabet
         n = F.char_length(original)
-        stream = self.hex(n)
 
-        def one(i):
-            c = F.substr(original, i + 1, F.lit(1))
-            return F.when(c.rlike(pattern), F.substr(letters, self.byte(stream, i) % F.char_length(letters) + 1, F.lit(1))).otherwise(c)
+        def part(block, k):
+            def one(piece, j):
+                c = F.substr(piece, j + 1, F.lit(1))
+                return F.when(c.rlike(pattern), F.substr(letters, self.byte(block, j) % F.char_length(letters) + 1, F.lit(1))).otherwise(c)
 
-        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one), "")).otherwise("")
+            return bound(F.substr(original, 32 * k + 1, F.lit(32)), lambda piece: F.array_join(F.transform(self._inside(n, k), lambda j: one(piece, j)), ""))
+
+        return F.when(n > 0, F.array_join(F.transform(self.blocks(n), part), "")).otherwise("")
 
 
 def pick(options, index: Column) -> Column:
@@ -169,15 +180,17 @@ def generic(key: str, c: Column) -> Column:
     return Stream(key, "generic", c).chars(F.octet_length(c), alphabet)
 
 
-_URL = r"^([A-Za-z][A-Za-z0-9+.-]*://)(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+#: Scheme, user and password up to the last @ of the authority, host and port, path, query, fragment.
+_SCHEME, _WHO = r"[A-Za-z][A-Za-z0-9+.-]*://", r"(?:[^/?#]*@)?"
+_URL = rf"^({_SCHEME}){_WHO}([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
 def url_credentials(key: str, c: Column) -> Column:
     """User and password of a URL; what isn't one gets a generic stand-in."""
     s = Stream(key, "url", c)
     who = F.concat(s.chars(8, LOWER, "u"), F.lit(":"), s.chars(20, ALNUM, "p"), F.lit("@"))
-    rest = F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?", "")
-    return F.when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"), F.concat(F.regexp_extract(c, _URL, 1), who, rest)).otherwise(generic(key, c))
+    rest = F.regexp_replace(c, f"^{_SCHEME}{_WHO}", "")
+    return F.when(c.rlike(f"^{_SCHEME}[^/?#]"), F.concat(F.regexp_extract(c, _URL, 1), who, rest)).otherwise(generic(key, c))
 
 
 def classify_connection(c: Column) -> Column:
@@ -196,25 +209,37 @@ def classify_connection(c: Column) -> Column:
     )
 
 
-def _pairs(key: str, c: Column, separator: str, joiner: str, roles: dict[str, str]) -> Column:
-    """key=value parts with the values of known keys replaced, by role: secret, name, host."""
+def _quoted(q: str, closed: str, escape: str = "") -> str:
+    """A value between quotes, in which a doubled closing quote, or what follows the escape, counts as text."""
+    return rf"{q}(?:[^{closed}{escape}]++|{escape}.)*+{closed}" if escape else rf"{q}(?:[^{closed}]++|{closed}{closed})*+{closed}"
+
+
+#: name=value parts. Quotes count where a value begins; between them separators are text. What isn't closed ends at the next separator.
+_ADO_PART = r"[^=;]*+(?:=\s*+(?:(?:" + "|".join((_quoted('"', '"'), _quoted("'", "'"), _quoted(r"\{", r"\}"))) + r")\s*+(?=;|$)|[^;]*+))?+"
+_LIBPQ_PART = r"[^\s='\"]++\s*+=\s*+(?:" + _quoted("'", "'", r"\\") + r"(?=\s|$)|(?:[^\s\\]++|\\.)*+)|\S++"
+
+
+def _pairs(key: str, c: Column, part: str, joiner: str, roles: dict[str, str]) -> Column:
+    """name=value parts with the values of known names replaced, by role: secret, name, host. Quotes around a value stay."""
     role = F.create_map(*[F.lit(x) for k, r in roles.items() for x in (k, r)])
     s = Stream(key, "pairs", c)
 
-    def one(part, i):
-        t = F.trim(part)
-        name, value = F.trim(F.substring_index(t, "=", 1)), F.trim(F.regexp_replace(t, "^[^=]*=", ""))
+    def one(t, i):
+        name, value = F.trim(F.substring_index(t, "=", 1)), F.trim(F.regexp_replace(t, "(?s)^[^=]*=", ""))
         own = Stream(key, "pair", F.concat(s.seed, F.lit("|"), i.cast("string")))
         kind = F.try_element_at(role, F.lower(name))
+        is_quoted = value.rlike(r"""(?s)^(?:".*"|'.*'|\{.*\})$""") & (F.length(value) > 1)
+        size = F.octet_length(value) - F.when(is_quoted, 2).otherwise(0)
         new = (
-            F.when(kind == "secret", own.chars(F.greatest(F.octet_length(value), F.lit(12)), ALNUM))
-            .when(kind == "name", own.chars(F.greatest(F.octet_length(value), F.lit(6)), LOWER))
+            F.when(kind == "secret", own.chars(F.greatest(size, F.lit(12)), ALNUM))
+            .when(kind == "name", own.chars(F.greatest(size, F.lit(6)), LOWER))
             .when(kind == "host", F.concat(own.chars(10, LOWER), F.lit(".example.com")))
-            .otherwise(value)
         )
-        return F.when(F.contains(t, F.lit("=")), F.concat(name, F.lit("="), new)).otherwise(t)
+        shown = F.when(is_quoted, F.concat(F.left(value, F.lit(1)), new, F.right(value, F.lit(1)))).otherwise(new)
+        return F.when(F.contains(t, F.lit("=")), F.concat(name, F.lit("="), F.coalesce(shown, value))).otherwise(t)
 
-    return F.array_join(F.filter(F.transform(F.split(c, separator), one), lambda p: p != ""), joiner)
+    parts = F.transform(F.regexp_extract_all(c, F.lit(f"(?s){part}"), F.lit(0)), F.trim)
+    return F.array_join(F.transform(F.filter(parts, lambda t: t != ""), one), joiner)
 
 
 _ADO = {"password": "secret", "pwd": "secret", "pass": "secret"} | {k: "name" for k in ("user id", "uid", "user", "username", "userid", "database", "initial catalog")} | {
@@ -227,29 +252,39 @@ def connection(key: str, c: Column) -> Column:
     """A connection string with user, password, host and database replaced, by its grammar."""
     s = Stream(key, "db", c)
 
+    def parameter(pair):
+        """A parameter of a query; its name may be percent-encoded."""
+        raw = F.substring_index(pair, "=", 1)
+        name = F.lower(F.coalesce(F.try_url_decode(raw), raw))
+        new = F.when(name.isin("password", "pwd", "pass"), s.chars(20, ALNUM, "q")).when(name.isin("username", "user", "uid"), s.chars(8, LOWER, "r"))
+        return F.when(F.contains(pair, F.lit("=")) & new.isNotNull(), F.concat(raw, F.lit("="), new)).otherwise(pair)
+
     def url(u: Column) -> Column:
-        scheme, path = F.regexp_extract(u, _URL, 1), F.regexp_extract(u, _URL, 3)
+        """What has no numeric port, as when a password holds a bare slash, isn't taken apart but replaced whole."""
+        who = F.concat(s.chars(8, LOWER, "u"), F.lit(":"), s.chars(20, ALNUM, "p"), F.lit("@"), s.chars(10, LOWER, "h"), F.lit(".example.com"))
         port = F.regexp_extract(F.regexp_extract(u, _URL, 2), r"(:[0-9]+)$", 1)
         query = F.regexp_extract(u, _URL, 4)
-        query = F.regexp_replace(query, r"(?i)([?&](?:password|pwd|pass)=)[^&#]*", F.concat(F.lit("$1"), s.chars(20, ALNUM, "q")))
-        query = F.regexp_replace(query, r"(?i)([?&](?:username|user|uid)=)[^&#]*", F.concat(F.lit("$1"), s.chars(8, LOWER, "r")))
-        return F.concat(scheme, s.chars(8, LOWER, "u"), F.lit(":"), s.chars(20, ALNUM, "p"), F.lit("@"), s.chars(10, LOWER, "h"), F.lit(".example.com"), port, path, query, F.regexp_extract(u, _URL, 5))
+        query = F.when(F.length(query) > 1, F.concat(F.lit("?"), F.array_join(F.transform(F.split(F.substr(query, F.lit(2)), "&"), parameter), "&"))).otherwise(query)
+        whole = F.concat(F.regexp_extract(u, _URL, 1), who, port, F.regexp_extract(u, _URL, 3), query, F.regexp_extract(u, _URL, 5))
+        readable = u.rlike(rf"^{_SCHEME}{_WHO}(?:\[[^\]/?#]*\]|[^:/?#]*)(?::[0-9]*)?(?:[/?#]|$)") & ~F.contains(F.regexp_extract(u, _URL, 3), F.lit("@"))
+        return F.when(readable, whole).otherwise(F.concat(F.lit("postgresql://"), who, F.lit(":5432/"), s.chars(8, LOWER, "d")))
 
     def ado(x: Column) -> Column:
-        out = _pairs(key, x, ";", ";", _ADO)
+        out = _pairs(key, x, _ADO_PART, ";", _ADO)
         return F.when(F.rtrim(x).endswith(";"), F.concat(out, F.lit(";"))).otherwise(out)
 
     rest = F.regexp_replace(c, "^(?:jdbc:)+", "")
     jdbc = F.when(F.contains(rest, F.lit("://")), url(rest)).when(F.contains(rest, F.lit(";")) & F.contains(rest, F.lit("=")), ado(rest)).otherwise(generic(key, rest))
-    oracle = F.regexp_replace(c, r"(?i)(HOST\s*=\s*)[^)]+", F.concat(F.lit("$1"), s.chars(10, LOWER, "h"), F.lit(".example.com")))
-    oracle = F.regexp_replace(oracle, r"(?i)(USER(?:_ID|NAME)?\s*=\s*)[^)]+", F.concat(F.lit("$1"), s.chars(8, LOWER, "u")))
-    oracle = F.regexp_replace(oracle, r"(?i)(PASSWORD\s*=\s*)[^)]+", F.concat(F.lit("$1"), s.chars(16, ALNUM, "p")))
+    value = '("[^"]*"|[^)]+)'
+    oracle = F.regexp_replace(c, rf"(?i)(HOST\s*=\s*){value}", F.concat(F.lit("$1"), s.chars(10, LOWER, "h"), F.lit(".example.com")))
+    oracle = F.regexp_replace(oracle, rf"(?i)(USER(?:_ID|NAME)?\s*=\s*){value}", F.concat(F.lit("$1"), s.chars(8, LOWER, "u")))
+    oracle = F.regexp_replace(oracle, rf"(?i)(PASSWORD\s*=\s*){value}", F.concat(F.lit("$1"), s.chars(16, ALNUM, "p")))
     kind = classify_connection(c)
     return (
         F.when(kind == "url", url(c))
         .when(kind == "jdbc", F.concat(F.lit("jdbc:"), jdbc))
         .when(kind.isin("ado", "odbc"), ado(c))
-        .when(kind == "libpq", _pairs(key, c, r"\s+", " ", _LIBPQ))
+        .when(kind == "libpq", _pairs(key, c, _LIBPQ_PART, " ", _LIBPQ))
         .when(kind == "oracle", oracle)
         .otherwise(generic(key, c))
     )
@@ -271,7 +306,7 @@ def _visible(kind: str, key: str, c: Column) -> Column:
         "faker_api_key": s.chars(32, HEX),
         "faker_cc_luhn": F.concat(digits_, luhn_digit(digits_).cast("string")),
         "faker_db_conn": F.lit("postgresql://masked:masked@masked-db.invalid:5432/dbname"),
-        "faker_url_cred": F.concat(F.regexp_extract(c, _URL, 1), F.lit("masked:masked@"), F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?", "")),
+        "faker_url_cred": F.concat(F.regexp_extract(c, _URL, 1), F.lit("masked:masked@"), F.regexp_replace(c, f"^{_SCHEME}{_WHO}", "")),
     }
     return shown.get(kind, FAKES[kind](key, c) if kind in FAKES else None)
 

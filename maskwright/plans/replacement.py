@@ -165,6 +165,19 @@ def connection_kinds(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", fakes.classify_connection(made).alias("kind"))
 
 
+_ADO = "'Server=' || s_name || ';User Id=u' || s_suppkey || ';Password=\"' || s_acctbal || ';x\";Encrypt=true'"
+_PAIR = lambda i: f"'{KEY}|pair|{KEY}|pairs|' || c || '|{i}'"
+
+
+@query(f"""SELECT s_suppkey, 'Server=' || {sql.chars(_PAIR(0), '10', fakes.LOWER)} || '.example.com;User Id=' || {sql.chars(_PAIR(1), "greatest(1 + length(s_suppkey::VARCHAR), 6)", fakes.LOWER)}
+ || ';Password="' || {sql.chars(_PAIR(2), "greatest(length(s_acctbal::VARCHAR) + 2, 12)", fakes.ALNUM)} || '";Encrypt=true' AS fake FROM (SELECT *, {_ADO} AS c FROM supplier)""")
+def connection_strings(spark, sf):
+    """Passwords between quotes, with a separator inside."""
+    balance = F.col("s_acctbal").cast("string")
+    c = F.concat(F.lit("Server="), F.col("s_name"), F.lit(";User Id=u"), F.col("s_suppkey").cast("string"), F.lit(';Password="'), balance, F.lit(';x";Encrypt=true'))
+    return table(spark, sf, "supplier").select("s_suppkey", fakes.connection(KEY, c).alias("fake"))
+
+
 @query()
 def fpe_numeric(spark, sf):
     """FF1 has no SQL form; the tests hold it against published vectors."""
