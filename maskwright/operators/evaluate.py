@@ -63,3 +63,32 @@ def false_positive_rates(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("hits") > 0).alias("positive_pairs"), F.sum("hits").alias("hits")
     ).withColumn("rate", F.round(F.col("positive_pairs") / F.col("pairs"), 6))
+
+
+def fixture_verdicts(fixtures: DataFrame, rules: DataFrame) -> DataFrame:
+    """fixtures (rule_id, polarity, text) with matched and passed: a positive text must have a match of its rule, a negative one none.
+
+    rules (id, regex) is a rule table, a dimension of hundreds of rows, and is broadcast; each pattern is compiled once a worker, whatever the order of the
+    pairs, so nothing is shuffled and a rule may have any share of them. Fixtures of unknown rules don't pass; a null text is empty.
+    """
+    import pyarrow as pa
+
+    from ..functions.arrow import slices
+    from .matcher import compiled_once
+
+    known = F.broadcast(rules.select(F.col("id").alias("rule_id"), F.col("regex").alias("_regex")))
+    rows = fixtures.select("rule_id", "polarity", "text").join(known, "rule_id", "left")
+
+    def run(batches):
+        for part in slices(batches, ["text"]):
+            found = [None if p is None else compiled_once(p).search(t or "") is not None for p, t in zip(part.column("_regex").to_pylist(), part.column("text").to_pylist())]
+            columns = [part.column(c) for c in ("rule_id", "polarity", "text")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.bool_())], names=["rule_id", "polarity", "text", "matched"])
+
+    out = rows.mapInArrow(run, "rule_id string, polarity string, text string, matched boolean")
+    return out.withColumn("passed", F.coalesce(F.col("matched") == (F.col("polarity") == "pos"), F.lit(False)))
+
+
+def fixture_totals(verdicts: DataFrame) -> DataFrame:
+    """Per rule and polarity: fixtures, and those that fail."""
+    return verdicts.groupBy("rule_id", "polarity").agg(F.count(F.lit(1)).alias("fixtures"), F.count_if(~F.col("passed")).alias("failed"))

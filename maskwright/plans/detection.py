@@ -223,3 +223,16 @@ def miss_top_rules(spark, sf):
 def verdict_counts(spark, sf):
     verdict = F.when(F.col("toxic") == 1, "TRUE_MISS").when(F.col("quality") == 1, "FALSE_POSITIVE").otherwise("AMBIGUOUS")
     return evaluate.verdict_counts(table(spark, sf, "labels").select(verdict.alias("verdict")))
+
+
+FIXTURES = " UNION ALL ".join(f"SELECT {sql.quoted(r.id)} AS rule_id, CASE WHEN contains(text, '@') OR contains(text, 'token') THEN 'pos' ELSE 'neg' END AS polarity, regexp_matches(coalesce(text, ''), {sql.quoted(r.regex)}) AS matched FROM documents" for r in CORE)
+
+
+@query(f"WITH f AS ({FIXTURES}) SELECT rule_id, polarity, count(*) AS fixtures, count(*) FILTER (matched <> (polarity = 'pos')) AS failed FROM f WHERE polarity IS NOT NULL GROUP BY 1, 2")
+def golden_fixtures(spark, sf):
+    """Every document as a fixture of every rule: positive if it has a keyword, negative if not."""
+    from ..sources.rules import frame
+
+    polarity = F.when(detect.keyword_gate(F.coalesce("text", F.lit(""))), "pos").otherwise("neg")
+    docs = table(spark, sf, "documents").select(F.explode(F.array(*[F.lit(r.id) for r in CORE])).alias("rule_id"), polarity.alias("polarity"), "text")
+    return evaluate.fixture_totals(evaluate.fixture_verdicts(docs, frame(spark)))

@@ -27,7 +27,7 @@ def tables(spark, sf):
     from ..sources.rules import frame
 
     info = F.broadcast(frame(spark).select(F.col("id").alias("rule_id"), "category", "subcategory", "severity"))
-    found = detect.scan(table(spark, sf, "documents")).join(info, "rule_id")
+    found = detect.scan_many(table(spark, sf, "documents"), CORE, gate=False).join(info, "rule_id")
     rn = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "rule_id"))
     rows = found.select(
         (F.col("doc_id") * 1000 + rn).alias("id"), (F.lit(1704067200) + (F.col("doc_id") * 7919) % 2592000).alias("ts"), "rule_id", "category", "subcategory", "severity",

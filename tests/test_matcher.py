@@ -151,3 +151,18 @@ def test_folded_equals_a_loop(spark):
         step = lambda acc, x: (acc + x, F.array_repeat(acc + x, x % 3))
         assert frame.select(folded("v", F.lit(0), "int", step)).first()[0] == want
     assert [r.id for r in CORE] == sorted(r.id for r in CORE)
+
+
+def test_golden_fixtures(spark):
+    from maskwright.operators import evaluate, rule_etl
+    from maskwright.sources.rules import frame
+
+    rules = frame(spark).withColumn("examples", F.when(F.col("id") == "email", F.array(F.lit("ann@corp.com"), F.lit("none"))).otherwise(F.array().cast("array<string>")))
+    rules = rules.withColumn("negative_examples", F.when(F.col("id") == "ipv4", F.array(F.lit("1.2.3"), F.lit("1.2.3.4"), F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    pairs = rule_etl.fixtures(rules).unionByName(spark.createDataFrame([("gone", "pos", "x")], "rule_id string, polarity string, text string"))
+    rows = {tuple(r) for r in evaluate.fixture_verdicts(pairs, rules).collect()}
+    assert rows == {
+        ("email", "pos", "ann@corp.com", True, True), ("email", "pos", "none", False, False), ("ipv4", "neg", "1.2.3", False, True), ("ipv4", "neg", "1.2.3.4", True, False),
+        ("ipv4", "neg", None, False, True), ("gone", "pos", "x", None, False),
+    }
+    assert {tuple(r) for r in evaluate.fixture_totals(evaluate.fixture_verdicts(pairs, rules)).collect()} == {("email", "pos", 2, 1), ("ipv4", "neg", 3, 1), ("gone", "pos", 1, 1)}
