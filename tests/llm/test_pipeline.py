@@ -56,3 +56,18 @@ def test_stages_match_brute_force(spark, sf, tmp_path):
     ran = corpus_pipeline.run(spark, sf).toPandas()
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, ran[key].values.tolist())) == sorted(map(tuple, seen[key].values.tolist()))
+
+
+def test_run_on_empty_and_odd_tables(spark, sf, tmp_path):
+    """No documents give no pieces; nulls, repeated rows and very short texts go through every stage."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    labelled = docs.where("length(text) < 3000").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (9001, None, "en", "s", 0), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, "one", None, None, 3), (None, "two words", "en", "s", 9)], docs.schema)
+    labelled.unionByName(odd).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in pieces]
+    assert {9002, 9003, None} <= set(ids) and 9001 not in ids  # of the empty texts the largest id stays
+    assert ids.count(9003) == 1 and ids.count(None) == 1
