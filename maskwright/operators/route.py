@@ -298,6 +298,12 @@ def loggable(body: Column) -> Column:
     return F.when(F.octet_length(plain) == 0, None).when(text.isNotNull(), text).otherwise(F.concat(F.lit("<binary "), F.octet_length(plain).cast("string"), F.lit(" bytes>")))
 
 
+def loggable_value(body: Column) -> Column:
+    """loggable() as a variant: a body that is JSON keeps its structure, others are strings. JSON with repeated keys stays a string."""
+    text = loggable(body)
+    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+
+
 def content_length(headers: Column, body: Column, replaced: Column) -> Column:
     """headers (map) with content-length set to the body's size where it was replaced and the header was there."""
     present = replaced & F.map_contains_key(headers, "content-length")

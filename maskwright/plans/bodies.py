@@ -147,3 +147,20 @@ def request_log(spark, sf):
     path = folder(spark, "requests")
     logs.append_jsonl(rows, path)
     return logs.read_requests(spark, path).select("method", "uri", "body", "caught")
+
+
+@query("SELECT '/' || conv_id || '/' || turn AS uri, role, sha256(text) AS text_sha256, turn AS n FROM conversations")
+def request_log_json(spark, sf):
+    """JSON bodies, packed or not, are structured in the log: read back as structs."""
+    from ..sources import logs
+    from .streams import folder
+
+    talk = table(spark, sf, "conversations")
+    value = F.encode(F.to_json(F.struct("role", F.struct("text", F.array("turn").alias("n")).alias("m"))), "utf-8")
+    body = route.compress(value, F.when(F.col("turn") % 3 == 0, "gzip"))
+    uri = F.concat(F.lit("/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    rows = logs.request_rows(talk.withColumn("body", body), "request", F.timestamp_seconds(F.col("conv_id")), F.col("role"), uri, F.lit(200))
+    path = folder(spark, "requests")
+    logs.append_jsonl(rows, path)
+    back = spark.read.schema("uri string, body struct<role:string,m:struct<text:string,n:array<long>>>").json(path)
+    return back.select("uri", "body.role", sha(F.col("body.m.text")).alias("text_sha256"), F.get("body.m.n", F.lit(0)).alias("n"))

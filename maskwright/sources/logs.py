@@ -18,13 +18,13 @@ def audit_rows(redactions: DataFrame, request_id, content_type: str, timestamp)
 
 
 def request_rows(bodies: DataFrame, kind: str, ts, method, uri, status, redactions=None, deanonymized=None, body_col: str = "body") -> DataFrame:
-    """Rows of LOG for requests or responses (body binary); a body is shown as loggable() does."""
-    from ..operators.route import loggable
+    """Rows of LOG for requests or responses (body binary); a body is shown as loggable_value() does, so that JSON is written as JSON, not as a string of it."""
+    from ..operators.route import loggable_value
 
     count = lambda c: F.lit(None).cast("long") if c is None else c.cast("long")
     return bodies.select(
         F.lit(kind).alias("type"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), method.alias("method"), uri.alias("uri"), status.cast("int").alias("status"),
-        loggable(F.col(body_col)).alias("body"), count(redactions).alias("redactions"), count(deanonymized).alias("deanonymized"),
+        loggable_value(F.col(body_col)).alias("body"), count(redactions).alias("redactions"), count(deanonymized).alias("deanonymized"),
     )
 
 
@@ -37,6 +37,6 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """multi_line: one pretty-printed object a file. caught: recorded redactions or restored values, 0 without."""
+    """multi_line: one pretty-printed object a file. body: text, of JSON too. caught: recorded redactions or restored values, 0 without."""
     rows = spark.read.schema(LOG).option("multiLine", str(multi_line).lower()).json(path)
     return rows.withColumn("caught", F.coalesce("redactions", "deanonymized", F.lit(0)))

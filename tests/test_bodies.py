@@ -105,3 +105,11 @@ def test_types_without_a_format_are_redacted_under_their_rule(spark):
     assert rows[1].a == rows[0].u == "[REDACTED:r1]" and rows[1].b == "[REDACTED]"
     typed = values.select(fakes.fake_by_type(F.lit("fpe_numeric"), "k", F.col("c"), rule_id=F.lit("r1")).alias("a")).collect()
     assert [r.a for r in typed] == [r.a for r in rows]
+
+
+def test_logged_values(spark):
+    bodies_ = [b'{"a":[1,{"b":"x"}]}', b"plain", b"123", b"", None, b"{broken", b"\xff\xfe", gzip.compress(b'{"z":null}'), b'{"a":1,"a":2}']
+    rows = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(bodies_)], "i int, b binary")
+    got = {r.i: r.v for r in rows.select("i", F.to_json(F.struct(route.loggable_value(F.col("b")).alias("v"))).alias("v")).collect()}
+    want = ['{"v":{"a":[1,{"b":"x"}]}}', '{"v":"plain"}', '{"v":123}', "{}", "{}", '{"v":"{broken"}', '{"v":"<binary 2 bytes>"}', '{"v":{"z":null}}', '{"v":"{\\"a\\":1,\\"a\\":2}"}']
+    assert got == dict(enumerate(want))
