@@ -14,7 +14,8 @@ over all texts), rare first, then by hash; an estimate may be too high, never in
    anew into parts of about `part` members; of each part two members, its hubs, are compared with those of other
    components. So no member is in many pairs, and there are about as many as members, however large the bucket. Links
    merge components, and buckets inside one component are done. The rounds go on while they connect much; then the
-   pairs of different components that are left are made as in step 3.
+   pairs of different components that are left are made as in step 3, by keys of an n-gram and two classes of sizes: a
+   place in a prefix bounds the sizes of partners, so members go only to classes in which they can link.
 
 Components come from the links by star rounds; nothing about all documents reaches the driver.
 
@@ -40,6 +41,8 @@ from .common import arrow_bytes, blocks, bounded_batches, counted, delete, drop,
 #: Logarithms of the number of frequency counters, of the bits of each of the two bitmaps of n-grams, and of the bitmap of nodes.
 SKETCH, CELLS, MARKS = 25, 27, 26
 BLOCK = 1 << 19
+#: Classes of sizes for a ratio of sizes that may link.
+FINE = 8
 
 
 def ngram_sets(column, width: int):
@@ -421,30 +424,45 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_apart(active: DataFrame, percent: int, share: int = 1024) -> DataFrame:
-    """Distinct pairs (x < y) of different components in a bucket.
-
-    Where the n-gram before it, of those left, is the same in both prefixes, a pair isn't made again: so a passage gives a
-    pair once, not once for each of its n-grams. A bucket of more than `share` members is dealt to several tasks: each
-    has a share of the members as x and all as y.
+    """Distinct pairs (x < y) of different components with a crowded n-gram in common, as _allowed lets them.
+
+    What is behind an n-gram's place in a prefix bounds the sizes of the sets that its set can link with there. So a member
+    goes only to the classes of partners' sizes (`FINE` for a ratio of sizes that may link) within that bound, and only keys of
+    n-gram, greater and smaller class with members on both sides are joined: texts that share a passage too short to
+    link them never meet. Where the n-gram before it, of those left, is the same in both prefixes, a pair isn't made again: so
+    a passage gives a pair once, not once for each of its n-grams. A key with more than `share` members on its greater side
+    is dealt to several tasks: each has a share of them and all of the other side.
     """
     ordered, again = private("ordered"), private("again")
-    sort = F.array_sort(F.transform("spots", lambda s: F.struct(s["k"].alias("k"), s["pos"].alias("pos"), s["gram"].alias("gram"), s["size"].alias("size"))))
+    sort = F.array_sort(F.array_distinct(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["gram"].alias("gram")))))
 
     def with_last(s, i):
-        before = F.get(F.col(ordered), i - 1)
-        return F.struct(s["k"].alias("k"), s["pos"].alias("pos"), s["gram"].alias("gram"), s["size"].alias("size"), F.when(before["k"] == s["k"], before["gram"]).alias("last"))
-
-    rows = active.withColumn(ordered, sort).withColumn(again, F.transform(ordered, with_last))
-    rows = rows.select("node", "n", "own", "component", F.inline(again)).withColumn("shares", F.ceil(F.col("size") / share)).drop("size")
-    rows = save(rows, "buckets")
+        return F.struct(s["pos"].alias("pos"), s["gram"].alias("gram"), F.get(F.col(ordered), i - 1)["gram"].alias("last"))
+
+    def size_class(n):
+        return F.floor(F.log(n.cast("double")) * float(-FINE / np.log(percent / 100))).cast("int")
+
+    rows = active.withColumn(ordered, sort).withColumn(again, F.transform(ordered, with_last)).select("node", "n", "component", F.inline(again))
+    # need <= n - pos solved for the partner's size; a class may hold sizes that are too great, which _allowed leaves out.
+    most = F.least(F.floor((100 + percent) * (F.col("n") - F.col("pos")) / F.lit(float(percent)) + 1e-6) - F.col("n"), F.floor(100 * F.col("n") / F.lit(float(percent)) + 1e-6))
+    least = F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-6)
+    rows = rows.withColumn("own", size_class(F.col("n"))).where(most >= least)
+    rows = rows.select("*", F.explode(F.sequence(size_class(least), size_class(most))).alias("other"))
+    rows = save(rows.select("*", F.greatest("own", "other").alias("high"), F.least("own", "other").alias("low")).drop("other"), "sides")
+    key = ["gram", "high", "low"]
+    greater, smaller = F.col("own") == F.col("high"), F.col("own") == F.col("low")
+    met = rows.groupBy(*key).agg(F.count_if(greater).alias("g"), F.count_if(smaller).alias("s"), F.min("component").alias("c"), F.max("component").alias("d"))
+    met = met.where("g > 0 AND s > 0 AND c <> d").select(*key, F.ceil(F.col("g") / share).alias("shares"), twin("gram"))
+    rows = save(rows.withColumn("twin", twin("gram")).join(met, [*key, "twin"]).drop("twin"), "buckets")
     tasks = int(active.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = rows.withColumn("share", F.pmod(F.xxhash64("node"), "shares")).repartition(tasks, "gram", "k", "share")
-    two = rows.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).repartition(tasks, "gram", "k", "share")
+    one = rows.where(greater).withColumn("share", F.pmod(F.xxhash64("node"), "shares")).repartition(tasks, *key, "share")
+    two = rows.where(smaller).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).repartition(tasks, *key, "share")
     one, two = _sides(one, two)
-    same = (F.col("x_gram") == F.col("y_gram")) & (F.col("x_k") == F.col("y_k")) & (F.col("x_share") == F.col("y_share"))
-    ready = same & (F.col("x_node") < F.col("y_node")) & (F.col("x_k") == F.greatest("x_own", "y_own")) & (F.col("x_component") != F.col("y_component"))
+    same = (F.col("x_gram") == F.col("y_gram")) & (F.col("x_high") == F.col("y_high")) & (F.col("x_low") == F.col("y_low")) & (F.col("x_share") == F.col("y_share"))
+    # Within one class both sides have all members.
+    ready = same & ((F.col("x_high") > F.col("x_low")) | (F.col("x_node") < F.col("y_node"))) & (F.col("x_component") != F.col("y_component"))
     found = one.join(two, ready & F.coalesce(F.col("x_last") != F.col("y_last"), F.lit(True)) & _allowed(percent))
-    return found.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
+    return found.select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
 
 
 def _merge(belongs: DataFrame, found: DataFrame) -> DataFrame:
