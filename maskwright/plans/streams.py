@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..streaming import stateful
+from ..streaming import bus, stateful
 from .registry import query
 
 
@@ -54,6 +54,16 @@ def stream_tail(spark, sf):
     return drained(events(spark, sf).where("value > 50").select("event_id", "event_type"), spark, "tail")
 
 
+@query("""WITH n AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, count(*) OVER () AS n FROM events)
+SELECT seq, event_id, event_type, CASE WHEN seq = n - 1000 THEN seq ELSE 0 END AS lost FROM n WHERE seq >= n - 1000""")
+def stream_bus_lag(spark, sf):
+    """All events are published at once: a reader from the start keeps a bus's thousand and is told how many it lost."""
+    path = folder(spark, "bus")
+    bus.publish(table(spark, sf, "events"), path, "all", ("ts", "event_id"))
+    event = F.from_json("value", "event_id long, event_type string")
+    return drained(bus.subscribe(spark, path, 1000, "start").select("seq", event.alias("e"), "lost").select("seq", "e.event_id", "e.event_type", "lost"), spark, "lag")
+
+
 def chunks(spark, sf, text):
     """Conversations cut into chunks of 7 characters, written as a source of two folders."""
     body = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))), lambda x: x["t"]), "").alias("body"))
