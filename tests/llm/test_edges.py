@@ -398,6 +398,16 @@ def test_jaccard(docs, nothing, spark):
     assert jaccard.keep_one_of_each(nothing).count() == 0
 
 
+def test_a_shared_passage_that_does_not_link(spark):
+    # Own words put the similarity on both sides of the threshold, at sizes that may link or not.
+    made = [(i, " ".join([f"p{i % 2}w{k}" for k in range(90)] + [f"o{i}x{k}" for k in range(3 + i % 14)])) for i in range(120)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    want = brute_classes(made, 4, 85)
+    assert 2 < len({c for _, c in want.values()}) < 120
+    found = jaccard.near_duplicates(frame, 4, 85, crowd=5, hub_rounds=0).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == want
+
+
 def test_rows_without_an_id_stay(spark):
     words_of = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
     long, other = words_of("w", 60), words_of("v", 60)
