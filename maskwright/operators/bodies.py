@@ -22,9 +22,8 @@ from urllib.parse import quote_plus, unquote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.arrow import slices
+from ..functions.arrow import arrow_column
 from ..functions.fakes import engine_key, fake, fake_of_rule
 from ..functions.fpe import enciphered
 from ..functions.scalar import folded
@@ -151,22 +150,6 @@ def walk(body: bytes, kind: str, boundary: str, change: Change) -> bytes:
     return walks.get(kind, lambda: change(text, kind != "field"))().encode()
 
 
-def _with(frame: DataFrame, name: str, kind: str, inputs: list[str], one) -> DataFrame:
-    """frame with a column that Python makes of others, row by row of bounded slices of Arrow batches."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    made = T._parse_datatype_string(kind)
-    sized = [c for c in inputs if isinstance(frame.schema[c].dataType, (T.StringType, T.BinaryType))]
-
-    def run(batches):
-        for part in slices(batches, sized):
-            values = [one(*x) for x in zip(*(part.column(c).to_pylist() for c in inputs))]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, to_arrow_type(made))], names=[*part.schema.names, name])
-
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(name, made)]))
-
-
 class _Unreadable(Exception):
     """A body that can't be walked, or not in the same way again."""
 
@@ -331,15 +314,19 @@ def redact_bodies(bodies: DataFrame, key: str, rules=CORE, body_col: str = "body
     out = bodies.withColumn("route", route.route_of(content_type)).withColumn(names["kind"], F.when(signed, F.lit("signed")).otherwise(F.col("route")))
     out = out.withColumn(names["boundary"], route.boundary_of(content_type)).withColumn(names["encoding"], F.lower(header(headers, "content-encoding")))
     out = out.withColumn(names["headers"], headers)
-    inputs = [body_col, *(names[n] for n in ("kind", "boundary", "encoding"))]
+    inputs = [body, *(F.col(names[n]) for n in ("kind", "boundary", "encoding"))]
     search = _keyed(found_leaves(rules, literals), key)
-    out = _with(out, names["found"], f"array<{SPAN}>", [*inputs, names["headers"]], search)
+    out = out.withColumn(names["found"], arrow_column(search, f"array<{SPAN}>", [*inputs, F.col(names["headers"])], once=True))
     out = out.withColumn(names["found"], _stand_ins(F.col(names["found"]), key, rules, visible))
     put = lambda b, kind, boundary, encoding, pairs, found: {"body": rebuilt(b, kind, boundary, encoding, found), "headers": _new_headers(pairs, found)}
-    out = _with(out, names["named"], "struct<body:binary,headers:map<string,string>>", [*inputs, names["headers"], names["found"]], put)
     in_body, in_headers = F.filter(names["found"], lambda s: s["leaf"] >= 0), F.filter(names["found"], lambda s: s["leaf"] < 0)
-    out = out.select("*", _redactions(in_body).alias("redactions"), _redactions(in_headers).alias("header_redactions"), F.col(names["named"])["body"].alias("new_body"))
-    fresh = F.col(names["named"])["headers"]
+    # What stays as it is doesn't travel again.
+    hit, named = (F.size(in_body) > 0, F.size(in_headers) > 0), F.col(names["named"])
+    sent = [F.when(hit[0], body), *inputs[1:], F.when(hit[1], F.col(names["headers"])), F.when(hit[0] | hit[1], F.col(names["found"]))]
+    out = out.withColumn(names["named"], arrow_column(put, "struct<body:binary,headers:map<string,string>>", sent, once=True))
+    new_body = F.when(hit[0], named["body"]).otherwise(body).alias("new_body")
+    out = out.select("*", _redactions(in_body).alias("redactions"), _redactions(in_headers).alias("header_redactions"), new_body)
+    fresh = F.when(hit[1], named["headers"]).otherwise(F.col(names["headers"]))
     changed = F.coalesce(F.col("new_body") != body, F.lit(False))
     # Not by transform_values: a Python column can't be read inside a lambda.
     name = F.get(F.filter(F.map_keys(fresh), lambda k: F.lower(k) == "content-length"), 0)
@@ -356,7 +343,7 @@ def redact_texts(docs: DataFrame, key: str, rules=CORE, text_col: str = "text",
     rules, found = tuple(rules), f"found_{uuid4().hex}"
     search = _keyed(found_leaves(rules, literals), key)
     one = lambda text: search(None if text is None else text.encode(), "plain" if gate else "field", "", None, None)
-    out = _with(docs, found, f"array<{SPAN}>", [text_col], one)
+    out = docs.withColumn(found, arrow_column(one, f"array<{SPAN}>", [F.col(text_col)], once=True))
     out = out.withColumn("redactions", _stand_ins(F.col(found), key, rules, visible)).drop(found)
     return out.withColumn("new_text", rewrite.splice(F.col(text_col), F.col("redactions")))
 
@@ -379,7 +366,8 @@ def deanonymize_bodies(bodies: DataFrame, body_col: str = "body", encoding_col:
         own = F.coalesce(F.transform(pairs, lambda p: p["fake"]), F.array().cast("array<string>"))
         rest = F.filter(F.coalesce(F.col(known_col), F.array().cast("array<struct<fake:string,original:string>>")), lambda p: ~F.array_contains(own, p["fake"]))
         back = rewrite.restore(back, rest)
-    return bodies.withColumn("new_body", F.when(text.isNull() | (back == text), body).otherwise(route.compress(back.cast("binary"), encoding)))
+    same = text.isNull() | (back == text)
+    return bodies.withColumn("new_body", F.when(same, body).otherwise(route.compress(F.when(~same, back.cast("binary")), encoding)))
 
 
 def scan_compressed(bodies: DataFrame, rules=CORE, id_col: str = "doc_id", body_col: str = "body", encoding_col: str = "encoding") -> DataFrame:

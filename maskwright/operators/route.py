@@ -12,6 +12,8 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_column, bounded_batches
+
 #: Header names that are never, and always, searched; others by parts of their name.
 NEVER = (
     "content-type", "content-length", "user-agent", "accept", "host", "accept-encoding", "cache-control", "accept-language", "connection",
@@ -170,6 +172,7 @@ def json_leaves(bodies: DataFrame, id_col: str = "id", body_col: str = "body") -
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int32())), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["id", "path", "text"])
 
     kind = dict(bodies.dtypes)[id_col]
+    bounded_batches(bodies.sparkSession)
     return bodies.select(F.col(id_col).alias("id"), F.col(body_col).alias("body")).mapInArrow(run, f"id {kind}, path string, text string")
 
 
@@ -189,6 +192,7 @@ def json_rebuilt(bodies: DataFrame, changes: DataFrame) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(body, paths, texts)])
 
+    bounded_batches(bodies.sparkSession)
     grouped = changes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("c"))
     joined = bodies.join(grouped, "id", "left")
     return joined.select("id", run("body", F.transform("c", lambda x: x["path"]), F.transform("c", lambda x: x["text"])).alias("body"))
@@ -232,6 +236,7 @@ def map_multipart(body: Column, content_type: Column, pattern: str, new: str) ->
 
         return pd.Series([one(*x) for x in zip(bodies, boundaries)])
 
+    bounded_batches()
     return run(body, boundary_of(content_type))
 
 
@@ -269,25 +274,13 @@ def pack(data: bytes | None, encoding: str | None) -> bytes | None:
     return c.compress(data) + c.flush()
 
 
-def decompress(body: Column, encoding: Column) -> Column:
-    """binary -> binary in an Arrow UDF; there is no built-in."""
-    import pandas as pd
-
-    @F.pandas_udf("binary")
-    def run(bodies, encodings):
-        return pd.Series([unpack(b, e) for b, e in zip(bodies, encodings)])
-
-    return run(body, encoding)
-
-
-def compress(body: Column, encoding: Column) -> Column:
-    import pandas as pd
+def decompress(body: Column, encoding: Column, once: bool = False) -> Column:
+    """binary -> binary in an Arrow UDF; there is no built-in. once: see arrow_column."""
+    return arrow_column(unpack, "binary", [body, encoding], once)
 
-    @F.pandas_udf("binary")
-    def run(bodies, encodings):
-        return pd.Series([pack(b, e) for b, e in zip(bodies, encodings)])
 
-    return run(body, encoding)
+def compress(body: Column, encoding: Column, once: bool = False) -> Column:
+    return arrow_column(pack, "binary", [body, encoding], once)
 
 
 def loggable(body: Column) -> Column:

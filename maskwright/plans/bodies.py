@@ -27,7 +27,7 @@ def redacted(spark, sf, body, content_type: str, encoding: str | None = None, ru
     names = {"Content-Type": F.lit(content_type), "content-length": F.lit("0"), **({"Content-Encoding": F.lit(encoding)} if encoding else {}), **headers}
     found = docs.withColumn("headers", F.create_map(*[x for k, v in names.items() for x in (F.lit(k), v)]))
     raw = F.encode(body, "utf-8")
-    return bodies.redact_bodies(found.withColumn("body", route.compress(raw, F.lit(encoding)) if encoding else raw), KEY, rules)
+    return bodies.redact_bodies(found.withColumn("body", route.compress(raw, F.lit(encoding), once=True) if encoding else raw), KEY, rules)
 
 
 @query(REDACTED + " SELECT doc_id, 'json' AS route, sha256(new_text) AS value_sha256, sha256(new_text) AS dotted_sha256, sha256(text) AS media_sha256, (2 * n)::INT AS n_redacted FROM new")
