@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import slices
+from ..functions.arrow import bounded_batches, slices
 from ..functions.scalar import byte_chars, bytes_entropy, folded, luhn_valid, match_spans, shannon_entropy
 from ..sources.rules import CORE, Rule, for_java
 from .matcher import count_words, matcher
@@ -98,6 +98,7 @@ def scan_many(docs: DataFrame, rules, gate: bool = True, id_col: str = "doc_id",
                 names=["doc_id", "rule_id", "start", "end", "raw"],
             )
 
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
     return base.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, rule_id string, start int, end int, raw string")
 
@@ -117,6 +118,7 @@ def count_keywords(docs: DataFrame, keywords, id_col: str = "doc_id", text_col:
             n = [count_words(text or "", words) for text in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n"])
 
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     return base.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n long")
 

@@ -73,7 +73,7 @@ def fixture_verdicts(fixtures: DataFrame, rules: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    from ..functions.arrow import slices
+    from ..functions.arrow import bounded_batches, slices
     from .matcher import compiled_once
 
     known = F.broadcast(rules.select(F.col("id").alias("rule_id"), F.col("regex").alias("_regex")))
@@ -85,6 +85,7 @@ def fixture_verdicts(fixtures: DataFrame, rules: DataFrame) -> DataFrame:
             columns = [part.column(c) for c in ("rule_id", "polarity", "text")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.bool_())], names=["rule_id", "polarity", "text", "matched"])
 
+    bounded_batches(rows.sparkSession)
     out = rows.mapInArrow(run, "rule_id string, polarity string, text string, matched boolean")
     return out.withColumn("passed", F.coalesce(F.col("matched") == (F.col("polarity") == "pos"), F.lit(False)))
 

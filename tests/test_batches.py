@@ -66,6 +66,15 @@ def test_smaller_bounds_stay(spark, default):
         assert spark.conf.get(KEY) == given
 
 
+def test_steps_bound_their_batches(spark, default):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    steps = (lambda: detect.scan_many(docs, CORE), lambda: detect.count_keywords(docs, ["a"]), lambda: docs.select(route.compress(F.encode("text", "utf-8"), F.lit("gzip"))))
+    for step in steps:
+        spark.conf.unset(KEY)
+        step()
+        assert spark.conf.get(KEY) == f"{arrow.BATCH}b"
+
+
 def test_columns_made_in_pieces(spark):
     """More comes back than went in: pieces of values, in order, none lost."""
     n = 40
