@@ -372,7 +372,7 @@ def deanonymize_bodies(bodies: DataFrame, body_col: str = "body", encoding_col:
 
 def scan_compressed(bodies: DataFrame, rules=CORE, id_col: str = "doc_id", body_col: str = "body", encoding_col: str = "encoding") -> DataFrame:
     """scan() of unpacked bodies; one that can't be unpacked is searched as it is, one that isn't text not at all."""
-    text = F.try_validate_utf8(route.decompress(F.col(body_col), F.lower(F.col(encoding_col))).cast("string"))
+    text = F.try_validate_utf8(route.decompress(F.col(body_col), F.lower(F.col(encoding_col)), once=True).cast("string"))
     return detect.scan(bodies.select(F.col(id_col).alias("doc_id"), text.alias("text")), rules, gate=True)
 
 

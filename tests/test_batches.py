@@ -45,7 +45,7 @@ def python_nodes(frame) -> list[str]:
     return [line for line in plan.splitlines() if "ArrowEvalPython" in line or "MapInArrow" in line]
 
 
-@pytest.mark.parametrize("query, nodes", [("body_gzip", 4), ("body_json", 2), ("body_rule_table", 2), ("body_headers", 2), ("body_restored", 6)])
+@pytest.mark.parametrize("query, nodes", [("body_gzip", 4), ("body_json", 2), ("body_rule_table", 2), ("body_headers", 2), ("body_restored", 6), ("scan_compressed", 2)])
 def test_each_python_column_is_made_once_of_its_own_columns(spark, sf, query, nodes):
     found = python_nodes(registry.QUERIES[query](spark, sf))
     assert len(found) == nodes and not any("MapInArrow" in line for line in found)
@@ -82,3 +82,11 @@ def test_columns_made_in_pieces(spark):
     back = packed.withColumn("z", route.compress(F.col("b"), F.lit("gzip"), once=True)).withColumn("back", route.decompress(F.col("z"), F.lit("gzip")))
     assert back.where(F.col("back") == F.col("b")).count() == n
     assert spark.createDataFrame([], "b binary").select(route.decompress(F.col("b"), F.lit("gzip"))).count() == 0
+
+
+def test_filters_stay_above_a_column_made_once(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "i int, t string")
+    for once, nodes in ((True, 1), (False, 2)):
+        z = texts.withColumn("z", route.compress(F.encode("t", "utf-8"), F.lit("gzip"), once=once)).where("z IS NOT NULL").select("i", F.octet_length("z"), F.sha2("z", 256))
+        assert sorted(r.i for r in z.collect()) == [1, 3]
+        assert not once or len(python_nodes(z)) == nodes
