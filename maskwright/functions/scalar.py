@@ -21,12 +21,19 @@ def byte_chars(c) -> Column:
 
 
 def bytes_entropy(h) -> Column:
-    """Bits per byte of a string of byte_chars: what is left when a byte is taken out gives its count in linear time."""
-    n = F.char_length(h)
-    count = lambda b: (F.octet_length(h) - F.octet_length(F.replace(h, b, F.lit("")))) / F.greatest(F.octet_length(b), F.lit(1))
-    shares = F.transform(F.array_distinct(F.split(h, "")), lambda b: count(b) / n)
-    total = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-    return F.when(n > 0, total).otherwise(F.when(n == 0, F.lit(0.0)))
+    """Bits per byte of a string of byte_chars: what is left when a byte is taken out gives its count in linear time.
+
+    The string and its length are computed once, not again for each byte that occurs: a lambda evaluates what it names at each call.
+    """
+
+    def of(held):
+        h, n = held["h"], held["n"]
+        count = lambda b: (held["size"] - F.octet_length(F.replace(h, b, F.lit("")))) / F.greatest(F.octet_length(b), F.lit(1))
+        shares = F.transform(F.array_distinct(F.split(h, "")), lambda b: count(b) / n)
+        total = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+        return F.when(n > 0, total).otherwise(F.when(n == 0, F.lit(0.0)))
+
+    return bound(h, lambda h: bound(F.struct(h.alias("h"), F.char_length(h).alias("n"), F.octet_length(h).alias("size")), of))
 
 
 def digits(c) -> Column:

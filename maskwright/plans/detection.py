@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import byte_offset, luhn_valid, shannon_entropy, snippet
+from ..functions.arrow import byte_entropy
+from ..functions.scalar import byte_offset, luhn_valid, snippet
 from ..operators import detect, evaluate
 from ..session import table
 from ..sources.rules import CORE, Rule
@@ -127,7 +128,7 @@ def exclude_filter(spark, sf):
 n AS (SELECT doc_id, sum(c) AS n FROM b GROUP BY 1), e AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS e FROM b JOIN n USING (doc_id) GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN round(coalesce(e, 0.0), 6) END AS entropy FROM documents LEFT JOIN e USING (doc_id)""")
 def text_entropy(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(shannon_entropy("text"), 6).alias("entropy"))
+    return table(spark, sf, "documents").select("doc_id", F.round(byte_entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query("""WITH w AS (SELECT item_id, i, unnest(range(i, i + 20)) AS j, h FROM (SELECT item_id, unnest(range(0, greatest(strlen(text) - 19, 0))) AS i, hex(encode(text)) AS h FROM benchmark)),

@@ -45,6 +45,17 @@ def python_nodes(frame) -> list[str]:
     return [line for line in plan.splitlines() if "ArrowEvalPython" in line or "MapInArrow" in line]
 
 
+def test_whole_text_entropy(spark):
+    texts = ["", "a", "aaaa", "abab", "é漢😀\x00\n", "".join(map(chr, range(300))) * 50, "ab" * (1 << 20) + "c", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", arrow.byte_entropy(F.col("t")).alias("e")).collect()
+    assert {r.i: r.e and round(r.e, 9) for r in found} == {i: brute(t) and round(brute(t), 9) for i, t in enumerate(texts)}
+    assert all(str(r.e) != "-0.0" for r in found)
+
+
+def test_text_entropy_counts_bytes_in_one_pass(spark, sf):
+    assert len(python_nodes(registry.QUERIES["text_entropy"](spark, sf))) == 1
+
+
 @pytest.mark.parametrize("query, nodes", [("body_gzip", 4), ("body_json", 2), ("body_rule_table", 2), ("body_headers", 2), ("body_restored", 6), ("scan_compressed", 2)])
 def test_each_python_column_is_made_once_of_its_own_columns(spark, sf, query, nodes):
     found = python_nodes(registry.QUERIES[query](spark, sf))
